@@ -75,8 +75,9 @@ dg AS (SELECT doc_id, size, n, unnest(range(0, size - n + 1)) AS pos, unnest(lis
        FROM d, (SELECT DISTINCT n FROM i) WHERE size >= n),
 hits AS (SELECT DISTINCT dg.doc_id, dg.size, dg.n, dg.pos, ic.len FROM dg JOIN ic ON ic.g = dg.g AND ic.n = dg.n),
 win AS (SELECT DISTINCT doc_id, size, n, len, unnest(range(least(greatest(0, pos - (len - n)), greatest(0, least(pos, size - len))), greatest(0, least(pos, size - len)) + 1)) AS start FROM hits),
-wg AS (SELECT win.doc_id, win.n, win.len, win.start, dg.g, count(*) AS c, sum(count(*)) OVER (PARTITION BY win.doc_id, win.n, win.len, win.start) AS m
+wc AS (SELECT win.doc_id, win.n, win.len, win.start, dg.g, count(*) AS c
        FROM win JOIN dg ON dg.doc_id = win.doc_id AND dg.n = win.n AND dg.pos BETWEEN win.start AND win.start + win.len - win.n GROUP BY ALL),
+wg AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, n, len, start) AS m FROM wc),
 it AS (SELECT item_id, sum(c) AS im FROM ic GROUP BY item_id),
 j AS (SELECT wg.doc_id, wg.start, ic.item_id, sum(least(wg.c, ic.c)) / (any_value(wg.m) + any_value(it.im) - sum(least(wg.c, ic.c))) AS sim
       FROM wg JOIN ic ON ic.g = wg.g AND ic.len = wg.len AND ic.n = wg.n JOIN it ON it.item_id = ic.item_id GROUP BY wg.doc_id, wg.start, ic.item_id, wg.n, wg.len)

@@ -93,8 +93,14 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of docs in compressed blocks, dealt out by block id, in a checkpoint."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(lambda it: _pack(it, block_bytes), PACKED)
-    return saved(packed.repartition(n, "block"))
+    packed = docs.mapInArrow(lambda it: _pack(it, block_bytes), PACKED).repartition(n, "block")
+    # a checkpoint keeps its plan's partitioning, which an adaptive plan does not tell
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return saved(packed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def bucket_count(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:

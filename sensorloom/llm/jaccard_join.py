@@ -18,8 +18,10 @@ count too. So no similar pair is lost.
 
 Equal sets are collapsed to a class before signatures are made. Groups that share a
 signature first send a star of pairs (smallest member against the rest) to exact
-verification; a second round sends the pairs of members that are then still in
-different components. Sets are compared where the blocks of their texts lie.
+verification; further rounds send pairs of members that are then still in different
+components, until none is left that was not compared. Before a set travels, the pair
+must pass the sets' parity sketches, which bound the difference from below and so lose
+nothing. Sets are compared where the blocks of their texts lie.
 
 Defined cases: null or blank text has an empty set and links with nothing; fewer words
 than n give one n-gram of them all; repeated rows are documents of their own.
@@ -30,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,6 +43,8 @@ from sensorloom.llm.graph import connected_components
 
 ROW_BITS = 22
 LEVELS = 4
+SKETCH_BITS = 2048
+TILE = 2048
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,15 +270,78 @@ def _star(groups: DataFrame) -> DataFrame:
     return groups.select(first.alias("a"), F.explode("rows").alias("b")).where("a <> b").distinct()
 
 
-def _rest(groups: DataFrame, parts: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs that share a group, are in different components and were not compared."""
-    own = groups.where("size(rows) > 2").select("gid", F.explode("rows").alias("node")).join(parts, "node", "left")
-    own = own.select("gid", "node", F.coalesce("component", "node").alias("c"))
-    mixed = own.groupBy("gid").agg(F.collect_list(F.struct("c", "node")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    one = mixed.select(F.explode("m").alias("x"), "m").select(F.col("x.c").alias("c"), F.col("x.node").alias("a"), "m")
-    pairs = one.select("a", F.explode(F.expr("filter(m, y -> y.c <> c AND y.node > a)")).alias("y")).select("a", F.col("y.node").alias("b")).distinct()
-    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """row, size, bits of the rows' sets: the parity of the elements that fall on each of the sketch's bits.
+
+    The bits in which two sketches differ are never more than the elements in which
+    their sets do, so a pair may be dropped by its sketches without loss.
+    """
+
+    def finish(block: int, table: pa.Table, asked: pa.StructArray) -> Iterator[pa.Table]:
+        words, text, mask = WordHashes(), B.texts(table), (1 << ROW_BITS) - 1
+        wanted, size, bits = asked.field("row").to_pylist(), [], []
+        for row in wanted:
+            s = shingle_set(text[row & mask], n, words)
+            size.append(len(s))
+            bits.append(sketch(s))
+        yield pa.table({"row": pa.array(wanted, pa.int64()), "size": pa.array(size, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+
+    return _at_blocks(packed, _per_block(rows, "row", "row"), finish, "row long, size long, bits array<long>")
+
+
+def sketch(elements: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(elements) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave them a chance."""
+    one = sketches.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    two = sketches.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
+    differ = "aggregate(zip_with(ba, bb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * {differ} <= {den - num} * (na + nb)"
+    return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
+
+
+def _rest(groups: DataFrame, parts: DataFrame, sketches: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """Possible pairs that share a group and are in different components.
+
+    Of each two components in a group `limit` pairs are named; where there are more, a row
+    (-1, -1) says so. Large groups are compared in tiles of bounded size.
+    """
+    own = groups.where("size(rows) > 2").select("gid", F.ceil(F.size("rows") / F.lit(TILE)).cast("int").alias("k"), F.explode("rows").alias("node")).join(parts, "node", "left")
+    own = own.select("gid", "k", "node", F.coalesce("component", "node").alias("c"))
+    mixed = own.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gid")
+    own = own.join(mixed, "gid").join(sketches.withColumnRenamed("row", "node"), "node")
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "chunk").alias("lo"), F.greatest(o, "chunk").alias("hi")))).alias("t")
+    tiles = own.select("gid", "node", "c", "size", "bits", "chunk", tile).select("*", "t.lo", "t.hi").drop("t")
+
+    def run(key, pdf):
+        _, lo, hi = key
+        pdf = pdf.sort_values("node", kind="stable")
+        node, c, size = (pdf[x].to_numpy(np.int64) for x in ("node", "c", "size"))
+        bits = np.stack(pdf["bits"].to_list()).astype(np.int64).view(np.uint64)
+        side = pdf["chunk"].to_numpy()
+        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        out, named, over = [], {}, False
+        for i in left:
+            js = right[(c[right] != c[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))]
+            js = js[js > i] if lo == hi else js
+            if len(js):
+                differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                for j in js[(den + num) * differ <= (den - num) * (size[js] + size[i])]:
+                    both = (min(c[i], c[j]), max(c[i], c[j]))
+                    named[both] = named.get(both, 0) + 1
+                    if named[both] <= limit:
+                        out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    else:
+                        over = True
+        if over:
+            out.append((-1, -1))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return tiles.groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -290,10 +358,20 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     asked = _per_block(owners.select(F.col("owner").alias("row")), "row", "row")
     signed = _at_blocks(packed, asked, _sign(words, (num, den), B.bucket_count(packed)), B.MESSAGE)
     groups = B.saved(_list_groups(signed))
-    stars = B.saved(_star(groups))
-    links = B.saved(_verified(packed, stars, words, num, den))
-    rest = B.saved(_rest(groups, connected_components(links), stars))
-    links = B.saved(links.unionByName(_verified(packed, rest, words, num, den)))
+    sketches = B.saved(_sketches(packed, groups.select(F.explode("rows").alias("row")).distinct(), words))
+    tried = B.saved(_possible(_star(groups), sketches, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = B.saved(_verified(packed, tried, words, num, den))
+    limit = 4
+    while True:
+        found = B.saved(_rest(groups, connected_components(links), sketches, num, den, limit))
+        more = B.saved(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            if found.where("a < 0").isEmpty():
+                break
+        else:
+            links = B.saved(links.unionByName(_verified(packed, more, words, num, den)))
+            tried = B.saved(tried.unionByName(more))
+        limit *= 8
     return rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner"), links
 
 

@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,7 +42,7 @@ from sensorloom.llm.graph import connected_components
 
 ROW_BITS = 22
 LEVELS = 4
-SKETCH_BITS = 2048
+SKETCH_BITS = 1024
 TILE = 2048
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,8 +105,9 @@ class Plan:
             for level in range(LEVELS):
                 seed = np.uint64((band * LEVELS + level + 1) * 2654435761)
                 part = ((mix(elements + seed) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-                total = np.zeros(n, np.uint64)
-                np.add.at(total, part, mix(elements ^ seed))
+                h = mix(elements ^ seed)
+                low, high = (np.bincount(part, (h >> np.uint64(b)) & np.uint64(0xFFFFFFFF), n).astype(np.uint64) for b in (0, 32))
+                total = low + (high << np.uint64(32))
                 filled = np.bincount(part, minlength=n)
                 some = filled > 0
                 last = level == LEVELS - 1
@@ -184,18 +184,31 @@ def _sign(n: int, plan_args: tuple[int, int], buckets: int):
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
         parts = [(int(to[order][c]), order[c:d]) for c, d in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-        yield pa.table({"block": pa.array([block] * len(parts), pa.int64()), "bucket": pa.array([b for b, _ in parts], pa.int64()), "payload": pa.array([B.dumps((sig[o].tobytes(), (row[o] & mask).astype(np.int32).tobytes())) for _, o in parts], pa.binary())})
+        yield pa.table({"block": pa.array([block] * len(parts), pa.int64()), "bucket": pa.array([b for b, _ in parts], pa.int64()), "payload": pa.array([_thin(sig[o], row[o] & mask) for _, o in parts], pa.binary())})
 
     return finish
 
 
+def _thin(sig: np.ndarray, row: np.ndarray) -> bytes:
+    """Five bytes of each signature, which with the bucket tell signatures apart well enough (pairs are verified), and the row."""
+    small = np.uint16 if row.max() < 1 << 16 else np.uint32
+    return B.dumps(((sig >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), row.astype(small)))
+
+
+def _thick(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw, row = B.loads(payload)
+    sig = np.zeros((len(row), 8), np.uint8)
+    sig[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return sig.view(np.uint64).ravel(), row.astype(np.int64)
+
+
 def _groups(bucket: int, messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """Lists of the rows that share a signature, each once."""
     sig, row = [], []
     for block, payload in messages:
-        s, r = B.loads(payload)
-        sig.append(np.frombuffer(s, np.uint64))
-        row.append(_row(block, 0) + np.frombuffer(r, np.int32).astype(np.int64))
+        s, r = _thick(payload)
+        sig.append(s)
+        row.append(_row(block, 0) + r)
     sig, row = np.concatenate(sig), np.concatenate(row)
     order = np.argsort(sig, kind="stable")
     sig, row = sig[order], row[order]
@@ -315,33 +328,41 @@ def _rest(groups: DataFrame, parts: DataFrame, sketches: DataFrame, num: int, de
     own = own.join(mixed, "gid").join(sketches.withColumnRenamed("row", "node"), "node")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "chunk").alias("lo"), F.greatest(o, "chunk").alias("hi")))).alias("t")
-    tiles = own.select("gid", "node", "c", "size", "bits", "chunk", tile).select("*", "t.lo", "t.hi").drop("t")
-
-    def run(key, pdf):
-        _, lo, hi = key
-        pdf = pdf.sort_values("node", kind="stable")
-        node, c, size = (pdf[x].to_numpy(np.int64) for x in ("node", "c", "size"))
-        bits = np.stack(pdf["bits"].to_list()).astype(np.int64).view(np.uint64)
-        side = pdf["chunk"].to_numpy()
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        out, named, over = [], {}, False
-        for i in left:
-            js = right[(c[right] != c[i]) & (den * np.minimum(size[right], size[i]) >= num * np.maximum(size[right], size[i]))]
-            js = js[js > i] if lo == hi else js
-            if len(js):
-                differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                for j in js[(den + num) * differ <= (den - num) * (size[js] + size[i])]:
-                    both = (min(c[i], c[j]), max(c[i], c[j]))
-                    named[both] = named.get(both, 0) + 1
-                    if named[both] <= limit:
-                        out.append((min(node[i], node[j]), max(node[i], node[j])))
-                    else:
-                        over = True
-        if over:
-            out.append((-1, -1))
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    return tiles.groupBy("gid", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    tiles = own.select("gid", "node", "c", "size", "bits", "chunk", tile)
+    tiles = tiles.groupBy("gid", "t").agg(F.collect_list(F.struct("node", "c", "size", "bits", "chunk")).alias("m")).select("t.lo", "t.hi", "m")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                out += _cross(batch["lo"][i].as_py(), batch["hi"][i].as_py(), batch["m"].slice(i, 1).flatten(), num, den, limit)
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
+
+
+def _cross(lo: int, hi: int, members: pa.StructArray, num: int, den: int, limit: int) -> list[tuple[int, int]]:
+    """Possible pairs across components of one tile, `limit` for each two components; (-1, -1) where there are more."""
+    node, c, size, side = (members.field(x).to_numpy() for x in ("node", "c", "size", "chunk"))
+    bits = members.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+    step = max(1, (1 << 21) // (bits.shape[1] * max(1, len(right))))
+    out, named = [], {}
+    for at in range(0, len(left), step):
+        own = left[at : at + step, None]
+        most, least = np.maximum(size[own], size[right]), np.minimum(size[own], size[right])
+        differ = np.bitwise_count(bits[own] ^ bits[right]).sum(axis=2, dtype=np.int64)
+        fits = (c[own] != c[right]) & (den * least >= num * most) & ((den + num) * differ <= (den - num) * (most + least))
+        if lo == hi:
+            fits &= own < right
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            a, b = int(own[i, 0]), int(right[j])
+            both = (min(c[a], c[b]), max(c[a], c[b]))
+            named[both] = named.get(both, 0) + 1
+            if named[both] <= limit:
+                out.append((min(node[a], node[b]), max(node[a], node[b])))
+    return out + [(-1, -1)] * any(n > limit for n in named.values())
 
 
 def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -361,7 +382,7 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     sketches = B.saved(_sketches(packed, groups.select(F.explode("rows").alias("row")).distinct(), words))
     tried = B.saved(_possible(_star(groups), sketches, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = B.saved(_verified(packed, tried, words, num, den))
-    limit = 4
+    limit = 32
     while True:
         found = B.saved(_rest(groups, connected_components(links), sketches, num, den, limit))
         more = B.saved(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"))
@@ -371,7 +392,7 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         else:
             links = B.saved(links.unionByName(_verified(packed, more, words, num, den)))
             tried = B.saved(tried.unionByName(more))
-        limit *= 8
+        limit *= 32
     return rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner"), links
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, warc
+from sensorloom.llm import collision_ann, context_tree, decontaminate, jaccard_join, language_id, line_dedup, mixing, pii, suffix_dedup, warc
 from sensorloom.llm.oracles import ORACLES as ORACLES
 
 
@@ -17,10 +17,22 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(_table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -34,6 +46,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"), min_docs=10)
 
 
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fold = language_id.fold(F.col("doc_id"), 5)
@@ -43,4 +59,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_warc_derivatives, op6_jaccard_join, op7_decontamination, op8_line_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_context_tree, op3_suffix_dedup, op4_warc_derivatives, op5_pii, op6_jaccard_join, op7_decontamination, op8_line_dedup, op9_collision_ann, op10_language_id)}

@@ -109,8 +109,12 @@ def parse_named(tail: Column, values: list[str]) -> Column:
     """Values written as `name = number` or `name is number`, by column; of repeats the last counts."""
     pattern = F.lit(rf"(?i)\b(value_\d+)\s*(?:=|is)\s*({NUMBER})")
     pairs = F.arrays_zip(F.regexp_extract_all(tail, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(tail, pattern, F.lit(2)).alias("v"))
-    last = lambda name: F.element_at(F.filter(pairs, lambda p: p["0"] == name), -1)
-    return F.array(*[F.when(F.exists(pairs, lambda p, n=v: p["0"] == n), last(v)["1"]).try_cast("double") for v in values])
+
+    def last(name: str) -> Column:
+        own = F.filter(pairs, lambda p: p["0"] == name)
+        return F.try_element_at(own, F.lit(-1))["1"].try_cast("double")
+
+    return F.array(*[last(v) for v in values])
 
 
 def parse_sequential(tail: Column, values: list[str]) -> Column:

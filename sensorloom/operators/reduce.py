@@ -12,7 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+VECTOR = T.ArrayType(T.DoubleType())
 MODEL = "channel_index int, channel_name string, method string, n_components int, pre_mean double, pre_scale double, scaler_mean array<double>, scaler_scale array<double>, components array<array<double>>, mixing array<array<double>>, latent_mean array<double>, explained_variance_ratio array<double>"
 
 
@@ -99,7 +101,7 @@ def transform(windows: DataFrame, model: DataFrame) -> DataFrame:
                 parts.append((x - r["latent_mean"]) @ r["components"].T)
             yield pdf[keys].assign(values=list(np.hstack(parts)))
 
-    return windows.mapInPandas(run, windows.select(*keys).schema.add("values", "array<double>"))
+    return windows.mapInPandas(run, windows.select(*keys).schema.add("values", VECTOR))
 
 
 def inverse(embeddings: DataFrame, model: DataFrame, undo_channel_scaler: bool = True) -> DataFrame:
@@ -118,7 +120,7 @@ def inverse(embeddings: DataFrame, model: DataFrame, undo_channel_scaler: bool =
                 out.append(x * r["pre_scale"] + r["pre_mean"] if undo_channel_scaler else x)
             yield pdf[keys].assign(w=[[list(x[i]) for x in out] for i in range(len(pdf))])
 
-    return embeddings.mapInPandas(run, embeddings.select(*keys).schema.add("w", "array<array<double>>"))
+    return embeddings.mapInPandas(run, embeddings.select(*keys).schema.add("w", T.ArrayType(VECTOR)))
 
 
 def expand_values(df: DataFrame, width: int) -> DataFrame:
@@ -163,4 +165,4 @@ def compact_pca(windows: DataFrame, k: int = 8) -> DataFrame:
             x = np.stack(pdf["__x"].to_list()).astype(np.float64) if len(pdf) else np.zeros((0, len(mean)))
             yield pdf[keys].assign(values=list((x - mean) @ comp.T))
 
-    return flat.drop("w").mapInPandas(project, windows.drop("w").schema.add("values", "array<double>"))
+    return flat.drop("w").mapInPandas(project, windows.drop("w").schema.add("values", VECTOR))

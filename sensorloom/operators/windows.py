@@ -32,7 +32,7 @@ def sliding_windows(df: DataFrame, channels: list[str], size: int, stride: int,
     rows = rows.where(F.col("n") >= size)
     first = F.greatest(F.lit(0), F.ceil((F.col("p") - size + 1) / stride)).cast("int")
     last = F.least(F.floor(F.col("p") / stride), F.floor((F.col("n") - size) / stride)).cast("int")
-    rows = rows.where(first <= last).withColumn("start_index", F.explode(F.sequence(first, last)) * stride)
+    rows = rows.where(first <= last).withColumn("start_index", F.explode(F.sequence(first, last))).withColumn("start_index", F.col("start_index") * stride)
     cell = F.struct("p", "timestamp", "source_file", *channels)
     made = rows.groupBy(*RUN, "activity_name", "start_index").agg(F.sort_array(F.collect_list(cell)).alias("x"))
     made = made.select(
@@ -54,11 +54,12 @@ def zscore(windows: DataFrame, scaler: DataFrame, channels: list[str], inverse:
     """w standardised by the scaler's row for each channel, or back."""
     table = scaler.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("mean", "scale")))).alias("__m"))
     out = windows.join(F.broadcast(table))
-    parts = []
-    for i, c in enumerate(channels):
-        mean, scale = F.col("__m")[c]["mean"], F.col("__m")[c]["scale"]
-        parts.append(F.transform(F.col("w")[i], (lambda x, m=mean, s=scale: x * s + m) if inverse else (lambda x, m=mean, s=scale: (x - m) / s)))
-    return out.withColumn("w", F.array(*parts)).drop("__m")
+
+    def scaled(i: int, channel: str):
+        mean, scale = F.col("__m")[channel]["mean"], F.col("__m")[channel]["scale"]
+        return F.transform(F.col("w")[i], lambda x: x * scale + mean if inverse else (x - mean) / scale)
+
+    return out.withColumn("w", F.array(*[scaled(i, c) for i, c in enumerate(channels)])).drop("__m")
 
 
 def select_window_channels(windows: DataFrame, indexes: list[int]) -> DataFrame:

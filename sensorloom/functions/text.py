@@ -111,8 +111,8 @@ def parse_named(tail: Column, values: list[str]) -> Column:
     pairs = F.arrays_zip(F.regexp_extract_all(tail, pattern, F.lit(1)).alias("k"), F.regexp_extract_all(tail, pattern, F.lit(2)).alias("v"))
 
     def last(name: str) -> Column:
-        own = F.filter(pairs, lambda p: p["0"] == name)
-        return F.try_element_at(own, F.lit(-1))["1"].try_cast("double")
+        own = F.filter(pairs, lambda p: p["k"] == name)
+        return F.try_element_at(own, F.lit(-1))["v"].try_cast("double")
 
     return F.array(*[last(v) for v in values])
 

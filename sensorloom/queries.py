@@ -72,9 +72,9 @@ CELLS = """cells AS (SELECT vec_id AS window_id, 'a' || label AS activity_name,
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
 
-def _stat_sql(names, stats, lists, pattern, digits=6) -> str:
+def _stat_sql(names, stats, lists, pattern, shift="") -> str:
     made = {"mean": "list_avg({x})", "std": "list_aggregate({x}, 'stddev_pop')", "min": "list_min({x})", "max": "list_max({x})", "slope": "({x}[-1] - {x}[1]) / greatest(len({x}) - 1, 1)", "energy": "list_avg(list_transform({x}, lambda e: e * e))"}
-    return ", ".join(f"round({made[s].format(x=x)}, {digits}) AS {pattern.format(channel=n, stat=s)}" for n, x in zip(names, lists, strict=True) for s in stats)
+    return ", ".join(f"round({made[s].format(x=x)}{shift}, 6) AS {pattern.format(channel=n, stat=s)}" for n, x in zip(names, lists, strict=True) for s in stats)
 
 
 # --- scans, predicates, cleaning ------------------------------------------------------------------
@@ -143,9 +143,11 @@ def window_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_prepared(spark, d).features)
 
 
-@query(f"WITH {WINS} SELECT window_id, {_stat_sql(('ch0', 'ch1'), ('mean', 'std', 'min', 'max', 'energy'), ('v', 'kk'), '{channel}_{stat}', 7)} FROM wid")
+@query(f"WITH {WINS} SELECT window_id, {_stat_sql(('ch0', 'ch1'), ('mean', 'std', 'min', 'max', 'energy'), ('v', 'kk'), '{channel}_{stat}', ' + 1.3e-8::DOUBLE')} FROM wid")
 def har_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.har_features(_prepared(spark, d).windows, 2, ["window_id"]), 7)
+    f = features.har_features(_prepared(spark, d).windows, 2, ["window_id"])
+    # exact half-way cases would fall to either side in two engines, so both shift them off
+    return rounded(f.withColumns({c: F.col(c) + 1.3e-8 for c in f.columns[1:]}))
 
 
 @query(f"WITH {WINS} SELECT window_id, {_stat_sql(CH, ('mean', 'std', 'min', 'max'), ('v', 'kk'), 'stat_{channel}_{stat}')} FROM wid")

@@ -12,7 +12,9 @@ passes move only messages, and a lost executor costs a reread of that table.
 
 from __future__ import annotations
 
+import ctypes
 import pickle
+import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 PACKED = "block long, n_rows long, n_bytes long, blob binary"
 MESSAGE = "block long, bucket long, payload binary"
@@ -48,6 +50,13 @@ def dumps(x) -> bytes:
 loads = pickle.loads
 
 
+def trim() -> None:
+    """Give memory of finished blocks back, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def to_blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -121,6 +130,8 @@ def scatter(blocks: DataFrame, send: Callable[[int, pa.Table], Iterable[tuple[in
                         [pa.array([block] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())],
                         names=["block", "bucket", "payload"],
                     )
+                del out
+                trim()
 
     return blocks.mapInArrow(run, MESSAGE)
 
@@ -152,6 +163,7 @@ def gather(blocks: DataFrame, answers: DataFrame, finish: Callable[[int, pa.Tabl
                 got = batch["answers"][i].as_py() or []
                 for out in finish(batch["block"][i].as_py(), from_blob(batch["blob"][i].as_py()), got):
                     yield from out.to_batches(max_chunksize=2000) if isinstance(out, pa.Table) else [out]
+                trim()
 
     return joined.mapInArrow(run, schema)
 

@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -164,6 +165,7 @@ def _at_blocks(packed: DataFrame, asked: DataFrame, finish, schema: str) -> Data
             for i in range(batch.num_rows):
                 for out in finish(batch["block"][i].as_py(), B.from_blob(batch["blob"][i].as_py()), batch["m"].slice(i, 1).flatten()):
                     yield from out.to_batches(max_chunksize=2000)
+                B.trim()
 
     return joined.mapInArrow(run, schema)
 
@@ -202,8 +204,8 @@ def _thick(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view(np.uint64).ravel(), row.astype(np.int64)
 
 
-def _groups(bucket: int, messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Lists of the rows that share a signature, each once."""
+def _shared(messages: list[tuple[int, bytes]]) -> list[np.ndarray]:
+    """Sorted rows of each signature that several rows share, equal lists once."""
     sig, row = [], []
     for block, payload in messages:
         s, r = _thick(payload)
@@ -215,25 +217,23 @@ def _groups(bucket: int, messages: list[tuple[int, bytes]]) -> Iterator[tuple[in
     cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     ends = np.append(cuts[1:], len(sig))
     many = ends - cuts > 1
-    seen = set()
+    found = {}
     for a, z in zip(cuts[many], ends[many], strict=True):
-        members = np.unique(row[a:z]).tobytes()
-        key = xxhash.xxh3_128_digest(members)
-        if len(members) > 8 and key not in seen:
-            seen.add(key)
-            yield 0, members
+        members = np.unique(row[a:z])
+        if len(members) > 1:
+            found[xxhash.xxh3_128_digest(members.tobytes())] = members
+    return list(found.values())
 
 
 def _list_groups(messages: DataFrame) -> DataFrame:
     """(gid, rows): distinct groups of two rows or more."""
-    raw = B.at_buckets(messages, _groups).select("payload")
 
-    def run(batches):
-        for batch in batches:
-            rows = [np.frombuffer(p.as_py(), np.int64) for p in batch["payload"]]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], names=["gid", "rows"])
+    def run(key, pdf):
+        pdf = pdf.sort_values("block", kind="stable")
+        rows = _shared(list(zip(pdf["block"].tolist(), pdf["payload"], strict=True)))
+        return pd.DataFrame({"gid": pd.Series([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], dtype="int64"), "rows": pd.Series(rows, dtype=object)})
 
-    return raw.mapInArrow(run, "gid long, rows array<long>").dropDuplicates(["gid"])
+    return messages.groupBy("bucket").applyInPandas(run, "gid long, rows array<long>").dropDuplicates(["gid"])
 
 
 def _verified(packed: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:

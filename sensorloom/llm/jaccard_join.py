@@ -386,12 +386,11 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     while True:
         found = B.saved(_rest(groups, connected_components(links), sketches, num, den, limit))
         more = B.saved(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if found.where("a < 0").isEmpty():
-                break
-        else:
+        if not more.isEmpty():
             links = B.saved(links.unionByName(_verified(packed, more, words, num, den)))
             tried = B.saved(tried.unionByName(more))
+        if found.where("a < 0").isEmpty():
+            break
         limit *= 32
     return rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner"), links
 

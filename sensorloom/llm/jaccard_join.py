@@ -303,15 +303,27 @@ def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    odd = np.bincount((mix(elements) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities over a power of two of bits, twice the set's size or more; halves laid over each other give a shorter sketch."""
+    bits = SKETCH_BITS
+    while bits < 2 * len(elements):
+        bits *= 2
+    odd = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave them a chance."""
     one = sketches.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
     two = sketches.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
-    differ = "aggregate(zip_with(ba, bb, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
+    # sizes that can match differ by less than two, so sketches by one halving at most
+    short = "if(size({0}) > size({1}), zip_with(slice({0}, 1, cast(size({0}) / 2 as int)), slice({0}, cast(size({0}) / 2 as int) + 1, cast(size({0}) / 2 as int)), (x, y) -> x ^ y), {0})"
+    differ = f"aggregate(zip_with({short.format('ba', 'bb')}, {short.format('bb', 'ba')}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
     fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * {differ} <= {den - num} * (na + nb)"
     return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
 
@@ -345,7 +357,9 @@ def _rest(groups: DataFrame, parts: DataFrame, sketches: DataFrame, num: int, de
 def _cross(lo: int, hi: int, members: pa.StructArray, num: int, den: int, limit: int) -> list[tuple[int, int]]:
     """Possible pairs across components of one tile, `limit` for each two components; (-1, -1) where there are more."""
     node, c, size, side = (members.field(x).to_numpy() for x in ("node", "c", "size", "chunk"))
-    bits = members.field("bits").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+    each = [np.asarray(x, np.int64) for x in members.field("bits").to_pylist()]
+    shortest = min(map(len, each))
+    bits = np.stack([fold(x, shortest) for x in each]).view(np.uint64)
     left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
     step = max(1, (1 << 21) // (bits.shape[1] * max(1, len(right))))
     out, named = [], {}
@@ -380,8 +394,9 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     signed = _at_blocks(packed, asked, _sign(words, (num, den), B.bucket_count(packed)), B.MESSAGE)
     groups = B.saved(_list_groups(signed))
     sketches = B.saved(_sketches(packed, groups.select(F.explode("rows").alias("row")).distinct(), words))
-    tried = B.saved(_possible(_star(groups), sketches, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = B.saved(_verified(packed, tried, words, num, den))
+    stars = B.saved(_possible(_star(groups), sketches, num, den))
+    links = B.saved(_verified(packed, stars, words, num, den))
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     limit = 32
     while True:
         found = B.saved(_rest(groups, connected_components(links), sketches, num, den, limit))

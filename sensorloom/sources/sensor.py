@@ -43,7 +43,7 @@ def read_recordings(spark: SparkSession, path: str, subjects: list[int] | None =
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(index, line) of the non-blank stripped lines, 0-based in file order."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("index", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("index", "line"))
     return lines
 
 

@@ -8,8 +8,8 @@ item: two fingerprints that differ in no more bits agree on a block. Each such p
 verified by the weighted Jaccard similarity of its shingles (weights: occurrences).
 
 Only windows, candidate pairs and items move; texts stay in their scan except for the
-documents that share a shingle with an item. The items' shingles are broadcast when
-there are no more than `broadcast_rows` of them, else joined by hash.
+documents that share a shingle with an item. The items' shingles and the keys of those
+documents are broadcast when there are no more than `broadcast_rows`, else joined by hash.
 
 Defined cases: null or blank text has no windows; a document shorter than an item is one
 window; items with fewer words than a shingle are one shingle; items without words
@@ -78,7 +78,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 5, similarity: float = 0
     by_hash = _small(saved(spread.select("h", "length", "width").distinct()), broadcast_rows)
     widths = sorted(r[0] for r in bench.select("width").distinct().collect()) or [n]
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
-    own = docs.select(key.alias("key"), "doc_id", F.xxhash64("text").alias("text_hash"), words_of("text").alias("w")).where("size(w) > 0")
+    texts = docs.select(key.alias("key"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    own = texts.select("key", words_of("text").alias("w")).where("size(w) > 0")
     hits = None
     for width in widths:
         zipped = F.arrays_zip(*[F.expr(f"slice(w, {i + 1}, size(w) - {width - 1})").alias(f"w{i}") for i in range(width)])
@@ -91,7 +92,8 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 5, similarity: float = 0
     starts = hits.select("key", "length", "width", F.expr(f"explode(sequence(least({first}, {last}), {last}))").alias("start"))
     starts = saved(starts.distinct())
     # documents with hits, each once, as shingle hashes of each width that is needed
-    hit_docs = own.join(starts.select("key", "width").distinct(), "key").dropDuplicates(["key", "width"])
+    wanted = _small(saved(starts.select("key", "width").distinct()), broadcast_rows)
+    hit_docs = texts.join(wanted, "key").withColumn("w", words_of("text")).dropDuplicates(["key", "width"])
     hit_docs = saved(hit_docs.select("key", "doc_id", "text_hash", "width", F.expr(shingle_hashes("w", "width")).alias("hashes")))
     window = F.slice("hashes", F.col("start") + 1, F.col("length") - F.col("width") + 1)
     group = ["key", "length", "width", "start"]

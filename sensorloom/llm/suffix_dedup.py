@@ -8,9 +8,11 @@ segment of bytes that holds all windows of that anchor occurrence goes to the an
 bucket. Equal segments count as one with a multiplicity. Where an anchor has several
 distinct segments, the bucket builds the collection's Burrows-Wheeler transform and
 longest common prefixes column by column: each round inserts one symbol of every
-segment, right to left, reading the last round's BWT and LCP columns front to back and
-writing the next ones; columns beyond a memory limit lie in files. A window is repeated
-when its suffix has `length` or more bytes in common with a neighbour.
+string, right to left, reading the last round's BWT and LCP columns front to back and
+writing the next ones; columns beyond a memory limit lie in files. Symbols are runs of
+several bytes and a segment stands for as many strings, one for each byte phase, so
+rounds are fewer by that factor. A window is repeated when its suffix has `length` or
+more bytes in common with a neighbour.
 
 Anchor collisions only make more segments meet; the BWT decides. Memory holds one
 block, or one collection's columns; a hot anchor's equal segments are merged in each
@@ -151,73 +153,105 @@ class Column:
         return values
 
 
+def _symbols(segments: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """At each byte of the joined segments, the code (from 1, in order) of the `width` bytes there; and the segments' starts."""
+    raw = np.frombuffer(b"".join(segments) + bytes(width), np.uint8).astype(np.uint64)
+    word = np.zeros(len(raw) - width, np.uint64)
+    for i in range(width):
+        word = (word << np.uint64(8)) | raw[i : i + len(word)]
+    known, code = np.unique(word, return_inverse=True)
+    starts = np.cumsum([0, *map(len, segments[:-1])])
+    return (code + 1).astype(np.uint16 if len(known) < 1 << 16 else np.uint32), starts
+
+
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of the symbols, by radix sorts of 16 bits each."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    if symbols.dtype.itemsize > 2:
+        order = order[np.argsort((symbols[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def shared_windows(segments: list[bytes], length: int, memory: int = 32 << 20) -> list[np.ndarray]:
     """For each of distinct segments, which of its windows of `length` bytes occur in another.
 
-    Column-wise construction: round t inserts the suffix of t bytes of every segment that
+    A symbol is a run of `width` bytes, the largest divisor of the length up to 8, and each
+    segment stands for `width` strings of symbols, one from each of its first bytes; so
+    each window is a whole number of symbols of one string.
+
+    Column-wise construction: round t inserts the suffix of t symbols of every string that
     has one. With BWT symbol c before the last inserted suffix at p, the next suffix goes
     behind all that start with less than c and the earlier occurrences of c; its common
     prefix with its predecessor is one more than the least LCP since that occurrence.
     """
-    m = len(segments)
+    width = max(w for w in range(1, 9) if length % w == 0)
+    code, starts = _symbols(segments, width)
     sizes = np.array([len(s) for s in segments], np.int64)
-    raw = np.frombuffer(b"".join(segments), np.uint8)
-    ends = np.cumsum(sizes)
-    # symbol 0 ends a segment; bytes are one higher
-    bwt = Column(raw[ends - 1].astype(np.uint16) + 1, memory)
-    lcp = Column(np.zeros(m, np.uint16), memory)
+    first = (starts[:, None] + np.arange(width)).ravel()
+    counts = ((sizes[:, None] - np.arange(width)) // width).ravel()
+    used = counts * width >= length
+    first, counts, owner = first[used], counts[used], np.flatnonzero(used) // width
+    out = [np.zeros(max(0, int(s) - length + 1), bool) for s in sizes]
+    m = len(counts)
+    if not m:
+        return out
+    # symbol 0 ends a string
+    bwt = Column(code[first + (counts - 1) * width], memory)
+    lcp = Column(np.zeros(m, np.uint32), memory)
     at, active = np.arange(m), np.arange(m)
-    for t in range(1, int(sizes.max()) + 1):
+    for t in range(1, int(counts.max()) + 1):
         old_bwt, old_lcp = bwt.read(), lcp.read()
-        order = np.argsort(old_bwt, kind="stable")
+        order = _order(old_bwt)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         r = rank[at]
         symbol = old_bwt[at]
         gone = int((old_bwt == 0).sum())
         place = m + r - gone
-        prev = np.where((r > 0) & (old_bwt[order[r - 1]] == symbol), order[r - 1], -1)
+        prev = order[np.maximum(r - 1, 0)]
+        leads = (r > 0) & (old_bwt[prev] == symbol)
         after = order[np.minimum(r + 1, len(order) - 1)]
         follows = (r + 1 < len(order)) & (old_bwt[after] == symbol)
-        own = _least(old_lcp, prev + 1, at + 1)
-        own = np.where(prev >= 0, own + 1, 0)
-        next_lcp = np.where(follows, _least(old_lcp, at + 1, after + 1) + 1, 0)
         size = len(old_bwt) + len(active)
         fresh = np.zeros(size, bool)
         fresh[place] = True
-        new_bwt, new_lcp = np.empty(size, np.uint16), np.empty(size, np.uint16)
+        new_bwt, new_lcp = np.empty(size, code.dtype), np.empty(size, np.uint32)
         new_bwt[~fresh], new_lcp[~fresh] = old_bwt, old_lcp
-        before = ends[active] - t - 1
-        new_bwt[place] = np.where(sizes[active] > t, raw[before].astype(np.uint16) + 1, 0)
-        new_lcp[place] = own
-        new_lcp[(place + 1)[follows]] = next_lcp[follows]
+        left = counts[active] - t
+        new_bwt[place] = np.where(left > 0, code[first[active] + np.maximum(left - 1, 0) * width], 0)
+        new_lcp[place] = 0
+        new_lcp[place[leads]] = _least(old_lcp, prev[leads] + 1, at[leads] + 1) + 1
+        new_lcp[place[follows] + 1] = _least(old_lcp, at[follows] + 1, after[follows] + 1) + 1
         bwt, lcp = Column(new_bwt, memory), Column(new_lcp, memory)
-        going = sizes[active] > t
-        at, active = place[going], active[going]
+        at, active = place[left > 0], active[left > 0]
     final, common = bwt.read(), np.append(lcp.read(), 0)
-    order = np.argsort(final, kind="stable")
+    order = _order(final)
     step = np.empty(len(order), np.int64)
     step[order] = np.arange(len(order)) + m - int((final == 0).sum())
-    out = [np.zeros(max(0, int(s) - length + 1), bool) for s in sizes]
     at, active = np.arange(m), np.arange(m)
-    for t in range(1, int(sizes.max()) + 1):
+    for t in range(1, int(counts.max()) + 1):
         at = step[at]
-        if t >= length:
-            hit = (common[at] >= length) | (common[at + 1] >= length)
-            for i in active[hit]:
-                out[i][sizes[i] - t] = True
-        going = sizes[active] > t
+        if t * width >= length:
+            hit = active[np.maximum(common[at], common[at + 1]) * width >= length]
+            for i, x in zip(owner[hit].tolist(), (first[hit] + (counts[hit] - t) * width - starts[owner[hit]]).tolist(), strict=True):
+                out[i][x] = True
+        going = counts[active] > t
         at, active = at[going], active[going]
     return out
 
 
 def _least(values: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Minimum of values[a:z] for each pair; empty ranges give values[a]."""
-    z = np.maximum(z, a + 1)
-    cuts = np.empty(2 * len(a), np.int64)
-    cuts[0::2], cuts[1::2] = a, z
-    padded = np.append(values, [values[-1]] * 2)
-    return np.minimum.reduceat(padded, cuts)[0::2].astype(np.int64)
+    """Minimum of values[a:z] for each pair of a < z, by minima over powers of two."""
+    out = np.zeros(len(a), values.dtype)
+    power = np.frexp((z - a).astype(np.float64))[1] - 1
+    level = values
+    for j in range(int(power.max(initial=-1)) + 1):
+        if j:
+            half = 1 << (j - 1)
+            level = np.minimum(level[:-half], level[half:])
+        ask = np.flatnonzero(power == j)
+        out[ask] = np.minimum(level[a[ask]], level[z[ask] - (1 << j)])
+    return out
 
 
 def _intervals(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -266,7 +300,7 @@ def _resolve(length: int, collection_bytes: int):
     return reduce
 
 
-def removed_spans(docs: DataFrame, finish, schema, length: int = 200, collection_bytes: int = 1 << 20) -> DataFrame:
+def removed_spans(docs: DataFrame, finish, schema, length: int = 200, collection_bytes: int = 60_000) -> DataFrame:
     """Rows that finish(table, spans) makes of each block; spans[i] are row i's merged removed byte ranges."""
     packed = B.pack(docs)
     n = B.bucket_count(packed)

@@ -226,12 +226,12 @@ def _shared(messages: list[tuple[int, bytes]]) -> list[np.ndarray]:
 
 
 def _list_groups(messages: DataFrame) -> DataFrame:
-    """(gid, rows): distinct groups of two rows or more."""
+    """(gid, rows): distinct groups of two rows or more, the rows in the order of their hashes."""
 
     def run(key, pdf):
         pdf = pdf.sort_values("block", kind="stable")
         rows = _shared(list(zip(pdf["block"].tolist(), pdf["payload"], strict=True)))
-        return pd.DataFrame({"gid": pd.Series([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], dtype="int64"), "rows": pd.Series(rows, dtype=object)})
+        return pd.DataFrame({"gid": pd.Series([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], dtype="int64"), "rows": pd.Series([r[np.argsort(mix(r.view(np.uint64)))] for r in rows], dtype=object)})
 
     return messages.groupBy("bucket").applyInPandas(run, "gid long, rows array<long>").dropDuplicates(["gid"])
 
@@ -273,14 +273,9 @@ def _verified(packed: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -
     return _at_blocks(packed, ready, compare, "a long, b long")
 
 
-def _order(row: str) -> str:
-    return f"struct(xxhash64({row}) as h, {row} as r)"
-
-
 def _star(groups: DataFrame) -> DataFrame:
-    """Pairs of each group's smallest row, in one hashed order for all groups, with the others."""
-    first = F.expr(f"array_min(transform(rows, x -> {_order('x')})).r")
-    return groups.select(first.alias("a"), F.explode("rows").alias("b")).where("a <> b").distinct()
+    """Pairs of each group's first row, in one hashed order for all groups, with the others."""
+    return groups.select(F.col("rows")[0].alias("a"), F.explode("rows").alias("b")).where("a <> b").distinct()
 
 
 def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A text is its lower-cased words, each followed by a space, then a newline as the end.
-Each byte is decomposed into eight binary decisions; a decision's context is the bytes
-before it, the nearest first, up to six and not beyond the start of its word. Every
+Each byte is decomposed into eight binary decisions; a decision's context is the six
+bytes before it in the running text, the nearest first, so it reaches into the words
+before (spaces stand before the first byte). With word_contexts it ends at the start of
+the byte's own word, which makes the model a speller of single words. Every
 (context, decision) node holds a Krichevsky-Trofimov estimate, and context-tree
 weighting mixes the estimates of all depths: from the leaves up, a node's weighted
 probability is the mean of its own estimate's and its children's product. The tree is
@@ -11,9 +13,9 @@ this equals feeding the texts one by one), and then scores every text unchanged.
 the way down, a node keeps its share of belief and passes the rest to the deeper
 context; where a deeper one was never seen, the deepest seen takes all of it.
 
-Only distinct words travel: blocks send theirs to word buckets, which send distinct
-seven-byte grams to the bucket of their two nearest context bytes, where the subtree
-is weighted. The top of the tree (depths 0 and 1, at most 257 x 255 nodes whatever
+Only distinct grams and words travel: blocks send their seven-byte grams with counts to
+the bucket of the two nearest context bytes, where the subtree is weighted, and get the
+grams' probabilities back; words go to word buckets for the base score. The top of the tree (depths 0 and 1, at most 257 x 255 nodes whatever
 the input) is put together on the driver.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is held out;
@@ -37,69 +39,146 @@ from sensorloom.llm import blocks as B
 
 DEPTH = 6
 END = b"\n"
-WORDS = "bucket long, tokens long, distinct long, parts array<struct<to: long, payload: binary>>"
+#: Raw bytes of a block, and of the texts whose grams are made at a time.
+BLOCK_BYTES = 32 << 20
+RUN_BYTES = 2 << 20
 
 
 def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def _send_words(n: int):
+def _send(n: int, word_contexts: bool):
+    """Grams with counts go to buckets 0 to n - 1, words with counts to n to 2 n - 1."""
+
     def send(_: int, table: pa.Table) -> Iterator[tuple[int, bytes]]:
-        seen: Counter = Counter()
+        doc_ids = table["doc_id"].to_pylist()
+        seen: set[bytes] = set()
         learnt: Counter = Counter()
-        for doc_id, text in zip(table["doc_id"].to_pylist(), B.texts(table), strict=True):
-            to = seen if held_out(doc_id) else learnt
-            to.update(text.lower().split())
-            to[END] += 1
+        for doc_id, text in zip(doc_ids, B.texts(table), strict=True):
+            (seen if held_out(doc_id) else learnt).update([*text.lower().split(), END])
         per: list[list[bytes]] = [[] for _ in range(n)]
-        for word in learnt.keys() | seen.keys():
+        for word in learnt.keys() | seen:
             per[zlib.crc32(word) % n].append(word)
         for bucket, words in enumerate(per):
             if words:
-                words.sort()
-                yield bucket, B.dumps((b" ".join(words), np.array([learnt.get(w, 0) for w in words], np.int64)))
+                yield n + bucket, B.dumps((b" ".join(words), np.array([learnt.get(w, 0) for w in words], np.int64)))
+        merged = Merged()
+        for start, key, first in _runs(table, word_contexts):
+            held = [held_out(d) for d in doc_ids[start : start + len(first)]]
+            held = np.repeat(held, np.diff(np.append(first, len(key))))
+            unseen = np.unique(key[held])
+            own, count = np.unique(key[~held], return_counts=True)
+            merged.add(own, count)
+            merged.add(unseen, np.zeros(len(unseen), np.int64))
+        keys, counts = merged.all()
+        to = bucket_of(keys, n)
+        for bucket in np.unique(to).tolist():
+            yield bucket, _pressed(keys[to == bucket], counts[to == bucket])
 
     return send
 
 
-def _vocabulary(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    return ((keys >> 40) * 40503 >> 4) % n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The values, equal bytes of all next to each other, compressed."""
+    raw = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return B.dumps((x.dtype.str, len(x), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+
+
+def _values(payload: bytes) -> np.ndarray:
+    dtype, n, size, raw = B.loads(payload)
+    raw = np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(-1, n).T).view(dtype).ravel()
+
+
+def _pressed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences, with their counts."""
+    return B.dumps((_planes(np.diff(keys, prepend=0)), _planes(counts)))
+
+
+def _pressed_out(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = B.loads(payload)
+    return np.cumsum(_values(steps)), _values(counts)
+
+
+def _vocabulary(payloads: list[bytes]) -> dict[bytes, int]:
     counts: dict[bytes, int] = {}
     for p in payloads:
         raw, c = B.loads(p)
         for w, k in zip(raw.split(b" "), c.tolist(), strict=True):
             counts[w] = counts.get(w, 0) + k
-    words = sorted(counts)
-    return words, np.array([counts[w] for w in words], np.int64)
+    return counts
 
 
-def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each word's bytes in context, and where each word's keys begin.
+def pieces(text: bytes, word_contexts: bool) -> list[bytes]:
+    """The parts of a text beyond whose start no context reaches: the text, or each of its words."""
+    parts = [w + b" " for w in text.lower().split()] + [END]
+    return parts if word_contexts else [b"".join(parts)]
+
+
+def grams(parts: list[bytes]) -> np.ndarray:
+    """Keys of the parts' bytes in context.
 
     A key holds the six bytes before, the nearest highest, then the byte itself.
     """
     pad = b" " * DEPTH
-    tails = [w if w == END else w + b" " for w in words]
-    raw = np.frombuffer(b"".join(pad + t for t in tails), np.uint8).astype(np.int64)
-    lengths = np.array([len(t) for t in tails], np.int64)
+    raw = np.frombuffer(b"".join(pad + t for t in parts), np.uint8).astype(np.int64)
+    lengths = np.array([len(t) for t in parts], np.int64)
     begins = np.cumsum(lengths + DEPTH) - lengths
     first = np.cumsum(lengths) - lengths
-    at = np.arange(lengths.sum()) - np.repeat(first, lengths) + np.repeat(begins, lengths)
+    at = np.arange(lengths.sum()) + np.repeat(begins - first, lengths)
     key = raw[at]
     for d in range(1, DEPTH + 1):
-        key = key + (raw[at - d] << (8 * (DEPTH + 1 - d)))
-    return key, first
+        key += raw[at - d] << (8 * (DEPTH + 1 - d))
+    return key
+
+
+def _runs(table: pa.Table, word_contexts: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first text, the keys, and where each text's keys begin, for a run of texts at a time."""
+    start, held, sizes, size = 0, [], [], 0
+    for text in B.texts(table):
+        own = pieces(text, word_contexts)
+        held += own
+        sizes.append(sum(map(len, own)))
+        size += sizes[-1]
+        if size >= RUN_BYTES:
+            yield start, grams(held), np.cumsum(sizes) - sizes
+            start, held, sizes, size = start + len(sizes), [], [], 0
+    if sizes:
+        yield start, grams(held), np.cumsum(sizes) - sizes
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[at], np.add.reduceat(counts, at)
 
 
+class Merged:
+    """Keys with summed counts, added up whenever as many came in as there are."""
+
+    def __init__(self) -> None:
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        self.fresh = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, counts))
+        self.fresh += len(keys)
+        if self.fresh >= max(len(self.parts[0][0]), 1 << 20):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        self.parts, self.fresh = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        return self.parts[0]
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for positive x, by Stirling's series at x + 8."""
     shift = sum(np.log(x + i) for i in range(8))
@@ -206,88 +285,101 @@ def code_lengths(keys: np.ndarray, counts: np.ndarray, top: Top) -> np.ndarray:
 
 
 def _merged(payloads) -> tuple[np.ndarray, np.ndarray]:
-    parts = [B.loads(p) for p in payloads]
-    return summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    merged = Merged()
+    for p in payloads:
+        merged.add(*_pressed_out(p))
+    return merged.all()
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row."""
-    packed = B.pack(docs.select("doc_id", "text"))
+def _dealt(messages: DataFrame) -> DataFrame:
+    """The messages in a checkpoint, dealt out by bucket once for all later passes."""
+    spark = messages.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return B.saved(messages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row.
+
+    word_contexts=False lets contexts cross words, which is the model of the whole text.
+    """
+    packed = B.pack(docs.select("doc_id", "text"), BLOCK_BYTES)
     n = B.bucket_count(packed)
-    words = B.saved(B.scatter(packed, _send_words(n)))
+    sent = _dealt(B.scatter(packed, _send(n, word_contexts)))
 
     def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        vocabulary, counts = _vocabulary(pdf["payload"].tolist())
-        gram, first = grams(vocabulary)
-        gram, weight = summed(gram, np.repeat(counts, np.diff(np.append(first, len(gram)))))
-        to = ((gram >> 40) * 40503 >> 4) % n
-        parts = [(int(b), B.dumps((gram[to == b], weight[to == b]))) for b in np.unique(to)]
-        return pd.DataFrame({"bucket": [int(key[0])], "tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())], "parts": [[{"to": b, "payload": p} for b, p in parts]]})
-
-    counted = B.saved(words.groupBy("bucket").applyInPandas(count, WORDS))
+        counts = np.array(list(_vocabulary(pdf["payload"].tolist()).values()), np.int64)
+        return pd.DataFrame({"tokens": [int(counts.sum())], "distinct": [int((counts > 0).sum())]})
+
+    counted = sent.where(F.col("bucket") >= n).groupBy("bucket").applyInPandas(count, "tokens long, distinct long")
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    asked = counted.select(F.col("bucket").alias("block"), F.explode("parts").alias("p")).select("block", F.col("p.to").alias("bucket"), F.col("p.payload").alias("payload"))
 
     def subtree(key, pdf: pd.DataFrame) -> pd.DataFrame:
         levels = lower_levels(*_merged(pdf["payload"]))
         two = levels[0]
         up, inverse = np.unique(two.parents(), return_inverse=True)
         sums = [np.bincount(inverse, x, len(up)) for x in (two.zeros, two.ones, two.log_w)]
+        del levels, two
+        B.trim()
         return pd.DataFrame({"node": up, "zeros": sums[0], "ones": sums[1], "below": sums[2]})
 
-    tops = asked.groupBy("bucket").applyInPandas(subtree, "node long, zeros double, ones double, below double")
+    tops = sent.where(F.col("bucket") < n).groupBy("bucket").applyInPandas(subtree, "node long, zeros double, ones double, below double")
     tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toPandas().sort_values("node")
     top = Top(tops["node"].to_numpy(np.int64), tops["zeros"].to_numpy(), tops["ones"].to_numpy(), tops["below"].to_numpy())
 
-    def answer(_: int, messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    def answer(bucket: int, messages: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+        if bucket >= n:
+            counts = _vocabulary([p for _, p in messages])
+            for block, p in messages:
+                raw = B.loads(p)[0]
+                yield block, B.dumps((bucket, raw, np.array([counts[w] for w in raw.split(b" ")], np.int64)))
+            return
         keys, counts = _merged([p for _, p in messages])
         logs = code_lengths(keys, counts, top)
         for block, p in messages:
-            own = B.loads(p)[0]
-            yield block, B.dumps((own, logs[np.searchsorted(keys, own)]))
-
-    logs = B.at_buckets(asked, answer).select(F.col("block").alias("bucket"), "payload")
-
-    def weigh(key, messages: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
-        if not len(messages):
-            return pd.DataFrame({"block": pd.Series(dtype="int64"), "bucket": pd.Series(dtype="int64"), "payload": pd.Series(dtype=object)})
-        vocabulary, counts = _vocabulary(messages["payload"].tolist())
-        parts = [B.loads(p) for p in logs["payload"]]
-        known, value = np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts])
-        order = np.argsort(known)
-        known, value = known[order], value[order]
-        gram, first = grams(vocabulary)
-        scores = np.add.reduceat(value[np.searchsorted(known, gram)], first)
-        index = {w: i for i, w in enumerate(vocabulary)}
-        out = []
-        for p in messages["payload"]:
-            raw = B.loads(p)[0]
-            at = np.fromiter(map(index.__getitem__, raw.split(b" ")), np.int64)
-            out.append(B.dumps((raw, counts[at], scores[at])))
-        return pd.DataFrame({"block": messages["block"].to_numpy(), "bucket": int(key[0]), "payload": out})
-
-    answers = words.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInPandas(weigh, B.MESSAGE)
+            own = _pressed_out(p)[0]
+            yield block, B.dumps((bucket, _planes(np.diff(own, prepend=0)), _planes(logs[np.searchsorted(keys, own)])))
+        del keys, counts, logs
+        B.trim()
+
     tokens, distinct = int(total[0]), int(total[1])
     floor = tokens + 0.5 * (distinct + 1)
 
     def finish(_: int, table: pa.Table, payloads: list[bytes]) -> Iterator[pa.Table]:
-        parts = [B.loads(p) for p in payloads]
-        index = {w: i for i, w in enumerate(w for raw, _, _ in parts for w in raw.split(b" "))}
-        counts = np.concatenate([c for _, c, _ in parts])
-        scores = np.concatenate([s for _, _, s in parts])
-        base = np.log10((counts + 0.5) / floor)
+        known: dict[bytes, int] = {}
+        parts = []
+        for p in payloads:
+            bucket, own, value = B.loads(p)
+            if bucket >= n:
+                known.update(zip(own.split(b" "), value.tolist(), strict=True))
+            else:
+                parts.append((np.cumsum(_values(own)), _values(value)))
+        keys, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        order = np.argsort(keys)
+        keys, logs = keys[order], logs[order]
+        scores, sizes = [], []
+        for _, key, first in _runs(table, word_contexts):
+            order = np.argsort(key)
+            value = np.empty(len(key))
+            value[order] = logs[np.searchsorted(keys, key[order])]
+            scores += np.add.reduceat(value, first).tolist()
+            sizes += np.diff(np.append(first, len(key))).tolist()
+        del keys, logs
         rows = []
-        for doc_id, text in zip(table["doc_id"].to_pylist(), B.texts(table), strict=True):
-            found = text.lower().split()
-            found.append(END)
-            at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
-            size = sum(map(len, found)) + len(found) - 1
-            total_score = float(scores[at].sum())
-            rows.append((held_out(doc_id), len(found), int((counts[at] > 0).sum()), float(base[at].sum()), total_score, -total_score / math.log10(2) / size))
+        for doc_id, text, total_score, size in zip(table["doc_id"].to_pylist(), B.texts(table), scores, sizes, strict=True):
+            counts = np.array([known[w] for w in [*text.lower().split(), END]], np.int64)
+            base = float(np.log10((counts + 0.5) / floor).sum())
+            rows.append((held_out(doc_id), len(counts), int((counts > 0).sum()), base, total_score, -total_score / math.log10(2) / size))
         cols = list(zip(*rows, strict=True))
         yield pa.table({
             "doc_id": table["doc_id"], "held_out": pa.array(cols[0], pa.bool_()), "n_tokens": pa.array(cols[1], pa.int64()), "n_known": pa.array(cols[2], pa.int64()),
             "train_tokens": pa.array([tokens] * len(rows), pa.int64()), "base_score": pa.array(cols[3], pa.float64()), "score": pa.array(cols[4], pa.float64()), "bits_per_byte": pa.array(cols[5], pa.float64()),
         })
 
+    answers = B.at_buckets(sent, answer)
     return B.gather(packed, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

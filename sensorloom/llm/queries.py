@@ -18,7 +18,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_tree.score(_table(spark, sf_dir, "documents"))
+    return context_tree.score(_table(spark, sf_dir, "documents"), word_contexts=False)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,44 @@ def test_context_tree(spark, docs, empty):
     assert context_tree.score(docs).count() == docs.count() and context_tree.score(empty).count() == 0
 
 
+def test_context_tree_crosses_words(spark):
+    """Brute force over the running text; the order of words counts."""
+    texts = ["one two three one two three", "one two one two four", "two three one", "one two three", "three two one", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "one two three one two"), (None, "two two one three one")]
+    got = {(r.doc_id, r.n_tokens, round(r.score, 9)): r for r in context_tree.score(spark.createDataFrame(rows, "doc_id long, text string"), word_contexts=False).collect()}
+    counts, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    gram = lambda t: b"      " + b"".join(w + b" " for w in (t or "").lower().encode().split()) + b"\n"
+    for i, t in rows:
+        if not context_tree.held_out(i):
+            s = gram(t)
+            for p in range(6, len(s)):
+                for k in range(8):
+                    for d in range(7):
+                        node = (1 << k) | s[p] >> 8 - k
+                        counts[s[p - d : p], node][s[p] >> 7 - k & 1] += 1
+                        if d:
+                            kids[s[p - d + 1 : p], node].add((s[p - d : p], node))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weigh = lambda n: kt(*counts[n]) if len(n[0]) == 6 else np.logaddexp(kt(*counts[n]), sum(map(weigh, kids[n]))) - math.log(2)
+
+    def log10(s, p, k):
+        left, mixed, out = 1.0, 0.0, 0.5
+        for d in range(7):
+            n = (s[p - d : p], (1 << k) | s[p] >> 8 - k)
+            if n not in counts:
+                break
+            one = (counts[n][1] + 0.5) / (sum(counts[n]) + 1)
+            out, stay = mixed + left * one, 1.0 if d == 6 else math.exp(kt(*counts[n]) - math.log(2) - weigh(n))
+            mixed, left = mixed + left * stay * one, left * (1 - stay)
+        return math.log10(out if s[p] >> 7 - k & 1 else 1 - out)
+
+    want = [(i, sum(log10(s, p, k) for p in range(6, len(s)) for k in range(8)), len(s) - 6) for i, t in rows for s in [gram(t)]]
+    assert sorted(r.score for r in got.values()) == pytest.approx(sorted(w for _, w, _ in want))
+    assert sorted(r.bits_per_byte for r in got.values()) == pytest.approx(sorted(-w / math.log10(2) / z for _, w, z in want))
+    same, mixed = sorted((r.score for r in got.values() if r.doc_id is None), reverse=True)
+    assert same > mixed + 1
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16))

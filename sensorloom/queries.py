@@ -335,6 +335,11 @@ def _pairs(spark, d, cap: int = 12) -> DataFrame:
     return split.pair_windows(*_sides(spark, d), cap, None)
 
 
+def _sampled_pairs(spark, d) -> DataFrame:
+    """The operator's own sample; no SQL has its hash order."""
+    return split.pair_windows(*_sides(spark, d))
+
+
 @query(f"WITH {PAIRS} SELECT activity_name, rn::INT AS rn, r_id, s_id, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse_to_prompt_real, round(avg(abs(x - y)), 6) AS mae_to_prompt_real FROM pc GROUP BY ALL")
 def candidate_rmse_mae(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cd.prompt_errors(_pairs(spark, d)).drop("r", "s"))
@@ -410,17 +415,17 @@ def overall_mean_row(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.warp(_pairs(spark, d)))
+    return rounded(metrics.warp(_sampled_pairs(spark, d)))
 
 
 @query()
 def shr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.shapelets(_pairs(spark, d), count=4, rounds=20))
+    return rounded(metrics.shapelets(_sampled_pairs(spark, d)))
 
 
 @query()
 def similarity_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.similarity(*_sides(spark, d), _pairs(spark, d), max_lag=8))
+    return rounded(metrics.similarity(*_sides(spark, d), _sampled_pairs(spark, d)))
 
 
 # --- text -----------------------------------------------------------------------------------------

@@ -3,8 +3,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sensorloom.operators import metrics, split
 from sensorloom.queries import ORACLES, QUERIES
+from sensorloom.sources import sensor
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,3 +40,21 @@ def test_query(spark, con, name):
     assert len(got) == len(want) and (not got or sorted(got[0]) == sorted(cols))
     if name not in ("channel_scaler", "channel_summary", "mdd"):
         assert all(same(a, b) for a, b in zip(order(got), order(want), strict=True))
+
+
+def test_sampled_pairs(spark, con, monkeypatch):
+    """Queries over sampled pairs take all pairs up to 128 of an activity, with the operators' own lags, shapelets and rounds."""
+    n = dict(con.execute("SELECT 'a' || label, least(count(*) FILTER (vec_id % 2 = 0), count(*) FILTER (vec_id % 2 = 1), 128) FROM embeddings GROUP BY label").fetchall())
+    got = {r.activity_name: r for r in QUERIES["similarity_all"](spark, SF).collect()}
+    assert max(n.values()) > 12 and {a: r.num_real for a, r in got.items() if a in n} == n
+    w = sensor.vectors_as_windows(spark, SF)
+    pairs = split.pair_windows(w.where("NOT generated"), w.where("generated"), 128, 42).persist()
+    r, s = (pairs.select("activity_name", F.col(f"{x}_id").alias("window_id"), F.col(x).alias("w")) for x in "rs")
+    for row in metrics.autocorrelation_difference(r, s, 32).collect():
+        assert math.isclose(got[row.activity_name].ACD, row.ACD, abs_tol=1e-6)
+    want = {r.activity_name: r.DTW for r in metrics.warp(pairs).collect()}
+    assert all(math.isclose(r.DTW, want[r.activity_name], abs_tol=1e-6) for r in QUERIES["dtw_pairs"](spark, SF).collect())
+    asked = []
+    monkeypatch.setattr(metrics, "shapelets", lambda x, **options: asked.append((x.count(), options)) or x)
+    QUERIES["shr"](spark, SF)
+    assert asked == [(sum(n.values()), {})]

@@ -7,7 +7,9 @@ A query looks at windows centred on its own projections; virtual rehashing widen
 windows together, step by step, and each vector inside a window gains a collision.
 Vectors whose collisions reach the threshold are verified with their exact inner
 product in double precision. The search ends when enough were verified and the window
-has outgrown the k-th best distance, or all vectors of the shard were.
+has outgrown `beyond` times the k-th best distance, or all vectors of the shard were; no
+number of verified vectors ends it. A nearer vector is missed with the small probability
+that too few of its projections fall into windows that wide.
 
 Queries are met with shards in blocks, so a task holds one shard and one block of
 queries, both of bounded size; each sends its k best and a window keeps the k best of
@@ -41,7 +43,7 @@ class ShardIndex:
     must have been verified before the distance bound may end a search.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 96, share: float = 0.75, grow: float = 1.1, start: float = 1.0, enough: float = 0.1, floor: int = 400, most: float = 1.0, seed: int = 11) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 96, share: float = 0.75, grow: float = 1.1, start: float = 1.0, enough: float = 0.1, floor: int = 400, beyond: float = 1.5, seed: int = 11) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
@@ -53,7 +55,7 @@ class ShardIndex:
         self.rank = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(shadow.T, self.rank, axis=1)
         self.need, self.grow, self.start = max(1, int(np.ceil(share * directions))), grow, start
-        self.most = most
+        self.beyond = beyond
         self.enough = max(floor, int(enough * len(ids)))
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +86,7 @@ class ShardIndex:
                 break
             if len(picked) >= max(k, min(self.enough, n)):
                 kth = np.partition(scores, -k)[-k]
-                if 2 * self.top - 2 * scale * kth <= (width * self.grow) ** 2:
-                    break
-                if len(picked) >= self.most * self.enough:
+                if (2 * self.top - 2 * scale * kth) * self.beyond**2 <= width**2:
                     break
             width *= self.grow
         if len(picked) > k:

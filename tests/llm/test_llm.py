@@ -307,6 +307,19 @@ def test_nearest(spark):
     assert set(got) == set(range(0, 900, 20)) and hits >= 0.9 * 45 * 20
 
 
+@pytest.mark.parametrize("longest", [1, 20])
+def test_nearest_has_no_candidate_cap(longest):
+    """Neighbours beyond the first tenth of a shard are found, also beside one very long vector."""
+    x = np.random.default_rng(6).normal(size=(6000, 24))
+    x[7] *= longest
+    index, hits = collision_ann.ShardIndex(np.arange(6000), x), 0
+    for q in range(0, 6000, 150):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(6000), -s))[:20]) & set(index.search(x[q], q, 20)[0]))
+    assert hits >= 0.98 * 40 * 20
+
+
 def test_language(spark, docs, empty):
     made = [(i, " ".join(f"{'aeiou'[j % 5]}{'ntrs'[(i + j) % 4]}{'xq' if i % 2 else 'lm'}" for j in range(30)), "q" if i % 2 else "m") for i in range(300)]
     df = spark.createDataFrame([*made, (900, None, "q"), (901, "12 34", "m"), (902, "", None)], "doc_id long, text string, lang string")

@@ -19,7 +19,8 @@ count too. So no similar pair is lost.
 Equal sets are collapsed to a class before signatures are made. Groups that share a
 signature first send a star of pairs (smallest member against the rest) to exact
 verification; further rounds send pairs of members that are then still in different
-components, until none is left that was not compared. Before a set travels, the pair
+components, until none is left that was not compared; that is enough for components.
+class_links and link_counts verify every pair that shares a signature instead. Before a set travels, the pair
 must pass the sets' parity sketches, which bound the difference from below and so lose
 nothing. Sets are compared where the blocks of their texts lie.
 
@@ -374,13 +375,11 @@ def _cross(lo: int, hi: int, members: pa.StructArray, num: int, den: int, limit:
     return out + [(-1, -1)] * any(n > limit for n in named.values())
 
 
-def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the packed documents with their class, and links between class owners.
+def _grouped(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the packed documents with their class, groups of class owners that share a signature, and the owners' sketches.
 
     The first frame has row, doc_id, n_shingles and owner, the row that stands for all
-    rows with the same set (null for an empty one). The second has a, b: owners whose
-    sets have num / den of their union or more in common, enough of them to connect
-    each component.
+    rows with the same set (null for an empty one).
     """
     none = packed.sparkSession.createDataFrame([], B.MESSAGE)
     rows = B.saved(B.gather(packed, none, _stats(words), "row long, doc_id long, n_shingles long, hi long, lo long"))
@@ -389,6 +388,18 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
     signed = _at_blocks(packed, asked, _sign(words, (num, den), B.bucket_count(packed)), B.MESSAGE)
     groups = B.saved(_list_groups(signed))
     sketches = B.saved(_sketches(packed, groups.select(F.explode("rows").alias("row")).distinct(), words))
+    owned = rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner")
+    return owned, groups, sketches
+
+
+def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the packed documents with their class, and links between class owners.
+
+    The first frame is that of _grouped. The second has a, b: owners whose sets have
+    num / den of their union or more in common, only enough of them to connect each
+    component (class_links has all).
+    """
+    rows, groups, sketches = _grouped(packed, words, num, den)
     stars = B.saved(_possible(_star(groups), sketches, num, den))
     links = B.saved(_verified(packed, stars, words, num, den))
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -402,7 +413,18 @@ def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFram
         if found.where("a < 0").isEmpty():
             break
         limit *= 32
-    return rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner"), links
+    return rows, links
+
+
+def class_links(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """As classes, with every link: each possible pair of owners that share a signature is verified, a < b, once."""
+    rows, groups, sketches = _grouped(packed, words, num, den)
+    apart = packed.sparkSession.createDataFrame([], "node long, component long")
+    # each owner is a component of its own, so one pair of each two components is every pair
+    pairs = _rest(groups, apart, sketches, num, den, 1)
+    twos = _possible(_star(groups.where("size(rows) = 2")), sketches, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = B.saved(pairs.unionByName(twos).distinct())
+    return rows, B.saved(_verified(packed, pairs, words, num, den))
 
 
 def _components(packed: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -422,6 +444,23 @@ def components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -
     return tagged.join(lowest, "part", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row of docs.
+
+    n_links is the number of other rows whose sets are similar, equal ones included.
+    """
+    rows, links = class_links(B.pack(docs.select("doc_id", "text")), words, num, den)
+    sizes = B.saved(rows.where("owner is not null").groupBy("owner").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.select(F.col("owner").alias("b"), "n"), "b").groupBy(F.col("a").alias("owner")).agg(F.sum("n").alias("others"))
+    parts = connected_components(links).withColumnRenamed("node", "owner")
+    owners = sizes.join(others, "owner", "left").join(parts, "owner", "left").withColumn("part", F.coalesce("component", "owner"))
+    owners = B.saved(owners.select("owner", "part", "low", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    lowest = owners.groupBy("part").agg(F.min("low").alias("lowest"))
+    owners = owners.join(lowest, "part").select("owner", "lowest", "n_links")
+    return rows.join(owners, "owner", "left").select("doc_id", "n_shingles", F.coalesce("lowest", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def drop_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs with its columns, one row of each component: the one with the smallest doc_id.
 

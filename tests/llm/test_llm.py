@@ -108,6 +108,23 @@ def test_jaccard_join(docs, corpus, empty):
     assert kept.columns == docs.columns and kept.where("text = 'one'").count() == 1 and kept.where("text is null").count() == 1
 
 
+def test_jaccard_links(spark, docs, corpus, empty, monkeypatch):
+    """Every link inside a component is found and weighs the class's rows, over several tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    base = words(120, 40)
+    texts = [" ".join([*base[: 4 * i], f"new{i}", *base[4 * i + 1 :]]) for i in range(30)] + [" ".join(base)] * 3
+    texts += [" ".join([*base[:30], *words(6, 41), *base[36:]]), " ".join(words(50, 42)), None]
+    rows = [(100 + i, t) for i, t in enumerate(texts)]
+    grams = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for _, t in rows for w in [split(t)]]
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want[d] = sum(1 for j, s in enumerate(grams) if j != i and s and 100 * len(s & grams[i]) >= 85 * len(s | grams[i]))
+    got = jaccard_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    assert {r.doc_id: r.n_links for r in got} == want and sum(want.values()) > 2 * len(rows) * 10
+    counted = jaccard_join.link_counts(docs, 4, 85, 100)
+    assert rows_of(counted.drop("n_links")) == brute_components(corpus, 4, 85, 100) and jaccard_join.link_counts(empty).count() == 0
+
+
 def test_partenum_signatures_meet():
     plan, rng = jaccard_join.Plan(85, 100), np.random.default_rng(2)
     for size in [*range(1, 60), 200, 900]:

@@ -550,7 +550,7 @@ def rf_utility(spark: SparkSession, d: str) -> DataFrame:
     f = features.har_features(src.vectors_as_windows(spark, d), 4, ["window_id", "generated", F.col("activity_id").alias("label")])
     cols = [c for c in f.columns if c.startswith("ch")]
     real, made = f.where("NOT generated"), f.where("generated")
-    return rounded(cl.forest_utility(real.where("window_id % 4 = 0"), made, real.where("window_id % 4 = 2"), cols, trees=20, depth=5))
+    return rounded(cl.forest_utility(real.where("window_id % 4 = 0"), made, real.where("window_id % 4 = 2"), cols, depth=30))
 
 
 @query("WITH a AS (SELECT n_chars::DOUBLE AS x, doc_id::DOUBLE AS y FROM documents), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM a) SELECT round(corr(rx, ry), 6) AS spearman FROM r")

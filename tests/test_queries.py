@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sensorloom.operators import metrics, split
+from sensorloom.operators import classify, metrics, split
 from sensorloom.queries import ORACLES, QUERIES
 from sensorloom.sources import sensor
 
@@ -58,3 +58,10 @@ def test_sampled_pairs(spark, con, monkeypatch):
     monkeypatch.setattr(metrics, "shapelets", lambda x, **options: asked.append((x.count(), options)) or x)
     QUERIES["shr"](spark, SF)
     assert asked == [(sum(n.values()), {})]
+
+
+def test_forest_has_the_reference_size(spark, monkeypatch):
+    """300 trees of any depth; 30 is the deepest Spark allows. Grown smaller here."""
+    asked, forest = [], classify.RandomForestClassifier
+    monkeypatch.setattr(classify, "RandomForestClassifier", lambda **o: asked.append((o["numTrees"], o["maxDepth"])) or forest(numTrees=2, maxDepth=2, seed=1))
+    assert QUERIES["rf_utility"](spark, SF).count() == 3 and asked == [(300, 30)] * 3

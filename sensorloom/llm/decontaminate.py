@@ -13,7 +13,10 @@ documents are broadcast when there are no more than `broadcast_rows`, else joine
 
 Defined cases: null or blank text has no windows; a document shorter than an item is one
 window; items with fewer words than a shingle are one shingle; items without words
-match nothing; equal rows count once; ties for the best window go to the earliest.
+match nothing; equal rows count once; ties for the best window go to the earliest; a null
+item_id is an id like any other; of several texts of one id each is compared alone, and the
+windows that match any of them are reported together. Windows of similarity `similarity`
+whose fingerprints differ in more than `radius` bits are missed.
 """
 
 from __future__ import annotations
@@ -38,10 +41,13 @@ def shingle_hashes(words: str, n: str) -> str:
 
 
 def item_shingles(items: DataFrame, n: int) -> DataFrame:
-    """item_id, length, width (words to a shingle), hashes; items without words are left out."""
+    """item_key, item_id, length, width (words to a shingle), hashes; items without words are left out.
+
+    item_key tells id and words apart, so null ids and several texts of one id are items of their own.
+    """
     cut = items.select("item_id", words_of(F.coalesce("text", F.lit(""))).alias("w")).where("size(w) > 0").distinct()
-    cut = cut.select("item_id", "w", F.size("w").alias("length"), F.least(F.size("w"), F.lit(n)).alias("width"))
-    return cut.select("item_id", "length", "width", F.expr(shingle_hashes("w", "width")).alias("hashes"))
+    cut = cut.select(F.xxhash64(F.col("item_id").isNull(), "item_id", "w").alias("item_key"), "item_id", "w", F.size("w").alias("length"), F.least(F.size("w"), F.lit(n)).alias("width"))
+    return cut.select("item_key", "item_id", "length", "width", F.expr(shingle_hashes("w", "width")).alias("hashes"))
 
 
 def lane_sums(h: str) -> list[Column]:
@@ -74,7 +80,7 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 5, similarity: float = 0
     One row for each document and item of which some window is similar enough.
     """
     bench = saved(item_shingles(items, n))
-    spread = bench.select("item_id", "length", "width", F.explode("hashes").alias("h"))
+    spread = bench.select("item_key", "item_id", "length", "width", F.explode("hashes").alias("h"))
     by_hash = _small(saved(spread.select("h", "length", "width").distinct()), broadcast_rows)
     widths = sorted(r[0] for r in bench.select("width").distinct().collect()) or [n]
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))
@@ -100,14 +106,14 @@ def matches(docs: DataFrame, items: DataFrame, n: int = 5, similarity: float = 0
     cut = starts.join(hit_docs, ["key", "width"]).select(*group, F.explode(window).alias("h"))
     counted = cut.groupBy(*group).agg(*lane_sums("h"), F.count("*").alias("m"))
     windows = saved(counted.select(*group, "m", fingerprint("m").alias("fp")))
-    index = spread.groupBy("item_id", "length").agg(*lane_sums("h"), F.count("*").alias("im")).select("item_id", "length", "im", fingerprint("im").alias("item_fp"))
-    index = _small(saved(index.select("item_id", "length", "im", "item_fp", F.explode(block_keys("item_fp", radius)).alias("block"))), broadcast_rows)
+    index = spread.groupBy("item_key", "item_id", "length").agg(*lane_sums("h"), F.count("*").alias("im")).select("item_key", "item_id", "length", "im", fingerprint("im").alias("item_fp"))
+    index = _small(saved(index.select("item_key", "item_id", "length", "im", "item_fp", F.explode(block_keys("item_fp", radius)).alias("block"))), broadcast_rows)
     near = windows.select(*group, "m", "fp", F.explode(block_keys("fp", radius)).alias("block")).join(index, ["length", "block"])
-    pair = [*group, "m", "item_id", "im"]
+    pair = [*group, "m", "item_key", "item_id", "im"]
     pairs = saved(near.where(f"bit_count(fp ^ item_fp) <= {radius}").select(*pair).distinct())
     shared = pairs.join(hit_docs, ["key", "width"]).select(*pair, F.explode(window).alias("h")).groupBy(*pair, "h").agg(F.count("*").alias("c"))
-    item_counts = _small(saved(spread.groupBy("item_id", "length", "h").agg(F.count("*").alias("ic"))), broadcast_rows)
-    both = shared.join(item_counts, ["item_id", "length", "h"]).groupBy(*pair).agg(F.sum(F.least("c", "ic")).alias("common"))
+    item_counts = _small(saved(spread.groupBy("item_key", "length", "h").agg(F.count("*").alias("ic"))), broadcast_rows)
+    both = shared.join(item_counts, ["item_key", "length", "h"]).groupBy(*pair).agg(F.sum(F.least("c", "ic")).alias("common"))
     scored = both.withColumn("similarity", F.col("common") / (F.col("m") + F.col("im") - F.col("common"))).where(F.col("similarity") >= similarity)
     best = scored.groupBy("key", "item_id").agg(
         F.countDistinct("start").alias("n_windows"),

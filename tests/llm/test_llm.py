@@ -161,6 +161,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_item_row(spark):
+    """A null id and two texts of one length under one id match each on its own."""
+    a, b, c = (" ".join(words(20, 70 + i)) for i in range(3))
+    bench = spark.createDataFrame([(None, a), (7, b), (7, c)], "item_id long, text string")
+    every = spark.createDataFrame([(1, "x y " + a), (2, b + " z"), (3, c), (4, " ".join(words(20, 79)))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.best_start, r.best_similarity) for r in decontaminate.matches(every, bench).collect()}
+    assert set(got) == {(1, None), (2, 7), (3, 7)} and all(s == 1.0 for *_, s in got.values()) and got[1, None][1] == 2
+    assert [r.doc_id for r in decontaminate.drop_contaminated(every, bench).collect()] == [4]
+
+
 def test_mixing(spark, docs, empty):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"), F.lit("t").alias("copy"))
     out = mixing.mix(many, {"rare": 0.5}).groupBy("source").count().collect()

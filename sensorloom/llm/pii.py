@@ -114,18 +114,27 @@ def _case(table: dict[str, str], make) -> str:
     return "CASE kind " + " ".join(f"WHEN {i} THEN {make(table[k])}" for i, k in enumerate(KINDS)) + " END"
 
 
+def _plain(x: str) -> str:
+    """SQL: x with a written-out at and dots as signs."""
+    return rf"regexp_replace(regexp_replace({x}, '\\x20?[\\[(]at[\\])]\\x20?', '@'), '\\x20?[\\[(]dot[\\])]\\x20?', '.')"
+
+
 def votes(spans: DataFrame) -> DataFrame:
-    """Spans (kind, base, found, before, after) with one column for each labeler: 1, -1 or 0."""
+    """Spans (kind, base, found, before, after) with one column for each labeler: 1, -1 or 0.
+
+    Written-out mail addresses are looked up as mail addresses; a national phone number has
+    no dialling code, so the gazetteer does not vote on it.
+    """
     quoted = lambda p: "'" + p.replace("\\", "\\\\") + "'"
     plain = spans.withColumn("x", F.struct("kind", "found"))
     speaks = _case(FOR, lambda p: f"lower(before) rlike {quoted(p)}")
     denies = _case(AGAINST, lambda p: f"lower(before) rlike {quoted(p)}")
-    listed = _case(GAZETTEER, lambda p: f"found rlike {quoted(p)}")
+    listed = _case(GAZETTEER, lambda p: f"{_plain('found')} rlike {quoted(p)}")
     return plain.select(
         *spans.columns,
         F.expr("if(base, 1, 0)").alias("strict"),
         F.expr(f"if({_valid('x')}, if(kind = 0, 0, 1), -1)").alias("rule"),
-        F.expr(f"if({listed}, 1, -1)").alias("gazetteer"),
+        F.expr(f"CASE WHEN kind = 3 AND left(found, 1) <> '+' THEN 0 WHEN {listed} THEN 1 ELSE -1 END").alias("gazetteer"),
         F.expr(f"CASE WHEN {denies} THEN -1 WHEN {speaks} THEN 1 ELSE 0 END").alias("context"),
         F.expr("if(before rlike '[A-Za-z0-9]$' OR after rlike '[A-Za-z0-9]', -1, 1)").alias("edge"),
     )

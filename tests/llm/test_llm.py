@@ -215,6 +215,21 @@ def test_pii(spark, docs, empty):
     assert pii.report(docs).count() == docs.count() and pii.report(empty).count() == 0
 
 
+def test_pii_loose_spans(spark):
+    """Written-out mail addresses and national phone numbers come out beside the base spans."""
+    texts = [f"write to user{i}@site{i}.org or call +1 555 {200 + i} {4000 + i}" for i in range(40)]
+    texts += [f"release {i}.300.1.2 of serial +99 {i + 10}000000" for i in range(40)]
+    loose = [f"mail bob{i} [at] x{i} [dot] com, call (555) 123-4{100 + i}" for i in range(20)]
+    mine = spark.createDataFrame(list(enumerate(texts + loose)), "doc_id long, text string")
+    for r in pii.report(mine).where("doc_id >= 80").collect():
+        t = loose[r.doc_id - 80]
+        mail, phone = t.index("bob"), t.index("(555)")
+        assert r.spans == f"email:{mail}:{t.index(',')},phone:{phone}:{len(t)}"
+    spans = [(0, "b [at] x (dot) com"), (0, "b [at] x [dot] zz"), (3, "(555) 123-4567"), (3, "+1 555 123 4567"), (3, "+999 123 4567")]
+    seen = spark.createDataFrame([(k, False, f, "", "") for k, f in spans], "kind int, base boolean, found string, before string, after string")
+    assert [r.gazetteer for r in pii.votes(seen).collect()] == [1, -1, 0, 1, -1]
+
+
 def test_suffix_dedup(docs, corpus, empty):
     length, seen = 200, collections.Counter()
     data = [(i, (t or "").encode()) for i, t, *_ in corpus]

@@ -16,6 +16,7 @@ import ctypes
 import pickle
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -38,9 +39,33 @@ def use_checkpoints(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows of df, read from a checkpoint in the shared folder."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """The rows of df, read from a Parquet table in the shared checkpoint folder.
+
+    The table goes when `dropped` is told that nothing reads it any more, or when the
+    session's JVM ends.
+    """
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    path, fs = _folder(spark, folder)
+    fs.deleteOnExit(path)
+    back = spark.read.schema(df.schema).parquet(folder)
+    back.saved_in = folder
+    return back
+
+
+def dropped(*frames: DataFrame | None) -> None:
+    """Deletes the tables of frames from `saved` that will not be read again; None is passed over."""
+    for df in frames:
+        if df is not None:
+            path, fs = _folder(df.sparkSession, df.saved_in)
+            fs.delete(path, True)
+
+
+def _folder(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def dumps(x) -> bytes:
@@ -107,7 +132,8 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return saved(packed)
+        use_checkpoints(spark)
+        return packed.checkpoint()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 

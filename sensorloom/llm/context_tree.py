@@ -297,7 +297,7 @@ def _dealt(messages: DataFrame) -> DataFrame:
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return B.saved(messages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket"))
+        return messages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").checkpoint()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 

@@ -18,8 +18,9 @@ count too. So no similar pair is lost.
 
 Equal sets are collapsed to a class before signatures are made. Groups that share a
 signature first send a star of pairs (smallest member against the rest) to exact
-verification; further rounds send pairs of members that are then still in different
-components, until none is left that was not compared; that is enough for components.
+verification. Groups whose members are then still in different components are compared
+by sketches in tiles, and a task names only pairs that connect components which its
+earlier pairs do not, so pairs grow as members do; this is enough for components.
 class_links and link_counts verify every pair that shares a signature instead. Before a set travels, the pair
 must pass the sets' parity sketches, which bound the difference from below and so lose
 nothing. Sets are compared where the blocks of their texts lie.
@@ -271,7 +272,9 @@ def _verified(packed: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -
     wanted = B.saved(pairs.select("a", "b", to).groupBy("a", "to").agg(F.collect_list("b").alias("bs")))
     sets = _at_blocks(packed, _per_block(wanted, "a", "a", "to"), fetch, "a long, to long, elements binary")
     ready = sets.join(wanted, ["a", "to"]).groupBy(F.col("to").alias("block")).agg(F.collect_list(F.struct("a", "elements", "bs")).alias("m"))
-    return _at_blocks(packed, ready, compare, "a long, b long")
+    found = B.saved(_at_blocks(packed, ready, compare, "a long, b long"))
+    B.dropped(wanted)
+    return found
 
 
 def _star(groups: DataFrame) -> DataFrame:
@@ -299,9 +302,9 @@ def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities over a power of two of bits, twice the set's size or more; halves laid over each other give a shorter sketch."""
+    """Parities over a power of two of bits, four times the set's size or more; halves laid over each other give a shorter sketch."""
     bits = SKETCH_BITS
-    while bits < 2 * len(elements):
+    while bits < 4 * len(elements):
         bits *= 2
     odd = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -324,55 +327,133 @@ def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
 
 
-def _rest(groups: DataFrame, parts: DataFrame, sketches: DataFrame, num: int, den: int, limit: int) -> DataFrame:
-    """Possible pairs that share a group and are in different components.
+def _tiles(groups: DataFrame, parts: DataFrame, sketches: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """(lo, hi, m): tiles of bounded size of the groups whose members are in different components.
 
-    Of each two components in a group `limit` pairs are named; where there are more, a row
-    (-1, -1) says so. Large groups are compared in tiles of bounded size.
+    m holds the members' node, c (component), size, bits, chunk and no (partners that
+    verification refused). With refused pairs (a, b), only members of the components that
+    they lie in take part.
     """
     own = groups.where("size(rows) > 2").select("gid", F.ceil(F.size("rows") / F.lit(TILE)).cast("int").alias("k"), F.explode("rows").alias("node")).join(parts, "node", "left")
     own = own.select("gid", "k", "node", F.coalesce("component", "node").alias("c"))
+    if refused is not None:
+        ends = refused.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refused.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        touched = ends.select("node").distinct().join(parts, "node", "left").select(F.coalesce("component", "node").alias("c")).distinct()
+        own = own.join(touched, "c", "left_semi")
     mixed = own.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gid")
     own = own.join(mixed, "gid").join(sketches.withColumnRenamed("row", "node"), "node")
+    if refused is None:
+        own = own.withColumn("no", F.array().cast("array<long>"))
+    else:
+        own = own.join(ends.groupBy("node").agg(F.collect_list("other").alias("no")), "node", "left")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     tile = F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, "chunk").alias("lo"), F.greatest(o, "chunk").alias("hi")))).alias("t")
-    tiles = own.select("gid", "node", "c", "size", "bits", "chunk", tile)
-    tiles = tiles.groupBy("gid", "t").agg(F.collect_list(F.struct("node", "c", "size", "bits", "chunk")).alias("m")).select("t.lo", "t.hi", "m")
+    member = ["node", "c", "size", "bits", "chunk", "no"]
+    tiles = own.select("gid", *member, tile)
+    return tiles.groupBy("gid", "t").agg(F.collect_list(F.struct(*member)).alias("m")).select("t.lo", "t.hi", "m")
+
+
+class Tile:
+    """Members of a tile: left are those of chunk lo, right those of chunk hi."""
+
+    def __init__(self, lo: int, hi: int, members: pa.StructArray, num: int, den: int) -> None:
+        self.node, self.c, self.size, side = (members.field(x).to_numpy() for x in ("node", "c", "size", "chunk"))
+        each = [np.asarray(x, np.int64) for x in members.field("bits").to_pylist()]
+        shortest = min(map(len, each))
+        self.bits = np.stack([fold(x, shortest) for x in each]).view(np.uint64)
+        self.left, self.right, self.same = np.flatnonzero(side == lo), np.flatnonzero(side == hi), lo == hi
+        self.no, self.num, self.den = members.field("no"), num, den
+
+    def pairs(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of the left and of the right side that have different labels and, by size and sketch, a chance to be similar; the surest first."""
+        step = max(1, (1 << 20) // (self.bits.shape[1] * max(1, len(self.right))))
+        _, at, times = np.unique(label, return_inverse=True, return_counts=True)
+        # members of the most frequent label need not be compared with each other
+        most_frequent = at == times.argmax()
+        left = self.left[~most_frequent[self.left]] if self.same else self.left
+        none = np.zeros(0, np.int64)
+        found = [(none, none, np.zeros(0))]
+        for at in range(0, len(left), step):
+            own = left[at : at + step, None]
+            most, least = np.maximum(self.size[own], self.size[self.right]), np.minimum(self.size[own], self.size[self.right])
+            differ = np.bitwise_count(self.bits[own] ^ self.bits[self.right]).sum(axis=2, dtype=np.int64)
+            fits = (label[own] != label[self.right]) & (self.den * least >= self.num * most) & ((self.den + self.num) * differ <= (self.den - self.num) * (most + least))
+            if self.same:
+                fits &= (own < self.right) | most_frequent[self.right]
+            x, y = np.nonzero(fits)
+            found.append((own[x, 0], self.right[y], differ[x, y] / (most[x, y] + least[x, y])))
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(apart, kind="stable")
+        i, j = i[order], j[order]
+        taken = {(k, node) for k in np.unique(i).tolist() for node in self.no[k].as_py() or ()}
+        if taken:
+            fresh = np.array([pair not in taken for pair in zip(i.tolist(), self.node[j].tolist(), strict=True)], bool)
+            i, j = i[fresh], j[fresh]
+        return i, j
+
+
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, roots: dict[int, int]) -> list[int]:
+    """Which of the pairs of members connect their labels as far as all pairs can, one less than labels at most.
+
+    roots says which labels other tiles' pairs have connected, and is added to.
+    """
+
+    def root(c: int) -> int:
+        while (up := roots.get(c, c)) != c:
+            roots[c] = roots.get(up, up)
+            c = up
+        return c
+
+    taken: list[int] = []
+    while True:
+        known, at = np.unique(label, return_inverse=True)
+        label = np.array([root(c) for c in known.tolist()], np.int64)[at]
+        apart = np.flatnonzero(label[i] != label[j])
+        if not len(apart):
+            return taken
+        first = np.unique(np.concatenate([label[i[apart]], label[j[apart]]]), return_index=True)[1] % len(apart)
+        for e in apart[np.unique(first)].tolist():
+            low, high = sorted((root(int(label[i[e]])), root(int(label[j[e]]))))
+            if low != high:
+                roots[high] = low
+                taken.append(e)
+
+
+def _forests(tiles: DataFrame, num: int, den: int, times: int) -> DataFrame:
+    """(a, b), a < b: the pairs of `times` forests over the tiles of each task, no pair in two of them for one tile."""
 
     def run(batches):
+        connected: list[dict[int, int]] = [{} for _ in range(times)]
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                out += _cross(batch["lo"][i].as_py(), batch["hi"][i].as_py(), batch["m"].slice(i, 1).flatten(), num, den, limit)
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            for t in range(batch.num_rows):
+                tile = Tile(batch["lo"][t].as_py(), batch["hi"][t].as_py(), batch["m"].slice(t, 1).flatten(), num, den)
+                i, j = tile.pairs(tile.c)
+                named = []
+                for roots in connected:
+                    if named and not len(i):
+                        break
+                    taken = _forest(tile.c, i, j, roots)
+                    named.append((tile.node[i[taken]], tile.node[j[taken]]))
+                    i, j = np.delete(i, taken), np.delete(j, taken)
+                a, b = (np.concatenate(x) for x in zip(*named, strict=True))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def _cross(lo: int, hi: int, members: pa.StructArray, num: int, den: int, limit: int) -> list[tuple[int, int]]:
-    """Possible pairs across components of one tile, `limit` for each two components; (-1, -1) where there are more."""
-    node, c, size, side = (members.field(x).to_numpy() for x in ("node", "c", "size", "chunk"))
-    each = [np.asarray(x, np.int64) for x in members.field("bits").to_pylist()]
-    shortest = min(map(len, each))
-    bits = np.stack([fold(x, shortest) for x in each]).view(np.uint64)
-    left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-    step = max(1, (1 << 21) // (bits.shape[1] * max(1, len(right))))
-    out, named = [], {}
-    for at in range(0, len(left), step):
-        own = left[at : at + step, None]
-        most, least = np.maximum(size[own], size[right]), np.minimum(size[own], size[right])
-        differ = np.bitwise_count(bits[own] ^ bits[right]).sum(axis=2, dtype=np.int64)
-        fits = (c[own] != c[right]) & (den * least >= num * most) & ((den + num) * differ <= (den - num) * (most + least))
-        if lo == hi:
-            fits &= own < right
-        for i, j in zip(*np.nonzero(fits), strict=True):
-            a, b = int(own[i, 0]), int(right[j])
-            both = (min(c[a], c[b]), max(c[a], c[b]))
-            named[both] = named.get(both, 0) + 1
-            if named[both] <= limit:
-                out.append((min(node[a], node[b]), max(node[a], node[b])))
-    return out + [(-1, -1)] * any(n > limit for n in named.values())
+def _every(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all possible pairs of members in different components, a < b, once."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                tile = Tile(batch["lo"][i].as_py(), batch["hi"][i].as_py(), batch["m"].slice(i, 1).flatten(), num, den)
+                a, b = (tile.node[x] for x in tile.pairs(tile.c))
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
 def _grouped(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -392,45 +473,57 @@ def _grouped(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     return owned, groups, sketches
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of the packed documents with their class, and links between class owners.
+    """Rows of the packed documents with their class, and (node, component) of the owners that link with another.
 
-    The first frame is that of _grouped. The second has a, b: owners whose sets have
-    num / den of their union or more in common, only enough of them to connect each
-    component (class_links has all).
+    The first frame is that of _grouped. Links are verified as far as components need: first
+    the groups' stars, then forests of possible pairs over the groups that are not one
+    component yet. A forest whose pairs are all similar leaves nothing to compare; where
+    some were refused, the components they lie in are met again without the refused
+    pairs, by more forests at a time, until none is refused.
     """
     rows, groups, sketches = _grouped(packed, words, num, den)
     stars = B.saved(_possible(_star(groups), sketches, num, den))
-    links = B.saved(_verified(packed, stars, words, num, den))
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    limit = 32
+    links = _verified(packed, stars, words, num, den)
+    parts = connected_components(links)
+    B.dropped(stars, links)
+    refused, times = None, 2
     while True:
-        found = B.saved(_rest(groups, connected_components(links), sketches, num, den, limit))
-        more = B.saved(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = B.saved(links.unionByName(_verified(packed, more, words, num, den)))
-            tried = B.saved(tried.unionByName(more))
-        if found.where("a < 0").isEmpty():
+        named = B.saved(_forests(_tiles(groups, parts, sketches, refused), num, den, times))
+        if named.isEmpty():
             break
-        limit *= 32
-    return rows, links
+        found = _verified(packed, named, words, num, den)
+        failed = named.join(found, ["a", "b"], "left_anti")
+        # stars of the components so far, and the new links
+        parts = connected_components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        refused = B.saved(failed if refused is None else failed.unionByName(refused))
+        B.dropped(named, found)
+        if refused.isEmpty():
+            break
+        times *= 8
+    B.dropped(groups, sketches)
+    return rows, parts
 
 
 def class_links(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """As classes, with every link: each possible pair of owners that share a signature is verified, a < b, once."""
+    """The rows as in classes, and every link (a, b) of class owners: each possible pair that shares a signature is verified, a < b, once."""
     rows, groups, sketches = _grouped(packed, words, num, den)
     apart = packed.sparkSession.createDataFrame([], "node long, component long")
-    # each owner is a component of its own, so one pair of each two components is every pair
-    pairs = _rest(groups, apart, sketches, num, den, 1)
-    twos = _possible(_star(groups.where("size(rows) = 2")), sketches, num, den).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = B.saved(pairs.unionByName(twos).distinct())
-    return rows, B.saved(_verified(packed, pairs, words, num, den))
+    twos = _possible(_star(groups.where("size(rows) = 2")), sketches, num, den)
+    pairs = B.saved(_every(_tiles(groups, apart, sketches), num, den).unionByName(_once(twos)).distinct())
+    links = _verified(packed, pairs, words, num, den)
+    B.dropped(groups, sketches, pairs)
+    return rows, links
 
 
 def _components(packed: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """row, doc_id, n_shingles and part, the owner row that names the component (null for empty sets)."""
-    rows, links = classes(packed, words, num, den)
-    parts = connected_components(links).withColumnRenamed("node", "owner")
+    rows, parts = classes(packed, words, num, den)
+    parts = parts.withColumnRenamed("node", "owner")
     return rows.join(parts, "owner", "left").withColumn("part", F.coalesce("component", "owner")).select("row", "doc_id", "n_shingles", "part")
 
 

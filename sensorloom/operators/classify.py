@@ -20,15 +20,16 @@ def standardize(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFram
 def knn(train: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 8) -> DataFrame:
     """Predicted label of each query (query_id, label, x) by k neighbours with weights 1 / distance; exact hits alone count when there are any.
 
-    Training rows are dealt into blocks; each query keeps its k best of a block, so a block's
-    rows and not all pairs meet the final ranking. Ties go to the smaller training id.
+    Queries meet training rows in blocks; each task keeps the k best of a query, so not all
+    pairs meet the final ranking. Ties go to the smaller training id.
     """
     left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = train.select(F.col("train_id"), F.col("label").alias("train_label"), F.col("x").alias("tx"), F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int").alias("block"))
     distance = F.sqrt(F.aggregate(F.zip_with("x", "tx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d))
     d = left.join(right, "block").select("query_id", "block", "label", "train_id", "train_label", distance.alias("d"))
-    near = d.groupBy("query_id", "label", "block").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "train_id", "train_label"))), 1, k).alias("n"))
-    near = near.groupBy("query_id", "label").agg(F.slice(F.sort_array(F.flatten(F.collect_list("n"))), 1, k).alias("n")).select("query_id", "label", F.inline("n"))
+    # the rank limit prunes each task's rows before they are shuffled
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "train_id"))
+    near = d.withColumn("r", rank).where(F.col("r") <= k).drop("r", "block")
     exact = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy("query_id")) == 1
     weight = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
     votes = near.withColumn("weight", weight).groupBy("query_id", "label", "train_label").agg(F.sum("weight").alias("weight"))
@@ -76,13 +77,21 @@ def forest_utility(real_train: DataFrame, synthetic: DataFrame, real_test: DataF
     return out.select("setting", "accuracy", "macro_f1", "weighted_f1")
 
 
+def spearman(df: DataFrame, a: str, b: str, buckets: int = 200) -> DataFrame:
+    """Rank correlation with average ranks of ties.
 
-
-def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks of ties, from counts of distinct values (small next to the rows)."""
+    Distinct values with their counts fall into buckets between approximate quantiles, which
+    are ranked apart; the rows before a bucket come from the buckets' totals (at most
+    buckets + 1 rows).
+    """
     ranks = []
     for c in (a, b):
         counts = df.groupBy(c).agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks.append(counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"rank_{c}")))
+        edges = counts.agg(F.percentile_approx(c, [i / buckets for i in range(1, buckets)]).alias("edges"))
+        # edges is one row
+        placed = counts.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(F.coalesce("edges", F.array()), lambda e: e < F.col(c)))).drop("edges")
+        totals = placed.groupBy("bucket").agg(F.sum("n").alias("n"))
+        offsets = totals.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+        inside = F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ranks.append(placed.withColumn("inside", inside).join(F.broadcast(offsets), "bucket").select(c, (F.col("offset") + F.col("inside") + (F.col("n") + 1) / 2).alias(f"rank_{c}")))
     return df.join(ranks[0], a).join(ranks[1], b).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))

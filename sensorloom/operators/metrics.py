@@ -26,7 +26,7 @@ def both(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Cells of the activities that both sides have, tagged with side."""
     common = real.select("activity_name").intersect(synthetic.select("activity_name"))
     tagged = cells(real).withColumn("side", F.lit("real")).unionByName(cells(synthetic).withColumn("side", F.lit("synthetic")))
-    return tagged.join(F.broadcast(common), "activity_name")
+    return tagged.join(common, "activity_name", "left_semi")
 
 
 def mdd(real: DataFrame, synthetic: DataFrame, bins: int = 50) -> DataFrame:
@@ -77,10 +77,12 @@ def autocorrelation_difference(real: DataFrame, synthetic: DataFrame, max_lag: i
     Lags below min(max_lag, T); a lag is the mean over windows and steps of centred products
     over the variance, which counts as one when it is next to nothing.
     """
-    x = both(real, synthetic)
-    moments = _by_side(x, F.avg("v").alias("mu"), F.var_pop("v").alias("var"))
-    series = x.groupBy("activity_name", "side", "window_id", "c").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("x"))
-    series = series.join(F.broadcast(moments), ["activity_name", "side", "c"]).withColumn("y", F.expr("transform(x, p -> p.v - mu)"))
+    common = real.select("activity_name").intersect(synthetic.select("activity_name"))
+    rows = [w.select("activity_name", F.lit(side).alias("side"), F.posexplode("w").alias("c", "x")) for w, side in ((real, "real"), (synthetic, "synthetic"))]
+    x = rows[0].unionByName(rows[1]).join(common, "activity_name", "left_semi")
+    moments = _by_side(x.select("activity_name", "side", "c", F.explode("x").alias("v")), F.avg("v").alias("mu"), F.var_pop("v").alias("var"))
+    # moments have a row for each activity, side and channel
+    series = x.join(F.broadcast(moments), ["activity_name", "side", "c"]).withColumn("y", F.expr("transform(x, v -> v - mu)"))
     lagged = series.withColumn("lag", F.explode(F.expr(f"sequence(0, least({max_lag}, size(y)) - 1)")))
     product = F.expr("aggregate(zip_with(slice(y, 1, size(y) - lag), slice(y, lag + 1, size(y) - lag), (a, b) -> a * b), 0D, (a, v) -> a + v)")
     lagged = lagged.withColumn("sum", product).withColumn("n", F.size("y") - F.col("lag"))
@@ -151,106 +153,80 @@ def warp(pairs: DataFrame, window: int | None = None) -> DataFrame:
     return pair_warps(pairs, window).groupBy("activity_name").agg(F.avg("dtw").alias("DTW"))
 
 
-class ShapeletCoder:
-    """Shift-invariant dictionary of shapelets, learnt by alternating sparse coding and basis updates.
+def _rebuilt(shapes: np.ndarray, gain: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
+    """Sums of the shapes at their offsets, a row a series."""
+    count, length = shapes.shape
+    place = at[:, :, None] + np.arange(length)
+    series = np.broadcast_to(np.arange(len(gain))[:, None, None], place.shape)
+    out = np.zeros((len(gain), steps))
+    np.add.at(out, (series, place), gain[:, :, None] * shapes)
+    return out
 
-    A series is a sum of shapelets, each at one offset with one coefficient. Coding visits the
-    shapelets in random order: the best offset is where the residue's inner product with
-    the shapelet is largest, the coefficient its soft-thresholded value over the squared
-    norm. A shapelet is the coefficient-weighted mean of the residues under it, its norm
-    kept within sqrt(c).
-    """
 
-    def __init__(self, seed: int, count: int, length: int, penalty: float, c: float, epsilon: float) -> None:
-        self.rng = np.random.default_rng(seed)
-        self.count, self.length, self.penalty, self.c, self.epsilon = count, length, penalty, c, epsilon
-
-    def start(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(data)
-        return self.rng.standard_normal((n, self.count)), self.rng.integers(0, data.shape[1] - self.length + 1, (n, self.count))
-
-    def approximation(self, weights: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-        out = np.zeros((len(weights), size))
-        span = np.arange(self.length)
-        rows = np.arange(len(weights))[:, None]
-        for k in range(self.count):
-            out[rows, offsets[:, k, None] + span] += weights[:, k, None] * self.basis[k]
-        return out
-
-    def objective(self, data, weights, offsets, penalty: float) -> float:
-        gap = data - self.approximation(weights, offsets, data.shape[1])
-        return float(0.5 * (gap**2).sum() + penalty * np.abs(weights).sum())
-
-    def _settled(self, history: list[float]) -> bool:
-        return len(history) > 1 and history[-2] != 0 and abs(history[-1] - history[-2]) / abs(history[-2]) < self.epsilon
-
-    def code(self, data: np.ndarray, weights: np.ndarray, offsets: np.ndarray, rounds: int) -> None:
-        norms = (self.basis**2).sum(axis=1)
-        history: list[float] = []
-        for _ in range(rounds):
-            for i, series in enumerate(data):
-                gap = series - self.approximation(weights[i : i + 1], offsets[i : i + 1], len(series))[0]
-                for k in self.rng.permutation(self.count):
-                    a = offsets[i, k]
-                    gap[a : a + self.length] += weights[i, k] * self.basis[k]
-                    weights[i, k] = 0.0
-                    if np.isclose(norms[k], 0.0):
-                        continue
-                    match = np.correlate(gap, self.basis[k], "valid")
-                    best = int(np.argmax(np.abs(match)))
-                    if abs(match[best]) > self.penalty:
-                        offsets[i, k] = best
-                        weights[i, k] = np.sign(match[best]) * (abs(match[best]) - self.penalty) / norms[k]
-                        gap[best : best + self.length] -= weights[i, k] * self.basis[k]
-            history.append(self.objective(data, weights, offsets, self.penalty))
-            if self._settled(history):
-                return
-
-    def update(self, data: np.ndarray, weights: np.ndarray, offsets: np.ndarray, rounds: int) -> None:
-        history: list[float] = []
-        span, rows = np.arange(self.length), np.arange(len(data))[:, None]
-        for _ in range(rounds):
-            for k in range(self.count):
-                energy = float((weights[:, k] ** 2).sum())
-                if np.isclose(energy, 0.0):
-                    continue
-                gap = data - self.approximation(weights, offsets, data.shape[1])
-                under = gap[rows, offsets[:, k, None] + span] + weights[:, k, None] * self.basis[k]
-                fresh = weights[:, k] @ under
-                size = float(np.linalg.norm(fresh))
-                if not np.isclose(size, 0.0):
-                    self.basis[k] = np.sqrt(self.c) / size * fresh if energy <= size / np.sqrt(self.c) else fresh / energy
-            history.append(self.objective(data, weights, offsets, self.penalty))
-            if self._settled(history):
-                return
-
-    def learn(self, data: np.ndarray, rounds: int, inner: int) -> None:
-        self.basis = self.rng.standard_normal((self.count, self.length))
-        weights, offsets = self.start(data)
-        history: list[float] = []
-        for _ in range(rounds):
-            self.code(data, weights, offsets, inner)
-            self.update(data, weights, offsets, inner)
-            history.append(self.objective(data, weights, offsets, self.penalty))
-            if self._settled(history):
-                break
+def _encode(x: np.ndarray, shapes: np.ndarray, gain: np.ndarray, at: np.ndarray, penalty: float, sweeps: int, epsilon: float) -> float:
+    """Sparse codes of all series at once, by coordinate descent over the shapes in place; the objective.
+
+    With the other shapes taken off, a shape goes where it correlates most with what is left
+    of a series, with the soft-thresholded least-squares gain.
+    """
+    length, energy = shapes.shape[1], np.maximum((shapes**2).sum(axis=1), 1e-12)
+    rows = np.arange(len(x))
+    left, before = x - _rebuilt(shapes, gain, at, x.shape[1]), np.inf
+    for _ in range(sweeps):
+        for k in range(len(shapes)):
+            span = at[:, k, None] + np.arange(length)
+            left[rows[:, None], span] += gain[:, k, None] * shapes[k]
+            match = np.lib.stride_tricks.sliding_window_view(left, length, axis=1) @ shapes[k]
+            at[:, k] = np.abs(match).argmax(axis=1)
+            top = match[rows, at[:, k]]
+            gain[:, k] = np.sign(top) * np.maximum(np.abs(top) - penalty, 0.0) / energy[k]
+            left[rows[:, None], at[:, k, None] + np.arange(length)] -= gain[:, k, None] * shapes[k]
+        now = float(0.5 * (left**2).sum() + penalty * np.abs(gain).sum())
+        if before - now <= epsilon * before:
+            break
+        before = now
+    return now
+
+
+def _refit(x: np.ndarray, shapes: np.ndarray, gain: np.ndarray, at: np.ndarray, bound: float) -> None:
+    """Each shape as the least-squares fit to what the others leave of the series, its squared norm at most bound."""
+    rows, reach = np.arange(len(x))[:, None], np.arange(shapes.shape[1])
+    left = x - _rebuilt(shapes, gain, at, x.shape[1])
+    for k in np.flatnonzero((gain**2).sum(axis=0) > 0):
+        span = at[:, k, None] + reach
+        left[rows, span] += gain[:, k, None] * shapes[k]
+        fitted = gain[:, k] @ left[rows, span] / (gain[:, k] @ gain[:, k])
+        shapes[k] = fitted * min(1.0, np.sqrt(bound / max(float(fitted @ fitted), 1e-300)))
+        left[rows, span] -= gain[:, k, None] * shapes[k]
 
 
 def shapelet_error(real: np.ndarray, synthetic: np.ndarray, seed: int = 42, count: int = 20, penalty: float = 0.1, ratio: float = 0.25, c: float = 100.0, epsilon: float = 1e-5, rounds: int = 1000, inner: int = 5, mode: str = "mean") -> float:
-    """Mean squared error (halved) of synthetic windows coded with shapelets learnt on real ones; samples by time by channel."""
+    """Mean squared error (halved) of synthetic windows coded with shapelets learnt on real ones; samples by time by channel.
+
+    Shift-invariant dictionary learning: shapes start as pieces of real series, then sparse
+    coding and least-squares refits take turns until the objective settles.
+    """
     if mode == "per_channel":
-        parts = [shapelet_error(real[:, :, [i]], synthetic[:, :, [i]], seed + i, count, penalty, ratio, c, epsilon, rounds, inner) for i in range(real.shape[2])]
-        return float(np.nanmean(parts))
+        return float(np.nanmean([shapelet_error(real[:, :, [i]], synthetic[:, :, [i]], seed + i, count, penalty, ratio, c, epsilon, rounds, inner) for i in range(real.shape[2])]))
     if mode != "mean":
         raise ValueError(f"unknown channel mode: {mode}")
     if not len(real) or not len(synthetic):
         return float("nan")
     train, test = real.mean(axis=2), synthetic.mean(axis=2)
-    coder = ShapeletCoder(seed, count, max(1, min(int(np.ceil(train.shape[1] * ratio)), train.shape[1])), penalty, c, epsilon)
-    coder.learn(train, rounds, inner)
-    weights, offsets = coder.start(test)
-    coder.code(test, weights, offsets, rounds)
-    return coder.objective(test, weights, offsets, 0.0) / len(test)
+    length = max(1, min(int(np.ceil(train.shape[1] * ratio)), train.shape[1]))
+    pieces = np.lib.stride_tricks.sliding_window_view(train, length, axis=1).reshape(-1, length)
+    rng = np.random.default_rng(seed)
+    shapes = pieces[rng.integers(0, len(pieces), count)] + rng.normal(0, 1e-3, (count, length))
+    gain, at, before = np.zeros((len(train), count)), np.zeros((len(train), count), np.int64), np.inf
+    for _ in range(rounds):
+        now = _encode(train, shapes, gain, at, penalty, inner, epsilon)
+        _refit(train, shapes, gain, at, c)
+        if before - now <= epsilon * before:
+            break
+        before = now
+    gain, at = np.zeros((len(test), count)), np.zeros((len(test), count), np.int64)
+    _encode(test, shapes, gain, at, penalty, rounds, epsilon)
+    return float(0.5 * ((test - _rebuilt(shapes, gain, at, test.shape[1])) ** 2).sum() / len(test))
 
 
 def shapelets(pairs: DataFrame, max_samples: int | None = None, **options) -> DataFrame:

@@ -1,7 +1,10 @@
 """Per-channel PCA and FastICA of windows: fit, transform, inverse.
 
-The fit meets one channel's training windows in a task; the model is one small row a
-channel (arrays of the window's length) and is broadcast. The transform works on rows.
+Means, scales, covariances and so all of PCA and the whitening of FastICA come from sums
+over all training windows, added up row by row of the matrices; what reaches the driver
+has the size of a window squared for each channel, whatever the number of windows. The
+rotation of FastICA is iterated on `ica_windows` windows of a channel at most, taken by
+a hash of window_id. The model is one small row a channel. The transform works on rows.
 """
 
 from __future__ import annotations
@@ -18,23 +21,46 @@ VECTOR = T.ArrayType(T.DoubleType())
 MODEL = "channel_index int, channel_name string, method string, n_components int, pre_mean double, pre_scale double, scaler_mean array<double>, scaler_scale array<double>, components array<array<double>>, mixing array<array<double>>, latent_mean array<double>, explained_variance_ratio array<double>"
 
 
-def pca(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, components, explained ratio); each component's largest loading is positive."""
-    mean = x.mean(axis=0)
-    _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
-    vt = vt[:k]
-    vt = vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(axis=1)])[:, None]
-    return mean, vt, s[:k] ** 2 / max((s**2).sum(), 1e-300)
+def _sums(arrays: DataFrame, key: str = "channel_index") -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """n, sum and summed outer product of the vectors x of each key, added up in the partitions and then by row of the matrix."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for pdf in batches:
+            for k, group in pdf.groupby(key)["x"]:
+                x = np.stack(group.to_list()).astype(np.float64)
+                n, total, outer = held.get(k, (0, 0.0, 0.0))
+                held[k] = [n + len(x), total + x.sum(axis=0), outer + x.T @ x]
+        for k, (n, total, outer) in held.items():
+            yield pd.DataFrame({key: k, "i": np.arange(len(total)), "n": n, "s": total, "o": list(outer)})
+
+    def add(group, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [group[0]], "i": [group[1]], "n": [pdf["n"].sum()], "s": [pdf["s"].sum()], "o": [np.sum(np.stack(pdf["o"].to_list()), axis=0)]})
+
+    schema = f"{key} int, i int, n long, s double, o array<double>"
+    rows = arrays.mapInPandas(partial, schema).groupBy(key, "i").applyInPandas(add, schema).toPandas().sort_values([key, "i"])
+    return {int(k): (int(g["n"].iloc[0]), g["s"].to_numpy(), np.stack(g["o"].to_list())) for k, g in rows.groupby(key)}
+
+
+def components(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(components, explained ratio) of a covariance; each component's largest loading is positive."""
+    value, vec = np.linalg.eigh(cov)
+    value, vec = np.maximum(value[::-1], 0), vec[:, ::-1][:, :k].T
+    vec = vec * np.sign(vec[np.arange(len(vec)), np.abs(vec).argmax(axis=1)])[:, None]
+    return vec, value[:k] / max(value.sum(), 1e-300)
+
+
+def whitening(cov: np.ndarray, k: int) -> np.ndarray:
+    """Rows that make the first k components, those that are not next to nothing, uncorrelated with variance one."""
+    value, vec = np.linalg.eigh(cov)
+    scale = np.sqrt(np.maximum(value[::-1], 0))
+    k = int(min(k, (scale > 1e-7 * scale.max()).sum())) or 1
+    return vec[:, ::-1][:, :k].T / np.maximum(scale[:k], 1e-300)[:, None]
 
 
-def fast_ica(x: np.ndarray, k: int, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, unmixing, mixing) by the parallel fixed-point iteration with a log-cosh contrast on whitened data."""
-    mean = x.mean(axis=0)
-    u, s, vt = np.linalg.svd((x - mean).T, full_matrices=False)
-    k = int(min(k, (s > 1e-12 * s.max()).sum())) or 1
-    whiten = (u[:, :k] / s[:k]).T * np.sqrt(len(x))
-    z = whiten @ (x - mean).T
-    w = _orthogonal(np.random.default_rng(seed).normal(size=(k, k)))
+def rotation(z: np.ndarray, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> np.ndarray:
+    """FastICA's rotation of whitened data (component by window): parallel fixed-point iteration with a log-cosh contrast."""
+    w = _orthogonal(np.random.default_rng(seed).normal(size=(len(z), len(z))))
     for _ in range(max_iter):
         g = np.tanh(w @ z)
         fresh = _orthogonal(g @ z.T / z.shape[1] - (1 - g**2).mean(axis=1)[:, None] * w)
@@ -42,8 +68,7 @@ def fast_ica(x: np.ndarray, k: int, max_iter: int = 1000, tol: float = 1e-4, see
         w = fresh
         if moved < tol:
             break
-    unmix = w @ whiten
-    return mean, unmix, np.linalg.pinv(unmix)
+    return w
 
 
 def _orthogonal(w: np.ndarray) -> np.ndarray:
@@ -51,32 +76,44 @@ def _orthogonal(w: np.ndarray) -> np.ndarray:
     return u @ vt
 
 
-def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int = 3, standardization: str = "legacy_timepoint", max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int = 3, standardization: str = "legacy_timepoint", max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ica_windows: int = 50_000) -> DataFrame:
     """Model rows, one a channel, of training windows (window_id, w)."""
     if standardization not in ("legacy_timepoint", "none", "train_channel"):
         raise ValueError(f"unknown standardisation: {standardization}")
     if method not in ("pca", "fastica"):
         raise ValueError(f"unknown method: {method}")
+    series = windows.select("window_id", F.posexplode("w").alias("channel_index", "x")).select("window_id", "channel_index", F.col("x").cast(VECTOR).alias("x"))
+    made: dict[int, dict] = {}
+    for c, (n, total, outer) in _sums(series.select("channel_index", "x")).items():
+        mean, m, s = total / n, 0.0, 1.0
+        if standardization == "train_channel":
+            m = float(mean.mean())
+            s = float(np.sqrt(max(np.trace(outer) / n / len(mean) - m * m, 0.0))) or 1.0
+        cov = outer / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0.0)) / s
+        sd[sd == 0] = 1.0
+        made[c] = {"channel_index": c, "channel_name": channels[c], "method": method, "pre_mean": m, "pre_scale": s, "scaler_mean": (mean - m) / s, "scaler_scale": sd, "latent_mean": np.zeros(len(mean)), "cov": cov / np.outer(sd, sd) / s**2, "n": n}
+    fields = [f.name for f in T.StructType.fromDDL(MODEL).fields]
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+    if method == "pca":
+        for r in made.values():
+            r["components"], r["explained_variance_ratio"] = components(r["cov"], min(k, r["n"], len(r["cov"])))
+            r["n_components"] = len(r["components"])
+        return windows.sparkSession.createDataFrame([tuple(plain(r.get(f)) for f in fields) for r in made.values()], MODEL)
+    for r in made.values():
+        r["whiten"] = whitening(r["cov"], min(k, r["n"], len(r["cov"])))
+    share = min([1.0, *(ica_windows / r["n"] for r in made.values())])
+    sample = series if share == 1 else series.where(F.pmod(F.xxhash64(F.lit(seed), "window_id"), F.lit(1 << 30)) < share * (1 << 30))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        r = made[int(key[0])]
         x = np.stack(pdf.sort_values("window_id")["x"].to_list()).astype(np.float64)
-        m, s = (x.mean(), x.std()) if standardization == "train_channel" else (0.0, 1.0)
-        s = s or 1.0
-        x = (x - m) / s
-        mu, sd = x.mean(axis=0), x.std(axis=0)
-        sd[sd == 0] = 1.0
-        x = (x - mu) / sd
-        n = min(k, *x.shape)
-        ratio, mixing = None, None
-        if method == "pca":
-            mean, comp, ratio = pca(x, n)
-        else:
-            mean, comp, mixing = fast_ica(x, n, max_iter, tol, seed)
-        one = {"channel_index": int(key[0]), "channel_name": channels[int(key[0])], "method": method, "n_components": len(comp), "pre_mean": m, "pre_scale": s, "scaler_mean": mu, "scaler_scale": sd, "components": list(comp), "mixing": None if mixing is None else list(mixing), "latent_mean": mean, "explained_variance_ratio": ratio}
-        return pd.DataFrame([one])
+        x = ((x - r["pre_mean"]) / r["pre_scale"] - r["scaler_mean"]) / r["scaler_scale"]
+        unmix = rotation(r["whiten"] @ x.T, max_iter, tol, seed) @ r["whiten"]
+        one = r | {"n_components": len(unmix), "components": list(unmix), "mixing": list(np.linalg.pinv(unmix))}
+        return pd.DataFrame([{f: one.get(f) for f in fields}])
 
-    series = windows.select("window_id", F.posexplode("w").alias("channel_index", "x"))
-    return series.groupBy("channel_index").applyInPandas(run, MODEL)
+    return sample.groupBy("channel_index").applyInPandas(run, MODEL)
 
 
 def _rows(model: DataFrame) -> list[dict]:
@@ -132,32 +169,27 @@ def summary(model: DataFrame) -> DataFrame:
     return model.agg(F.sum("n_components").alias("total_components"), F.max(F.size("scaler_mean")).alias("window_size"), F.array_sort(F.collect_list(F.struct("channel_index", "channel_name", "n_components"))).alias("channels"))
 
 
+def compact(windows: DataFrame, k: int = 8, method: str = "pca", seed: int = 42, ica_windows: int = 50_000) -> DataFrame:
+    """Whole windows flattened to one series and reduced to k components, as values; each is the projection of the centred window."""
+    if windows.isEmpty():
+        return windows.drop("w").withColumn("values", F.array().cast("array<double>"))
+    flat = windows.withColumn("w", F.array(F.flatten("w")))
+    model = fit(flat, ["all"], method, k, "none", seed=seed, ica_windows=ica_windows)
+    return transform(flat, model)
+
+
 def compact_pca(windows: DataFrame, k: int = 8) -> DataFrame:
-    """Whole windows flattened and projected on their first k principal components.
+    """Whole windows flattened and projected on their first k principal components, without scaling.
 
-    The covariance is a sum over rows of outer products, added up in the partitions, so
-    only a matrix of the window's width reaches the driver.
+    The covariance is a sum over rows of outer products; one matrix of the window's width reaches the driver.
     """
-    flat = windows.withColumn("__x", F.flatten("w"))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, total, outer = 0, 0.0, 0.0
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["__x"].to_list()).astype(np.float64)
-                n, total, outer = n + len(x), total + x.sum(axis=0), outer + x.T @ x
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [total], "o": [outer.ravel()]})
-
-    parts = flat.select("__x").mapInPandas(partial, "n long, s array<double>, o array<double>").toPandas()
-    if not len(parts):
+    flat = windows.withColumn("__x", F.flatten("w").cast(VECTOR))
+    sums = _sums(flat.select(F.lit(0).alias("channel_index"), F.col("__x").alias("x")))
+    if not sums:
         return windows.drop("w").withColumn("values", F.array().cast("array<double>"))
-    n, total = int(parts["n"].sum()), np.sum(np.stack(parts["s"].to_list()), axis=0)
+    n, total, outer = sums[0]
     mean = total / n
-    cov = np.sum(np.stack(parts["o"].to_list()), axis=0).reshape(len(mean), -1) / n - np.outer(mean, mean)
-    _, vec = np.linalg.eigh(cov)
-    comp = vec[:, ::-1][:, : min(k, n, len(mean))].T
-    comp = comp * np.sign(comp[np.arange(len(comp)), np.abs(comp).argmax(axis=1)])[:, None]
+    comp, _ = components(outer / n - np.outer(mean, mean), min(k, n, len(mean)))
     keys = windows.drop("w").columns
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

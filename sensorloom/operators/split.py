@@ -65,12 +65,12 @@ def prefix(df: DataFrame, n: int | None, key: str = "window_id") -> DataFrame:
     return df if n is None else df.orderBy(key).limit(n)
 
 
-def pair_windows(real: DataFrame, synthetic: DataFrame, cap: int = 128, seed: int | None = 42) -> DataFrame:
-    """Per activity, the first min(n real, n synthetic, cap) of each side, met by rank: activity_name, rn, r, s.
+def pair_windows(real: DataFrame, synthetic: DataFrame, cap: int | None = 128, seed: int | None = 42) -> DataFrame:
+    """Per activity, the first min(n real, n synthetic, cap) of each side, met by rank: activity_name, rn, r, s; all without a cap.
 
     Sides are in hash order of the seed, or by window_id without one.
     """
     first = [] if seed is None else [hash_order("window_id", seed)]
     w = Window.partitionBy("activity_name").orderBy(*first, "window_id")
-    rank = lambda df, name: df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).select("activity_name", "rn", F.col("w").alias(name), F.col("window_id").alias(f"{name}_id"))
+    rank = lambda df, name: df.withColumn("rn", F.row_number().over(w)).where(F.lit(True) if cap is None else F.col("rn") <= cap).select("activity_name", "rn", F.col("w").alias(name), F.col("window_id").alias(f"{name}_id"))
     return rank(real, "r").join(rank(synthetic, "s"), ["activity_name", "rn"])

@@ -26,7 +26,7 @@ def ratio(x: str | Column, base: str | Column) -> Column:
 def with_baseline(summary: DataFrame, baseline: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """Ratios `{metric}_ratio` to the baseline row of the same key; both sides come from one plan."""
     base = baseline.select(key, *[F.col(m).alias(f"{m}_ref") for m in metrics])
-    return summary.join(F.broadcast(base), key, "left").withColumns({f"{m}_ratio": ratio(m, f"{m}_ref") for m in metrics})
+    return summary.join(base, key, "left").withColumns({f"{m}_ratio": ratio(m, f"{m}_ref") for m in metrics})
 
 
 def keyed_value(df: DataFrame, key: str, label, metric: str) -> DataFrame:

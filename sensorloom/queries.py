@@ -72,9 +72,9 @@ CELLS = """cells AS (SELECT vec_id AS window_id, 'a' || label AS activity_name,
   FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
 
-def _stat_sql(names, stats, lists, pattern, shift="") -> str:
+def _stat_sql(names, stats, lists, pattern, digits=6) -> str:
     made = {"mean": "list_avg({x})", "std": "list_aggregate({x}, 'stddev_pop')", "min": "list_min({x})", "max": "list_max({x})", "slope": "({x}[-1] - {x}[1]) / greatest(len({x}) - 1, 1)", "energy": "list_avg(list_transform({x}, lambda e: e * e))"}
-    return ", ".join(f"round({made[s].format(x=x)}{shift}, 6) AS {pattern.format(channel=n, stat=s)}" for n, x in zip(names, lists, strict=True) for s in stats)
+    return ", ".join(f"round({made[s].format(x=x)}, {digits}) AS {pattern.format(channel=n, stat=s)}" for n, x in zip(names, lists, strict=True) for s in stats)
 
 
 # --- scans, predicates, cleaning ------------------------------------------------------------------
@@ -143,11 +143,10 @@ def window_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_prepared(spark, d).features)
 
 
-@query(f"WITH {WINS} SELECT window_id, {_stat_sql(('ch0', 'ch1'), ('mean', 'std', 'min', 'max', 'energy'), ('v', 'kk'), '{channel}_{stat}', ' + 1.3e-8::DOUBLE')} FROM wid")
+@query(f"WITH {WINS} SELECT window_id, {_stat_sql(('ch0', 'ch1'), ('mean', 'std', 'min', 'max', 'energy'), ('v', 'kk'), '{channel}_{stat}', 8)} FROM wid")
 def har_features(spark: SparkSession, d: str) -> DataFrame:
-    f = features.har_features(_prepared(spark, d).windows, 2, ["window_id"])
-    # exact half-way cases would fall to either side in two engines, so both shift them off
-    return rounded(f.withColumns({c: F.col(c) + 1.3e-8 for c in f.columns[1:]}))
+    # mean squares of eight two-digit values have up to seven digits, so six would meet half-way cases
+    return rounded(features.har_features(_prepared(spark, d).windows, 2, ["window_id"]), 8)
 
 
 @query(f"WITH {WINS} SELECT window_id, {_stat_sql(CH, ('mean', 'std', 'min', 'max'), ('v', 'kk'), 'stat_{channel}_{stat}')} FROM wid")
@@ -322,7 +321,7 @@ def filter_summary(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = CELLS + """,
 side AS (SELECT DISTINCT window_id, activity_name, generated FROM cells),
 rk AS (SELECT *, row_number() OVER (PARTITION BY activity_name, generated ORDER BY window_id) AS rn FROM side),
-pairs AS (SELECT a.activity_name, a.rn, a.window_id AS r_id, b.window_id AS s_id FROM rk a JOIN rk b ON a.activity_name = b.activity_name AND a.rn = b.rn AND NOT a.generated AND b.generated WHERE a.rn <= 12),
+pairs AS (SELECT a.activity_name, a.rn, a.window_id AS r_id, b.window_id AS s_id FROM rk a JOIN rk b ON a.activity_name = b.activity_name AND a.rn = b.rn AND NOT a.generated AND b.generated),
 pc AS (SELECT p.*, x.c, x.t, x.v AS x, y.v AS y FROM pairs p JOIN cells x ON x.window_id = p.r_id JOIN cells y ON y.window_id = p.s_id AND y.c = x.c AND y.t = x.t)"""
 
 
@@ -331,8 +330,8 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     return w.where("NOT generated"), w.where("generated")
 
 
-def _pairs(spark, d, cap: int = 12) -> DataFrame:
-    return split.pair_windows(*_sides(spark, d), cap, None)
+def _pairs(spark, d) -> DataFrame:
+    return split.pair_windows(*_sides(spark, d), None, None)
 
 
 def _sampled_pairs(spark, d) -> DataFrame:
@@ -400,11 +399,11 @@ def ed_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SIDES}, m AS (SELECT activity_name, generated, c, avg(v) AS mu, var_pop(v) AS var FROM x GROUP BY ALL),
 y AS (SELECT x.*, v - mu AS y, var FROM x JOIN m USING (activity_name, generated, c)),
-l AS (SELECT a.activity_name, a.generated, a.c, b.t - a.t AS lag, avg(a.y * b.y) / any_value(CASE WHEN abs(a.var) <= 1e-8 THEN 1 ELSE a.var END) AS s FROM y a JOIN y b ON a.window_id = b.window_id AND a.c = b.c AND b.t BETWEEN a.t AND a.t + 7 GROUP BY ALL),
+l AS (SELECT a.activity_name, a.generated, a.c, b.t - a.t AS lag, avg(a.y * b.y) / any_value(CASE WHEN abs(a.var) <= 1e-8 THEN 1 ELSE a.var END) AS s FROM y a JOIN y b ON a.window_id = b.window_id AND a.c = b.c AND b.t BETWEEN a.t AND a.t + 31 GROUP BY ALL),
 p AS (SELECT a.activity_name, a.c, sqrt(sum((a.s - b.s) * (a.s - b.s))) AS d FROM l a JOIN l b ON a.activity_name = b.activity_name AND a.c = b.c AND a.lag = b.lag AND a.generated AND NOT b.generated GROUP BY ALL)
 SELECT activity_name, round(avg(d), 6) AS "ACD" FROM p GROUP BY activity_name""")
 def acd(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.autocorrelation_difference(*_sides(spark, d), max_lag=8))
+    return rounded(metrics.autocorrelation_difference(*_sides(spark, d)))
 
 
 @query(f"WITH {PAIRS}, p AS (SELECT activity_name, rn, c, sqrt(sum((x - y) * (x - y))) AS d FROM pc GROUP BY ALL), q AS (SELECT activity_name, rn, avg(d) AS d FROM p GROUP BY ALL), a AS (SELECT activity_name, count(*) AS num_real, avg(d) AS ed FROM q GROUP BY activity_name) SELECT activity_name, num_real, round(ed, 6) AS \"ED\" FROM a UNION ALL SELECT 'overall_mean', sum(num_real)::BIGINT, round(avg(ed), 6) FROM a")
@@ -451,6 +450,24 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("window_id", tx.prompt(TV).alias("prompt"), tx.prompt(TV, "compact_values_v2").alias("compact"))
 
 
+HINT = "CASE activity_name WHEN 'walking' THEN 'periodic locomotion' WHEN 'running' THEN 'high-energy periodic locomotion' ELSE 'human motion' END"
+EVERY = [*IDS, *TV]
+SHOWN = [c if c in IDS else f"printf('%.4f', {c})" for c in EVERY]
+
+
+@query(f"""WITH {ROWS} SELECT window_id,
+  {" || ', ' || ".join(f"'{c} is ' || {v}" for c, v in zip(EVERY, SHOWN, strict=True))} || '<|endoftext|>' AS base,
+  'Input: {", ".join(f"{c} is [blank]" for c in EVERY)} [sep] Target: ' || {" || ' ' || ".join(f"{v} || ' [answer]'" for v in SHOWN)} || '<|endoftext|>' AS fim,
+  'Condition:' || chr(10) || 'activity_name = ' || activity_name || chr(10) || 'activity_id = ' || activity_id || chr(10) || 'subject_id = ' || subject_id || chr(10) || 'window_id = ' || window_id || chr(10)
+  || 'task = generate a standardized sensor 18-channel 256-step motion embedding' || chr(10) || 'motion_hint = ' || {HINT} || chr(10) || chr(10) || 'Input:' || chr(10) || 'values = [blank] x 3' || chr(10) || chr(10) || 'Target:' || chr(10)
+  || {" || '; ' || ".join(f"'{c} = ' || printf('%.4f', {c})" for c in TV)} || '; [end]<|endoftext|>' AS structured,
+  'Condition: activity=' || activity_name || '; activity_id=' || activity_id || '; subject_id=' || subject_id || '; window_id=' || window_id || '; hint=' || {HINT} || '; task=sensor_embedding_3_values' || chr(10) || 'Target values:' || chr(10)
+  || {" || ', ' || ".join(f"printf('%.4f', {c})" for c in TV)} || ' [end]<|endoftext|>' AS compact FROM rows""")
+def text_templates(spark: SparkSession, d: str) -> DataFrame:
+    forms = {"base": "base_template", "fim": "fim_template", "structured": "structured_v2", "compact": "compact_values_v2"}
+    return _rows(spark, d).select("window_id", *[tx.record(EVERY, TV, template).alias(name) for name, template in forms.items()])
+
+
 MADE = f"{ROWS}, made AS (SELECT window_id AS candidate_id, CASE window_id % 5 WHEN 0 THEN 'x Target: 9' || chr(10) || '[sep] Target: value_1 = ' || value_1 || '; value_0 is ' || value_0 || '; value_2 = 1e-3 [end]' WHEN 1 THEN '[sep] target values : ' || value_0 || ' [answer] value_7 ' || value_1 || ' [answer]' WHEN 2 THEN 'no marker ' || value_0 || ', ' || value_1 || ', ' || value_2 || ' -' WHEN 3 THEN 'Target: ' ELSE 'Target:' || value_0 || '</s>' || value_1 || '<|endoftext|> .5 77' END AS text FROM rows), tails AS (SELECT *, regexp_replace(text, '[\\r\\n]', ' ', 'g') AS flat FROM made), t AS (SELECT candidate_id, text, CASE WHEN regexp_matches(flat, '(?i)(?:\\[sep\\]\\s*)?Target(?:\\s+values)?\\s*:') THEN regexp_extract(flat, '(?is)^.*(?:\\[sep\\]\\s*)?Target(?:\\s+values)?\\s*:(.*)$', 1) ELSE flat END AS tail, CASE WHEN regexp_matches(flat, '(?i)(?:\\[sep\\]\\s*)?Target(?:\\s+values)?\\s*:') THEN 'ok' ELSE 'target_marker_missing' END AS marker_status FROM tails)"
 NUM = "[-+]?(?:\\d+\\.\\d+|\\d+|\\.\\d+)(?:[eE][-+]?\\d+)?"
 
@@ -503,9 +520,9 @@ def parse_debug(spark: SparkSession, d: str) -> DataFrame:
 
 # --- classification -------------------------------------------------------------------------------
 
-KX = ", ".join(f"(embedding[{i + 1}]::DOUBLE - m[{i + 1}]) / s[{i + 1}]" for i in range(8))
+KX = ", ".join(f"(embedding[{i + 1}]::DOUBLE - m[{i + 1}]) / s[{i + 1}]" for i in range(64))
 KNN = f"""tr AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 <> 0), qs AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 3 = 0),
-z AS (SELECT [{', '.join(f'avg(embedding[{i + 1}]::DOUBLE)' for i in range(8))}] AS m, [{', '.join(f'stddev_pop(embedding[{i + 1}]::DOUBLE)' for i in range(8))}] AS s FROM tr),
+z AS (SELECT [{', '.join(f'avg(embedding[{i + 1}]::DOUBLE)' for i in range(64))}] AS m, [{', '.join(f'stddev_pop(embedding[{i + 1}]::DOUBLE)' for i in range(64))}] AS s FROM tr),
 a AS (SELECT vec_id, label, [{KX}] AS x FROM tr, z), b AS (SELECT vec_id, label, [{KX}] AS x FROM qs, z),
 dist AS (SELECT b.vec_id AS query_id, b.label, a.label AS tl, a.vec_id AS tid, list_distance(a.x, b.x) AS d FROM a, b),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, tid) AS r FROM dist QUALIFY r <= 5),
@@ -514,8 +531,8 @@ pred AS (SELECT query_id, label, tl AS prediction FROM (SELECT *, row_number() O
 
 
 def _predictions(spark, d) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)])
-    cols = [f"f{i}" for i in range(8)]
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
+    cols = [f"f{i}" for i in range(64)]
     train = e.where("vec_id % 3 <> 0")
     a = cl.standardize(train, train, cols).select(F.col("vec_id").alias("train_id"), "label", "x")
     return cl.knn(a, cl.standardize(e.where("vec_id % 3 = 0"), train, cols).select(F.col("vec_id").alias("query_id"), "label", "x"))
@@ -586,6 +603,11 @@ def fastica_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _roundtrip(spark, d, "fastica", 16)
 
 
+@query()
+def compact_ica(spark: SparkSession, d: str) -> DataFrame:
+    return reduce.compact(src.vectors_as_windows(spark, d).select("window_id", "w"), 4, "fastica")
+
+
 @query()
 def compact_pca(spark: SparkSession, d: str) -> DataFrame:
     return reduce.compact_pca(src.vectors_as_windows(spark, d).select("window_id", "w"), 8)
@@ -649,6 +671,56 @@ def run_summary_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(runs.join(overall, "run_name", "left").join(f, "run_name", "left"), 3)
 
 
+REGISTRY = """sim AS (SELECT l_returnflag AS run_name, CASE l_linestatus WHEN 'O' THEN 'overall_mean' ELSE 'f' END AS activity_name, avg(l_quantity) AS ed, avg(l_extendedprice) AS dtw FROM lineitem GROUP BY ALL),
+use AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'N' ELSE 'R' END AS run_name, CASE left(o_orderpriority, 1) WHEN '1' THEN 'real_only' WHEN '2' THEN 'synthetic_only' ELSE 'real_plus_synthetic' END AS setting,
+  avg(o_totalprice) / 1e6 AS accuracy, min(o_totalprice) / 1e6 AS macro_f1, max(o_totalprice) / 1e6 AS weighted_f1 FROM orders GROUP BY ALL)"""
+
+
+def _registry(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, similarity rows and utility rows in the roles of run artefacts."""
+    li, o = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    activity = F.when(F.col("l_linestatus") == "O", "overall_mean").otherwise("f")
+    sim = li.groupBy(F.col("l_returnflag").alias("run_name"), activity.alias("activity_name")).agg(F.avg("l_quantity").alias("ED"), F.avg("l_extendedprice").alias("DTW"))
+    run = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
+    first = F.left("o_orderpriority", F.lit(1))
+    setting = F.when(first == "1", "real_only").when(first == "2", "synthetic_only").otherwise("real_plus_synthetic")
+    use = o.groupBy(run.alias("run_name"), setting.alias("setting")).agg(*[(f("o_totalprice") / 1e6).alias(n) for f, n in ((F.avg, "accuracy"), (F.min, "macro_f1"), (F.max, "weighted_f1"))])
+    return spark.createDataFrame([(x,) for x in "ANRX"], "run_name string"), sim, use
+
+
+@query(f"""WITH {REGISTRY}, r AS (SELECT unnest(['A', 'N', 'R', 'X']) AS run_name), a AS (SELECT run_name, {', '.join(f"max(accuracy) FILTER (setting = '{x}') AS {x}" for x in ("real_only", "synthetic_only", "real_plus_synthetic"))} FROM use GROUP BY run_name)
+SELECT r.run_name, round(s.ed, 4) AS "ED", round(s.dtw, 4) AS "DTW", round(real_only, 4) AS real_only_accuracy, round(synthetic_only, 4) AS synthetic_only_accuracy, round(real_plus_synthetic, 4) AS real_plus_synthetic_accuracy, round(real_plus_synthetic - real_only, 4) AS utility_gain
+FROM r LEFT JOIN (SELECT * FROM sim WHERE activity_name = 'overall_mean') s USING (run_name) LEFT JOIN a USING (run_name)""")
+def run_registry(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.run_summary(*_registry(spark, d)), 4)
+
+
+@query(f"""WITH {REGISTRY} SELECT run_name, round(max(ed) FILTER (activity_name = 'overall_mean'), 4) AS "ED", round(max(dtw) FILTER (activity_name = 'overall_mean'), 4) AS "DTW",
+  (SELECT round(max(accuracy), 4) FROM use u WHERE u.run_name = sim.run_name AND setting = 'real_only') AS real_only, (SELECT round(max(weighted_f1), 4) FROM use u WHERE u.run_name = sim.run_name AND setting = 'real_plus_synthetic') AS both_f1 FROM sim WHERE run_name = 'N' GROUP BY run_name""")
+def run_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    _, sim, use = _registry(spark, d)
+    s = reports.snapshot(sim.where("run_name = 'N'"), use.where("run_name = 'N'"))
+    return rounded(s.select("similarity.run_name", "similarity.ED", "similarity.DTW", F.col("utility")["real_only"]["accuracy"].alias("real_only"), F.col("utility")["real_plus_synthetic"]["weighted_f1"].alias("both_f1")), 4)
+
+
+@query(f"WITH {REGISTRY} SELECT 'N' AS run_name, round((SELECT max(accuracy) FROM use WHERE run_name = 'N' AND setting = 'synthetic_only'), 4) AS value UNION ALL SELECT 'X', NULL")
+def run_keyed_value(spark: SparkSession, d: str) -> DataFrame:
+    use = _registry(spark, d)[2].where("setting = 'synthetic_only'")
+    one = lambda run: reports.keyed_value(use, "run_name", run, "accuracy").select(F.lit(run).alias("run_name"), "value")
+    return rounded(one("N").unionByName(one("X")), 4)
+
+
+@query("""WITH f AS (SELECT c_nationkey AS k, avg(c_acctbal) AS ed FROM customer WHERE c_nationkey % 2 = 0 GROUP BY ALL), b AS (SELECT n_regionkey AS dataset, avg(s_acctbal) AS ed FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 4 GROUP BY ALL)
+SELECT n_name AS run_name, n_regionkey AS dataset, round(coalesce(f.ed, n_nationkey), 4) AS "ED", round(b.ed, 4) AS "ED_ref", round(coalesce(f.ed, n_nationkey) / nullif(b.ed, 0), 4) AS "ED_ratio" FROM nation LEFT JOIN f ON f.k = n_nationkey LEFT JOIN b ON b.dataset = n_regionkey""")
+def run_refresh(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    nation = t("nation")
+    summary = nation.select(F.col("n_name").alias("run_name"), F.col("n_regionkey").alias("dataset"), F.col("n_nationkey").cast("double").alias("ED"))
+    fresh = t("customer").where("c_nationkey % 2 = 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("run_name")).agg(F.avg("c_acctbal").alias("ED"))
+    base = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).where("n_regionkey < 4").groupBy(F.col("n_regionkey").alias("dataset")).agg(F.avg("s_acctbal").alias("ED"))
+    return rounded(reports.refresh(summary, fresh, base, ["ED"]), 4)
+
+
 @query("""WITH m AS (SELECT unnest(range(1, 31)) AS run), a AS (SELECT c_nationkey AS run, count(*) AS n, max(CASE WHEN c_mktsegment = 'BUILDING' THEN c_acctbal END) AS b FROM customer GROUP BY ALL)
 SELECT 'r' || m.run AS run_name, CASE WHEN m.run % 10 = 0 THEN 'read_error' WHEN a.n IS NULL THEN 'missing' WHEN a.b IS NULL THEN 'missing_metrics' ELSE 'ok' END AS status, round(a.b, 2) AS "ED" FROM m LEFT JOIN a USING (run)""")
 def manifest_states(spark: SparkSession, d: str) -> DataFrame:

@@ -149,3 +149,64 @@ def test_stream_runs(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["mean"] for r in spark.sql("select mean from w order by start_ts").collect()] == [1.5, 3.5, 5.5, 7.5]
+
+
+def test_run_file_keys(tmp_path):
+    """Every section and key of a run file loads; unknown keys raise, or are kept apart when asked."""
+    lines = []
+    for name, keys in config.KEYS.items():
+        lines.append(f"{name}:")
+        for key, default in keys.items():
+            value = "x" if default is config.REQUIRED else default
+            if key == "peft":
+                lines += ["  peft:", "    enabled: true", "    target_modules:", "      - q_proj", "      - v_proj"]
+            elif isinstance(value, list):
+                lines += [f"  {key}:", *(f"    - {v}" for v in value)]
+            else:
+                lines.append(f"  {key}: {'null' if value is None else str(value).lower() if isinstance(value, bool) else value}")
+    (tmp_path / "run.yaml").write_text("\n".join([*lines, "smoke:", "  train_samples: 4"]) + "\n")
+    c = config.load_config(str(tmp_path / "run.yaml"))
+    assert c.embedding.window_stats == ["mean", "std", "min", "max"] and c.training.learning_rate == 8e-5 and c.training.peft["target_modules"] == ["q_proj", "v_proj"]
+    config.save_config(c, str(tmp_path / "out" / "run.json"))
+    assert config.load_config(str(tmp_path / "out" / "run.json")) == c
+    older = config.from_dict({"data": {"preprocessed_dir": "x", "output_dir": "y", "older": 1}}, strict=False)
+    assert older.unread == {"data.older": 1}
+
+
+def test_reducers_below_full_rank(spark):
+    """Components equal those of numpy's decomposition of all windows, kept below the width."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 6)) @ np.diag([5, 3, 2, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(size=(6, 6)))[0] + 3
+    w = spark.createDataFrame([(i, [v[:3].tolist(), v[3:].tolist()]) for i, v in enumerate(x)], "window_id long, w array<array<double>>").repartition(5)
+    got = {r.window_id: r["values"] for r in reduce.compact_pca(w, 2).collect()}
+    u, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    vt = vt[:2] * np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(axis=1)])[:, None]
+    assert np.allclose([got[i] for i in range(60)], (x - x.mean(axis=0)) @ vt.T)
+    model = reduce.fit(w, ["a", "b"], "pca", 2, "train_channel").orderBy("channel_index").collect()
+    y = (x[:, :3] - x[:, :3].mean()) / x[:, :3].std()
+    y = (y - y.mean(axis=0)) / y.std(axis=0)
+    s = np.linalg.svd(y, compute_uv=False) ** 2
+    assert np.allclose(model[0].explained_variance_ratio, s[:2] / s.sum()) and len(model[0].components) == 2
+    mixed = rng.laplace(size=(400, 2)) @ rng.normal(size=(2, 6))
+    w = spark.createDataFrame([(i, [v.tolist()]) for i, v in enumerate(mixed)], "window_id long, w array<array<double>>")
+    z = np.array([r["values"] for r in reduce.compact(w, 2, "fastica").orderBy("window_id").collect()])
+    assert np.allclose(np.cov(z.T, bias=True), np.eye(2), atol=1e-3) and reduce.compact(w.limit(0)).count() == 0 and reduce.compact_pca(w.limit(0)).count() == 0
+
+
+def test_spearman_ties(spark):
+    from sensorloom.operators import classify
+
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 40, 500), rng.normal(size=500).round(1)
+    rank = lambda v: np.array([(v < e).sum() + ((v == e).sum() + 1) / 2 for e in v])
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x long, y double")
+    assert classify.spearman(df, "x", "y", buckets=7).first().spearman == pytest.approx(np.corrcoef(rank(x), rank(y))[0, 1])
+
+
+def test_shapelets_find_planted_shapes():
+    rng = np.random.default_rng(8)
+    shape = np.array([0, 3.0, -2.0, 1.0])
+    made = lambda n: np.stack([np.concatenate([np.zeros(k), g * shape, np.zeros(12 - k)]) for k, g in zip(rng.integers(0, 13, n), rng.uniform(1, 2, n), strict=True)])[:, :, None]
+    real, near, noise = made(30), made(20), rng.normal(0, 2, (20, 16, 1))
+    assert metrics.shapelet_error(real, near, count=4, rounds=100) < 0.1 * metrics.shapelet_error(real, noise, count=4, rounds=100)
+    assert np.isnan(metrics.shapelet_error(real, near[:0])) and metrics.shapelet_error(real, near, count=2, rounds=5, mode="per_channel") >= 0

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import re
 import sys
 import tempfile
 import uuid
@@ -32,10 +33,18 @@ MESSAGE = "block long, bucket long, payload binary"
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Take the checkpoint folder from the session; set one only where none is named."""
+    """Take the checkpoint folder from the session; where none is named, a temporary one will do on a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def released(spark: SparkSession) -> None:
+    """Has the driver look for plans that nothing refers to any more, so that Spark deletes their shuffle files now."""
+    spark._jvm.System.gc()
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -47,6 +56,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4().hex}"
+    released(spark)
     df.write.option("compression", "zstd").parquet(folder)
     path, fs = _folder(spark, folder)
     fs.deleteOnExit(path)
@@ -123,21 +133,27 @@ def _pack(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Re
         yield flush()
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of docs in compressed blocks, dealt out by block id, in a checkpoint."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.mapInArrow(lambda it: _pack(it, block_bytes), PACKED).repartition(n, "block")
-    # a checkpoint keeps its plan's partitioning, which an adaptive plan does not tell
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df's rows dealt out by the key, in a checkpoint that keeps the partitioning, so that later joins and groups by the key move only the other side."""
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    released(spark)
+    # an adaptive plan does not tell its partitioning
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        use_checkpoints(spark)
-        return packed.checkpoint()
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of docs in compressed blocks, dealt out by block id, in a checkpoint."""
+    packed = dealt(docs.mapInArrow(lambda it: _pack(it, block_bytes), PACKED), "block")
+    released(docs.sparkSession)
+    return packed
+
+
 def bucket_count(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets in proportion to the raw input, so that each stays of bounded size."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0

@@ -16,11 +16,11 @@ are covered by the spare partitions. Sets with more empty ones take part, in add
 in a further enumeration with another hash, and at the last level empty partitions
 count too. So no similar pair is lost.
 
-Equal sets are collapsed to a class before signatures are made. Groups that share a
-signature first send a star of pairs (smallest member against the rest) to exact
-verification. Groups whose members are then still in different components are compared
-by sketches in tiles, and a task names only pairs that connect components which its
-earlier pairs do not, so pairs grow as members do; this is enough for components.
+Equal sets are collapsed to a class before signatures are made. Rows that share a
+signature make a star about the first of them, in one hashed order; stars with the same
+centre are one, so a pair that shares many signatures meets about once. The rows of a star
+are compared by sketches in tiles, and a task names only pairs that connect components
+which its earlier pairs do not, so pairs grow as rows do; this is enough for components.
 class_links and link_counts verify every pair that shares a signature instead. Before a set travels, the pair
 must pass the sets' parity sketches, which bound the difference from below and so lose
 nothing. Sets are compared where the blocks of their texts lie.
@@ -31,6 +31,7 @@ than n give one n-gram of them all; repeated rows are documents of their own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,28 +98,37 @@ class Plan:
     def spare(self, k: int) -> int:
         return 0 if k == 0 else 1 + (k + 1) // 24
 
-    def signatures(self, elements: np.ndarray) -> np.ndarray:
-        """64-bit signatures of a non-empty set."""
-        own = self.band(len(elements))
-        out = []
-        for band in (own, own + 1):
-            k = self.differences(band)
-            spare = self.spare(k)
-            n = k + 1 + spare
-            for level in range(LEVELS):
-                seed = np.uint64((band * LEVELS + level + 1) * 2654435761)
-                part = ((mix(elements + seed) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
-                h = mix(elements ^ seed)
-                low, high = (np.bincount(part, (h >> np.uint64(b)) & np.uint64(0xFFFFFFFF), n).astype(np.uint64) for b in (0, 32))
-                total = low + (high << np.uint64(32))
-                filled = np.bincount(part, minlength=n)
-                some = filled > 0
-                last = level == LEVELS - 1
-                take = np.flatnonzero(some | last)
-                out.append(mix(total[take] + mix(take.astype(np.uint64) + seed * np.uint64(977))))
-                if n - int(some.sum()) <= spare:
-                    break
-        return np.concatenate(out)
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit signatures of non-empty sets, and for each the place of its set; sets of one band are signed together."""
+        sigs, places = [], []
+        own = np.array([self.band(len(s)) for s in sets], np.int64)
+        for mine in np.unique(own).tolist():
+            members = np.flatnonzero(own == mine)
+            every = np.concatenate([sets[i] for i in members.tolist()])
+            whose = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members.tolist()])
+            for band in (mine, mine + 1):
+                k = self.differences(band)
+                spare = self.spare(k)
+                n = k + 1 + spare
+                place, elements, of = members, every, whose
+                for level in range(LEVELS):
+                    seed = np.uint64((band * LEVELS + level + 1) * 2654435761)
+                    part = of * n + ((mix(elements + seed) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+                    h = mix(elements ^ seed)
+                    low, high = (np.bincount(part, (h >> np.uint64(b)) & np.uint64(0xFFFFFFFF), len(place) * n).astype(np.uint64) for b in (0, 32))
+                    total = low + (high << np.uint64(32))
+                    some = np.bincount(part, minlength=len(place) * n) > 0
+                    last = level == LEVELS - 1
+                    take = np.arange(len(some)) if last else np.flatnonzero(some)
+                    sigs.append(mix(total[take] + mix((take % n).astype(np.uint64) + seed * np.uint64(977))))
+                    places.append(place[take // n])
+                    again = n - some.reshape(-1, n).sum(axis=1) > spare
+                    if last or not again.any():
+                        break
+                    stay = again[of]
+                    place, elements, of = place[again], elements[stay], (np.cumsum(again) - 1)[of[stay]]
+        none = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        return np.concatenate(sigs or none[0]), np.concatenate(places or none[1])
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -176,14 +186,11 @@ def _sign(n: int, plan_args: tuple[int, int], buckets: int):
     def finish(block: int, table: pa.Table, owners: pa.StructArray) -> Iterator[pa.Table]:
         plan, words, text = Plan(*plan_args), WordHashes(), B.texts(table)
         mask = (1 << ROW_BITS) - 1
-        sigs, rows = [], []
-        for row in owners.field("row").to_pylist():
-            s = plan.signatures(shingle_set(text[row & mask], n, words))
-            sigs.append(s)
-            rows.append(np.full(len(s), row, np.int64))
-        if not sigs:
+        rows = owners.field("row").to_numpy()
+        sig, place = plan.signatures([shingle_set(text[r & mask], n, words) for r in rows.tolist()])
+        if not len(sig):
             return
-        sig, row = np.concatenate(sigs), np.concatenate(rows)
+        row = rows[place]
         to = (sig % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
@@ -206,36 +213,30 @@ def _thick(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view(np.uint64).ravel(), row.astype(np.int64)
 
 
-def _shared(messages: list[tuple[int, bytes]]) -> list[np.ndarray]:
-    """Sorted rows of each signature that several rows share, equal lists once."""
+def _pairs_of(messages: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each signature that several rows share, its first row in the order of hashes with each of the others; distinct pairs."""
     sig, row = [], []
     for block, payload in messages:
         s, r = _thick(payload)
         sig.append(s)
         row.append(_row(block, 0) + r)
     sig, row = np.concatenate(sig), np.concatenate(row)
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((mix(row.view(np.uint64)), sig))
     sig, row = sig[order], row[order]
-    cuts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    ends = np.append(cuts[1:], len(sig))
-    many = ends - cuts > 1
-    found = {}
-    for a, z in zip(cuts[many], ends[many], strict=True):
-        members = np.unique(row[a:z])
-        if len(members) > 1:
-            found[xxhash.xxh3_128_digest(members.tobytes())] = members
-    return list(found.values())
+    fresh = np.concatenate([[True], sig[1:] != sig[:-1]])
+    centre = row[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    pairs = np.unique(np.stack([centre, row], axis=1)[centre != row], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def _list_groups(messages: DataFrame) -> DataFrame:
-    """(gid, rows): distinct groups of two rows or more, the rows in the order of their hashes."""
+def _stars(messages: DataFrame) -> DataFrame:
+    """(a, b): rows that share a signature as stars; a comes first, in one hashed order, of all rows that share one with both."""
 
     def run(key, pdf):
-        pdf = pdf.sort_values("block", kind="stable")
-        rows = _shared(list(zip(pdf["block"].tolist(), pdf["payload"], strict=True)))
-        return pd.DataFrame({"gid": pd.Series([xxhash.xxh3_64_intdigest(r.tobytes()) - (1 << 63) for r in rows], dtype="int64"), "rows": pd.Series([r[np.argsort(mix(r.view(np.uint64)))] for r in rows], dtype=object)})
+        a, b = _pairs_of(list(zip(pdf["block"].tolist(), pdf["payload"], strict=True)))
+        return pd.DataFrame({"a": a, "b": b})
 
-    return messages.groupBy("bucket").applyInPandas(run, "gid long, rows array<long>").dropDuplicates(["gid"])
+    return messages.groupBy("bucket").applyInPandas(run, "a long, b long").distinct()
 
 
 def _verified(packed: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -277,11 +278,6 @@ def _verified(packed: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -
     return found
 
 
-def _star(groups: DataFrame) -> DataFrame:
-    """Pairs of each group's first row, in one hashed order for all groups, with the others."""
-    return groups.select(F.col("rows")[0].alias("a"), F.explode("rows").alias("b")).where("a <> b").distinct()
-
-
 def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
     """row, size, bits of the rows' sets: the parity of the elements that fall on each of the sketch's bits.
 
@@ -295,16 +291,16 @@ def _sketches(packed: DataFrame, rows: DataFrame, n: int) -> DataFrame:
         for row in wanted:
             s = shingle_set(text[row & mask], n, words)
             size.append(len(s))
-            bits.append(sketch(s))
-        yield pa.table({"row": pa.array(wanted, pa.int64()), "size": pa.array(size, pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
+            bits.append(sketch(s).tobytes())
+        yield pa.table({"row": pa.array(wanted, pa.int64()), "size": pa.array(size, pa.int64()), "bits": pa.array(bits, pa.binary())})
 
-    return _at_blocks(packed, _per_block(rows, "row", "row"), finish, "row long, size long, bits array<long>")
+    return _at_blocks(packed, _per_block(rows, "row", "row"), finish, "row long, size long, bits binary")
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities over a power of two of bits, four times the set's size or more; halves laid over each other give a shorter sketch."""
+    """Parities over a power of two of bits, twice the set's size or more; halves laid over each other give a shorter sketch."""
     bits = SKETCH_BITS
-    while bits < 4 * len(elements):
+    while bits < 2 * len(elements):
         bits *= 2
     odd = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -316,34 +312,26 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches leave them a chance."""
-    one = sketches.select(F.col("row").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
-    two = sketches.select(F.col("row").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
-    # sizes that can match differ by less than two, so sketches by one halving at most
-    short = "if(size({0}) > size({1}), zip_with(slice({0}, 1, cast(size({0}) / 2 as int)), slice({0}, cast(size({0}) / 2 as int) + 1, cast(size({0}) / 2 as int)), (x, y) -> x ^ y), {0})"
-    differ = f"aggregate(zip_with({short.format('ba', 'bb')}, {short.format('bb', 'ba')}, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)"
-    fits = f"{den} * least(na, nb) >= {num} * greatest(na, nb) AND {den + num} * {differ} <= {den - num} * (na + nb)"
-    return pairs.join(one, "a").join(two, "b").where(fits).select("a", "b")
-
+def _tiles(stars: DataFrame, parts: DataFrame | None, sketches: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """(lo, hi, m): tiles of bounded size of the stars whose rows are in different components.
 
-def _tiles(groups: DataFrame, parts: DataFrame, sketches: DataFrame, refused: DataFrame | None = None) -> DataFrame:
-    """(lo, hi, m): tiles of bounded size of the groups whose members are in different components.
-
-    m holds the members' node, c (component), size, bits, chunk and no (partners that
-    verification refused). With refused pairs (a, b), only members of the components that
-    they lie in take part.
+    A star's rows hold every pair that shares a signature with its centre first. m holds the
+    rows' node, c (component; each its own without parts), size, bits, chunk and no (partners
+    that verification refused). With refused pairs (a, b), only rows of the components
+    that they lie in take part.
     """
-    own = groups.where("size(rows) > 2").select("gid", F.ceil(F.size("rows") / F.lit(TILE)).cast("int").alias("k"), F.explode("rows").alias("node")).join(parts, "node", "left")
-    own = own.select("gid", "k", "node", F.coalesce("component", "node").alias("c"))
-    if refused is not None:
+    own = stars.select(F.col("a").alias("gid"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("gid"), F.col("a").alias("node")).distinct())
+    if parts is None:
+        own = own.withColumn("c", F.col("node"))
+    else:
+        own = own.join(parts, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
         ends = refused.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refused.select(F.col("b").alias("node"), F.col("a").alias("other")))
         touched = ends.select("node").distinct().join(parts, "node", "left").select(F.coalesce("component", "node").alias("c")).distinct()
         own = own.join(touched, "c", "left_semi")
-    mixed = own.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("gid")
+    mixed = own.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("k")).where("low < high").select("gid", "k")
     own = own.join(mixed, "gid").join(sketches.withColumnRenamed("row", "node"), "node")
     if refused is None:
-        own = own.withColumn("no", F.array().cast("array<long>"))
+        own = own.withColumn("no", F.lit(None).cast("array<long>"))
     else:
         own = own.join(ends.groupBy("node").agg(F.collect_list("other").alias("no")), "node", "left")
     own = own.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -358,7 +346,7 @@ class Tile:
 
     def __init__(self, lo: int, hi: int, members: pa.StructArray, num: int, den: int) -> None:
         self.node, self.c, self.size, side = (members.field(x).to_numpy() for x in ("node", "c", "size", "chunk"))
-        each = [np.asarray(x, np.int64) for x in members.field("bits").to_pylist()]
+        each = [np.frombuffer(x, np.int64) for x in members.field("bits").to_pylist()]
         shortest = min(map(len, each))
         self.bits = np.stack([fold(x, shortest) for x in each]).view(np.uint64)
         self.left, self.right, self.same = np.flatnonzero(side == lo), np.flatnonzero(side == hi), lo == hi
@@ -457,7 +445,7 @@ def _every(tiles: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _grouped(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the packed documents with their class, groups of class owners that share a signature, and the owners' sketches.
+    """Rows of the packed documents with their class, stars of class owners that share a signature, and the owners' sketches.
 
     The first frame has row, doc_id, n_shingles and owner, the row that stands for all
     rows with the same set (null for an empty one).
@@ -467,56 +455,46 @@ def _grouped(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFra
     owners = B.saved(rows.where("n_shingles > 0").groupBy("n_shingles", "hi", "lo").agg(F.min("row").alias("owner")))
     asked = _per_block(owners.select(F.col("owner").alias("row")), "row", "row")
     signed = _at_blocks(packed, asked, _sign(words, (num, den), B.bucket_count(packed)), B.MESSAGE)
-    groups = B.saved(_list_groups(signed))
-    sketches = B.saved(_sketches(packed, groups.select(F.explode("rows").alias("row")).distinct(), words))
+    stars = B.saved(_stars(signed))
+    sketches = B.saved(_sketches(packed, stars.select(F.explode(F.array("a", "b")).alias("row")).distinct(), words))
     owned = rows.join(owners, ["n_shingles", "hi", "lo"], "left").select("row", "doc_id", "n_shingles", "owner")
-    return owned, groups, sketches
-
-
-def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return owned, stars, sketches
 
 
 def classes(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Rows of the packed documents with their class, and (node, component) of the owners that link with another.
 
-    The first frame is that of _grouped. Links are verified as far as components need: first
-    the groups' stars, then forests of possible pairs over the groups that are not one
-    component yet. A forest whose pairs are all similar leaves nothing to compare; where
-    some were refused, the components they lie in are met again without the refused
-    pairs, by more forests at a time, until none is refused.
+    The first frame is that of _grouped. Links are verified as far as components need, by
+    forests of possible pairs over the stars. A forest whose pairs are all similar leaves
+    nothing to compare; where some were refused, the components they lie in are met again
+    without the refused pairs, by more forests at a time, until none is refused.
     """
-    rows, groups, sketches = _grouped(packed, words, num, den)
-    stars = B.saved(_possible(_star(groups), sketches, num, den))
-    links = _verified(packed, stars, words, num, den)
-    parts = connected_components(links)
-    B.dropped(stars, links)
-    refused, times = None, 2
+    rows, stars, sketches = _grouped(packed, words, num, den)
+    parts, refused, times = None, None, 2
     while True:
-        named = B.saved(_forests(_tiles(groups, parts, sketches, refused), num, den, times))
-        if named.isEmpty():
+        named = B.saved(_forests(_tiles(stars, parts, sketches, refused), num, den, times))
+        if named.isEmpty() and parts is not None:
             break
         found = _verified(packed, named, words, num, den)
         failed = named.join(found, ["a", "b"], "left_anti")
         # stars of the components so far, and the new links
-        parts = connected_components(found.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        old = [] if parts is None else [parts.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        parts = connected_components(functools.reduce(DataFrame.unionByName, old, found))
         refused = B.saved(failed if refused is None else failed.unionByName(refused))
         B.dropped(named, found)
         if refused.isEmpty():
             break
         times *= 8
-    B.dropped(groups, sketches)
+    B.dropped(stars, sketches)
     return rows, parts
 
 
 def class_links(packed: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The rows as in classes, and every link (a, b) of class owners: each possible pair that shares a signature is verified, a < b, once."""
-    rows, groups, sketches = _grouped(packed, words, num, den)
-    apart = packed.sparkSession.createDataFrame([], "node long, component long")
-    twos = _possible(_star(groups.where("size(rows) = 2")), sketches, num, den)
-    pairs = B.saved(_every(_tiles(groups, apart, sketches), num, den).unionByName(_once(twos)).distinct())
+    """The rows as in classes, and every link (a, b) of class owners: each possible pair that shares a star is verified, a < b, once."""
+    rows, stars, sketches = _grouped(packed, words, num, den)
+    pairs = B.saved(_every(_tiles(stars, None, sketches), num, den))
     links = _verified(packed, pairs, words, num, den)
-    B.dropped(groups, sketches, pairs)
+    B.dropped(stars, sketches, pairs)
     return rows, links
 
 

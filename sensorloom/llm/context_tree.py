@@ -15,7 +15,7 @@ context; where a deeper one was never seen, the deepest seen takes all of it.
 
 Only distinct grams and words travel: blocks send their seven-byte grams with counts to
 the bucket of the two nearest context bytes, where the subtree is weighted, and get the
-grams' probabilities back; words go to word buckets for the base score. The top of the tree (depths 0 and 1, at most 257 x 255 nodes whatever
+grams' log probabilities back in single precision (summed in double); words go to word buckets for the base score. The top of the tree (depths 0 and 1, at most 257 x 255 nodes whatever
 the input) is put together on the driver.
 
 Defined cases: a null or blank text is the end token alone; a null doc_id is held out;
@@ -291,17 +291,6 @@ def _merged(payloads) -> tuple[np.ndarray, np.ndarray]:
     return merged.all()
 
 
-def _dealt(messages: DataFrame) -> DataFrame:
-    """The messages in a checkpoint, dealt out by bucket once for all later passes."""
-    spark = messages.sparkSession
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return messages.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
 def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row.
 
@@ -309,7 +298,8 @@ def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
     """
     packed = B.pack(docs.select("doc_id", "text"), BLOCK_BYTES)
     n = B.bucket_count(packed)
-    sent = _dealt(B.scatter(packed, _send(n, word_contexts)))
+    sent = B.dealt(B.scatter(packed, _send(n, word_contexts)), "bucket")
+    B.released(docs.sparkSession)
 
     def count(key, pdf: pd.DataFrame) -> pd.DataFrame:
         counts = np.array(list(_vocabulary(pdf["payload"].tolist()).values()), np.int64)
@@ -342,7 +332,7 @@ def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
         logs = code_lengths(keys, counts, top)
         for block, p in messages:
             own = _pressed_out(p)[0]
-            yield block, B.dumps((bucket, _planes(np.diff(own, prepend=0)), _planes(logs[np.searchsorted(keys, own)])))
+            yield block, B.dumps((bucket, _planes(np.diff(own, prepend=0)), _planes(logs[np.searchsorted(keys, own)].astype(np.float32))))
         del keys, counts, logs
         B.trim()
 
@@ -351,25 +341,29 @@ def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
 
     def finish(_: int, table: pa.Table, payloads: list[bytes]) -> Iterator[pa.Table]:
         known: dict[bytes, int] = {}
-        parts = []
+        parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for p in payloads:
             bucket, own, value = B.loads(p)
             if bucket >= n:
                 known.update(zip(own.split(b" "), value.tolist(), strict=True))
             else:
-                parts.append((np.cumsum(_values(own)), _values(value)))
-        keys, logs = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(keys)
-        keys, logs = keys[order], logs[order]
+                parts[bucket] = np.cumsum(_values(own)), _values(value)
+        payloads.clear()
         scores, sizes = [], []
         for _, key, first in _runs(table, word_contexts):
             order = np.argsort(key)
+            ordered = key[order]
+            to = bucket_of(ordered, n)
+            by_bucket = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[by_bucket], np.arange(n + 1))
             value = np.empty(len(key))
-            value[order] = logs[np.searchsorted(keys, key[order])]
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                at = by_bucket[edges[bucket] : edges[bucket + 1]]
+                own, log = parts[bucket]
+                value[order[at]] = log[np.searchsorted(own, ordered[at])]
             scores += np.add.reduceat(value, first).tolist()
             sizes += np.diff(np.append(first, len(key))).tolist()
-        del keys, logs
+        del parts
         rows = []
         for doc_id, text, total_score, size in zip(table["doc_id"].to_pylist(), B.texts(table), scores, sizes, strict=True):
             counts = np.array([known[w] for w in [*text.lower().split(), END]], np.int64)

@@ -92,6 +92,8 @@ def _doc_anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _split(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(key):
+        return
     to = (key % np.uint64(n)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.diff(to[order], prepend=-1))

@@ -1,16 +1,16 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Base patterns give spans that always stay. Looser patterns give further candidates.
-Labelers vote on every candidate (for, against or not at all): the strict pattern, a
-checksum or range rule, gazetteers of mail domains, dialling codes and reserved
-addresses, words of its context, and the characters at its edges. Expectation-
-maximisation over the votes estimates each labeler's reliability and each candidate's
-probability (two classes, labelers independent given the class); the candidates'
-probabilities then train a naive Bayes classifier over features of the span itself.
+Base patterns give spans that always stay. Looser patterns, and card numbers of the right
+length whose checksum fails, give further candidates. Labelers vote on every candidate
+(for, against or not at all): the strict pattern, a checksum or range rule, gazetteers of
+mail domains, dialling codes, reserved addresses and card issuers, words of its context,
+the characters at its edges, and its shape. Expectation-maximisation over the votes
+estimates, for each kind, every labeler's reliability and every candidate's probability
+(two classes, labelers independent given the class); the candidates' probabilities then train a naive Bayes classifier over features of the span itself.
 A further candidate becomes a span when both agree, at `threshold`.
 
 Votes and features are counted by DataFrame aggregation: the table of vote patterns has
-at most 3**5 rows for each kind, the features fewer, whatever the input.
+at most 3**6 rows for each kind, the features fewer, whatever the input.
 
 Offsets are code points, the end exclusive. Defined cases: null text is empty and has
 no spans; repeated rows give repeated results; candidates that overlap a base span or
@@ -28,11 +28,11 @@ KINDS = ("email", "ip", "card", "phone")
 
 _MAIL = "[A-Za-z0-9._%+-]"
 #: The same spans as the patterns of the contract, found without rescanning: a mail address
-#: starts where its run of characters does or right behind the last one; a card number is
-#: a whole run of single-spaced digits, of 12 to 19.
+#: starts where its run of characters does or right behind the last one; an address starts
+#: where its run of digits does; a card number is a whole run of single-spaced digits, of 12 to 19.
 PATTERNS = {
     "email": rf"(?:(?<!{_MAIL})|\G){_MAIL}++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -56,21 +56,36 @@ GAZETTEER = {
     "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^\+(1|33|34|44|49|39|41|43|7|81|86|91)[^0-9]?",
 }
-VOTES = ("strict", "rule", "gazetteer", "context", "edge")
+#: How long a whole number, or how formed an address, mostly is.
+SHAPE = {"email": r"\.[A-Za-z]{2,}$", "ip": r"^[0-9]{1,3}(\D+[0-9]{1,3}){3}$", "card": r"^(\D*[0-9]){15,16}$", "phone": r"^(\D*[0-9]){10,13}$"}
+VOTES = ("strict", "rule", "gazetteer", "context", "edge", "shape")
 CONTEXT = 40
 
 
+SPAN = "kind:int,base:boolean,start:int,end:int,found:string,before:string,after:string"
+CHUNK = 256
+
+
 def _found(pattern: str, needs: str, kind: int, base: bool) -> str:
-    """SQL: (kind, base, start, end, found) of the pattern's matches, left to right.
+    """SQL: (kind, base, start, end, found, before, after) of the pattern's matches, left to right.
 
-    Matches and the gaps between them alternate, so their lengths give the offsets.
+    Matches and the gaps between them alternate, so their lengths give the offsets and what
+    stands around a match. They are walked in chunks, each from where those before it end,
+    so that a text of very many matches takes no time in their square.
     """
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    walk = f"""aggregate(arrays_zip(g.m, g.gap), named_struct('at', 0, 'out', cast(array() as array<struct<kind:int,base:boolean,start:int,end:int,found:string>>)),
-      (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.m),
-        'out', concat(a.out, array(named_struct('kind', {kind}, 'base', {str(base).lower()}, 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m), 'found', x.m)))), a -> a.out)"""
-    pair = f"transform(array(regexp_extract_all(text, '{p}', 0)), m -> named_struct('m', m, 'gap', slice(split(text, '{p}', -1), 1, size(m))))"
-    return f"if({needs} AND text rlike '{p}', flatten(transform({pair}, g -> {walk})), cast(array() as array<struct<kind:int,base:boolean,start:int,end:int,found:string>>))"
+    none = f"cast(array() as array<struct<{SPAN}>>)"
+    pieces = f"named_struct('m', regexp_extract_all(text, '{p}', 0), 'g', split(text, '{p}', -1))"
+    zipped = f"transform(array({pieces}), t -> transform(t.m, (m, i) -> named_struct('m', m, 'gap', t.g[i], 'after', left(concat(coalesce(get(t.g, i + 1), ''), coalesce(get(t.m, i + 1), '')), 1))))[0]"
+    chunks = f"transform(array({zipped}), z -> transform(sequence(0, (size(z) - 1) div {CHUNK}), i -> slice(z, i * {CHUNK} + 1, {CHUNK})))[0]"
+    tail = f"right(concat(a.tail, x.gap, x.m), {CONTEXT})"
+    step = "a.at + length(x.gap) + length(x.m)"
+    over = f"aggregate(c, named_struct('at', a.at, 'tail', a.tail), (a, x) -> named_struct('at', {step}, 'tail', {tail}))"
+    starts = f"""aggregate(cs, named_struct('at', 0, 'tail', '', 'out', cast(array() as array<struct<at:int,tail:string>>)),
+      (a, c) -> transform(array({over}), e -> named_struct('at', e.at, 'tail', e.tail, 'out', concat(a.out, array(named_struct('at', a.at, 'tail', a.tail)))))[0], a -> a.out)"""
+    made = f"named_struct('kind', {kind}, 'base', {str(base).lower()}, 'start', a.at + length(x.gap), 'end', {step}, 'found', x.m, 'before', right(concat(a.tail, x.gap), {CONTEXT}), 'after', x.after)"
+    walk = f"aggregate(c, named_struct('at', b.at, 'tail', b.tail, 'out', {none}), (a, x) -> named_struct('at', {step}, 'tail', {tail}, 'out', concat(a.out, array({made}))), a -> a.out)"
+    return f"if({needs} AND text rlike '{p}', flatten(transform(array({chunks}), cs -> flatten(zip_with(cs, {starts}, (c, b) -> {walk})))), {none})"
 
 
 def _digits(x: str) -> str:
@@ -94,20 +109,21 @@ def _valid(x: str) -> str:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs' rows as doc_id, text, base: the base spans by start, then kind."""
+    """docs' rows as doc_id, text, base (the base spans by start, then kind) and near (card numbers of the right length that fail the checksum)."""
     every = ", ".join(_found(PATTERNS[k], NEEDS[k], i, True) for i, k in enumerate(KINDS))
-    ordered = f"array_sort(filter(concat({every}), x -> {_valid('x')}), (a, b) -> if(a.start <> b.start, a.start - b.start, a.kind - b.kind))"
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.withColumn("base", F.expr(ordered))
+    judged = f"transform(concat({every}), x -> named_struct('x', x, 'valid', {_valid('x')}))"
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__j", F.expr(judged))
+    ordered = "array_sort(transform(filter(__j, j -> j.valid), j -> j.x), (a, b) -> if(a.start <> b.start, a.start - b.start, a.kind - b.kind))"
+    other = ", ".join(f"'{f.split(':')[0]}', " + ("false" if f.startswith("base") else f"j.x.{f.split(':')[0]}") for f in SPAN.split(","))
+    near = f"transform(filter(__j, j -> j.x.kind = 2 AND NOT j.valid), j -> named_struct({other}))"
+    return rows.select("doc_id", "text", F.expr(ordered).alias("base"), F.expr(near).alias("near"))
 
 
 def candidates(based: DataFrame) -> DataFrame:
-    """doc_id, base and extra: further candidates clear of base spans; both with context and edges."""
+    """doc_id and all: base spans and further candidates clear of them, with context and edges."""
     every = ", ".join(_found(LOOSE[k], LOOSE_NEEDS[k], i, False) for i, k in enumerate(KINDS))
-    clear = f"filter(concat({every}), x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
-    seen = "named_struct('kind', x.kind, 'base', x.base, 'start', x.start, 'end', x.end, 'found', x.found, 'before', substring(text, greatest(1, x.start + 1 - {0}), least({0}, x.start)), 'after', substring(text, x.end + 1, 1))".format(CONTEXT)
-    both = based.withColumn("extra", F.expr(clear)).withColumn("all", F.expr(f"transform(concat(base, extra), x -> {seen})"))
-    return both.select("doc_id", "all")
+    clear = f"filter(concat(near, {every}), x -> NOT exists(base, b -> b.start < x.end AND x.start < b.end))"
+    return based.select("doc_id", F.concat("base", F.expr(clear)).alias("all"))
 
 
 def _case(table: dict[str, str], make) -> str:
@@ -126,6 +142,7 @@ def votes(spans: DataFrame) -> DataFrame:
     no dialling code, so the gazetteer does not vote on it.
     """
     quoted = lambda p: "'" + p.replace("\\", "\\\\") + "'"
+    plain_found = _plain("found")
     plain = spans.withColumn("x", F.struct("kind", "found"))
     speaks = _case(FOR, lambda p: f"lower(before) rlike {quoted(p)}")
     denies = _case(AGAINST, lambda p: f"lower(before) rlike {quoted(p)}")
@@ -137,16 +154,17 @@ def votes(spans: DataFrame) -> DataFrame:
         F.expr(f"CASE WHEN kind = 3 AND left(found, 1) <> '+' THEN 0 WHEN {listed} THEN 1 ELSE -1 END").alias("gazetteer"),
         F.expr(f"CASE WHEN {denies} THEN -1 WHEN {speaks} THEN 1 ELSE 0 END").alias("context"),
         F.expr("if(before rlike '[A-Za-z0-9]$' OR after rlike '[A-Za-z0-9]', -1, 1)").alias("edge"),
+        F.expr(f"if({_case(SHAPE, lambda p: plain_found + " rlike " + quoted(p))}, 1, -1)").alias("shape"),
     )
 
 
-def estimate(patterns: DataFrame, rounds: int = 12) -> dict:
-    """Reliabilities by EM over the counted vote patterns: prior and P(vote | class) for each labeler.
+def estimate(patterns: DataFrame, rounds: int = 12) -> dict[int, dict]:
+    """Reliabilities by EM over the counted vote patterns: for each kind, prior and P(vote | class) for each labeler.
 
     A labeler that does not vote says nothing about the class. Starts from the majority vote; every round is one aggregation of the small table.
     """
     belief = F.expr("1 / (1 + exp(-1.5D * (" + " + ".join(VOTES) + ")))")
-    params: dict = {}
+    params: dict[int, dict] = {}
     for _ in range(rounds):
         p = patterns.withColumn("p", belief)
         sums = [F.sum(F.col("n") * F.col("p")).alias("yes"), F.sum("n").alias("all")]
@@ -154,25 +172,34 @@ def estimate(patterns: DataFrame, rounds: int = 12) -> dict:
             for value in (-1, 1):
                 hit = (F.col(v) == value).cast("double") * F.col("n")
                 sums += [F.sum(hit * F.col("p")).alias(f"{v}_{value}_y"), F.sum(hit * (1 - F.col("p"))).alias(f"{v}_{value}_n")]
-        row = p.agg(*sums).first()
-        if not row["all"]:
+        # one row for each kind
+        for row in p.groupBy("kind").agg(*sums).collect():
+            yes, no = row["yes"], row["all"] - row["yes"]
+            one = params[row["kind"]] = {"prior": (yes + 1) / (yes + no + 2)}
+            for v in VOTES:
+                spoke = {c: row[f"{v}_-1_{c}"] + row[f"{v}_1_{c}"] + 2 for c in "yn"}
+                one[v] = {i: ((row[f"{v}_{i}_y"] + 1) / spoke["y"], (row[f"{v}_{i}_n"] + 1) / spoke["n"]) for i in (-1, 1)}
+        if not params:
             return {}
-        yes, no = row["yes"], row["all"] - row["yes"]
-        params = {"prior": (yes + 1) / (yes + no + 2)}
-        for v in VOTES:
-            spoke = {c: row[f"{v}_-1_{c}"] + row[f"{v}_1_{c}"] + 2 for c in "yn"}
-            params[v] = {i: ((row[f"{v}_{i}_y"] + 1) / spoke["y"], (row[f"{v}_{i}_n"] + 1) / spoke["n"]) for i in (-1, 1)}
         belief = posterior(params)
     return params
 
 
-def posterior(params: dict) -> Column:
+def _by_kind(params: dict[int, dict], make) -> str:
+    return "CASE kind " + " ".join(f"WHEN {k} THEN {make(one)}" for k, one in sorted(params.items())) + " END"
+
+
+def posterior(params: dict[int, dict]) -> Column:
     """Probability of the class given the votes."""
-    log_odds = f"ln({params['prior']!r}D / {1 - params['prior']!r}D)"
-    for v in VOTES:
-        ratio = " ".join(f"WHEN {i} THEN ln({y!r}D / {n!r}D)" for i, (y, n) in params[v].items())
-        log_odds += f" + CASE {v} {ratio} ELSE 0D END"
-    return F.expr(f"1 / (1 + exp(-({log_odds})))")
+
+    def log_odds(one: dict) -> str:
+        out = f"ln({one['prior']!r}D / {1 - one['prior']!r}D)"
+        for v in VOTES:
+            ratio = " ".join(f"WHEN {i} THEN ln({y!r}D / {n!r}D)" for i, (y, n) in one[v].items())
+            out += f" + CASE {v} {ratio} ELSE 0D END"
+        return out
+
+    return F.expr(f"1 / (1 + exp(-({_by_kind(params, log_odds)})))")
 
 
 def features(found: str = "found") -> Column:
@@ -182,10 +209,11 @@ def features(found: str = "found") -> Column:
 
 
 def train_classifier(judged: DataFrame) -> DataFrame:
-    """feature, weight: naive Bayes log odds of the features, trained by the probabilities p."""
-    total = judged.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("y"), F.coalesce(F.sum(1 - F.col("p")), F.lit(0.0)).alias("n"))
-    counts = judged.select(F.explode(features()).alias("feature"), "p").groupBy("feature").agg(F.sum("p").alias("fy"), F.sum(1 - F.col("p")).alias("fn"))
-    return counts.join(F.broadcast(total)).select("feature", F.expr("ln((fy + 0.5) / (y + 1)) - ln((fn + 0.5) / (n + 1))").alias("weight"))
+    """kind, feature, weight: naive Bayes log odds of the kind's features over the kind's own, trained by the probabilities p and smoothed towards none."""
+    total = judged.groupBy("kind").agg(F.sum("p").alias("y"), F.sum(1 - F.col("p")).alias("n"))
+    counts = judged.select("kind", F.explode(features()).alias("feature"), "p").groupBy("kind", "feature").agg(F.sum("p").alias("fy"), F.sum(1 - F.col("p")).alias("fn"))
+    # total has one row for each kind
+    return counts.join(F.broadcast(total), "kind").select("kind", "feature", F.expr("ln((fy + (y + 1) / (y + n + 2)) / (fn + (n + 1) / (y + n + 2))) - ln((y + 1) / (n + 1))").alias("weight"))
 
 
 def _joined(spans: str) -> str:
@@ -209,9 +237,9 @@ def detect(docs: DataFrame, threshold: float = 0.95) -> DataFrame:
     judged = spans.withColumn("p", posterior(params))
     model = train_classifier(judged)
     asked = judged.where("NOT base").select("row", "kind", "base", "start", "end", "found", "p", F.explode(features()).alias("feature"))
-    scored = asked.join(model, "feature").groupBy("row", *fields, "p").agg(F.sum("weight").alias("odds"))
-    odds = params["prior"] / (1 - params["prior"])
-    added = scored.where((F.col("p") >= threshold) & (1 / (1 + F.exp(-F.col("odds")) / F.lit(odds)) >= threshold))
+    scored = asked.join(model, ["kind", "feature"]).groupBy("row", *fields, "p").agg(F.sum("weight").alias("odds"))
+    odds = F.expr(_by_kind(params, lambda one: f"{one['prior'] / (1 - one['prior'])!r}D"))
+    added = scored.where((F.col("p") >= threshold) & (1 / (1 + F.exp(-F.col("odds")) / odds) >= threshold))
     added = added.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("added"))
     clear = """aggregate(array_sort(added, (a, b) -> if(a.start <> b.start, a.start - b.start, a.kind - b.kind)), slice(added, 1, 0),
       (a, x) -> if(exists(a, b -> x.start < b.end), a, concat(a, array(x))))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import entitydefs
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -24,13 +26,22 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::BIGINT
 """
 
 _UUID = "'urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-8' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
-_TEXT = r"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(regexp_replace(regexp_replace(payload,
+#: Named character references of HTML 4; the ampersand comes last, so that no reference is made by another.
+_NAMED = [(f"&{name};", " " if name == "nbsp" else char) for name, char in sorted(entitydefs.items()) if name != "amp"] + [("&#39;", "'"), ("&amp;", "&")]
+
+
+def _unescaped(text: str) -> str:
+    for name, char in _NAMED:
+        text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return text
+
+
+_TAGLESS = r"""regexp_replace(regexp_replace(regexp_replace(payload,
     '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'),
     '(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>', chr(10), 'g'),
-    '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
-  '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"""
+  '<[^>]*>', ' ', 'g')"""
+_TEXT = rf"""trim(regexp_replace(regexp_replace({_unescaped(_TAGLESS)}, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"""
+_TITLE = _unescaped("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")
 OP4 = f"""
 WITH p AS (SELECT page_id, url AS target_uri, '1970-01-01T00:00:00Z' AS date, coalesce(html, '') AS payload,
   sha256('response|' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS h FROM pages),
@@ -38,7 +49,7 @@ r AS (SELECT page_id, target_uri, date, payload, {_UUID.format(h="h")} AS refers
 b AS (
   SELECT page_id, target_uri, date, refers_to, payload_digest, nl, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl || 'source-header: Content-Length: ' || strlen(payload) || nl
-    || 'title: ' || regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\\s*>', 1), '[\\r\\n\\t ]+', ' ', 'g') || nl
+    || 'title: ' || regexp_replace({_TITLE}, '[\\r\\n\\t ]+', ' ', 'g') || nl
     || 'payload-digest: ' || payload_digest || nl || 'payload-length: ' || strlen(payload) || nl
     || coalesce(array_to_string(list_transform(regexp_extract_all(payload, '(?i)<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1), lambda x: 'outlink: ' || x || nl), ''), '') AS block FROM r
   UNION ALL

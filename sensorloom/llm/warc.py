@@ -7,21 +7,98 @@ the source's payload digest, and carries a digest of its own block. Record ids a
 name-based: a UUID cut from a SHA-256 of the response id and the record type, so a
 rebuilt record has the same id.
 
-Defined cases: a null payload is an empty one; a null URL leaves WARC-Target-URI out;
-a null header block has no source headers; repeated responses give repeated records;
-pages without a body give a conversion record with an empty block. The functions are
-JVM-side expressions; a page is never looked at outside its row.
+Responses come from a table of pages or from WARC files (`read_responses`), and records
+can be written as WARC files (`write_records`). Pages are taken apart in one pass, in time
+linear in their length; character references, named and numeric, become their characters
+in text, title and links. A page is never looked at outside its row.
+
+Defined cases: a null payload is an empty one; a null URL leaves WARC-Target-URI out, and
+line ends in a URL are percent-encoded; a null header block has no source headers; repeated
+responses give repeated records; pages without a body give a conversion record with an
+empty block; an empty table gives no records. Columns of the responses named as one of
+the records' own give way to them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html as references
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DATE = "1970-01-01T00:00:00Z"
 
-#: HTML character references that are turned into text, in order; the ampersand comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+_NAME = re.compile(r"/?[a-z][a-z0-9]*")
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+#: Tags at which a line ends.
+BREAKS = frozenset({"br", "/p", "/div", "/h1", "/h2", "/h3", "/h4", "/h5", "/h6", "/li", "/tr", "/title"})
+_ANCHOR, _HREF = re.compile(r"<a\s", re.I), re.compile(r"href\s*=\s*\"", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def plain_text(page: str) -> str:
+    """Text of a page: scripts, styles and comments go, tags become spaces or line ends, blank runs become one."""
+    low, out, at = page.translate(_LOWER), [], 0
+    unclosed: set[str] = set()
+    while (i := page.find("<", at)) >= 0:
+        out.append(page[at:i])
+        if "<!--" not in unclosed and page.startswith("<!--", i):
+            if (end := page.find("-->", i + 4)) >= 0:
+                out.append(" ")
+                at = end + 3
+                continue
+            unclosed.add("<!--")
+        named = _NAME.match(low, i + 1)
+        name = named.group() if named else ""
+        if name in _CLOSE and name not in unclosed:
+            if end := _CLOSE[name].search(page, i):
+                out.append(" ")
+                at = end.end()
+                continue
+            unclosed.add(name)
+        if (end := page.find(">", i)) < 0:
+            at = i
+            break
+        out.append("\n" if name in BREAKS else " ")
+        at = end + 1
+    text = references.unescape("".join([*out, page[at:]])).replace("\xa0", " ")
+    text = re.sub(r"[ \t\r]+", " ", text)
+    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
+
+
+def page_title(page: str) -> str:
+    begin = _TITLE.search(page)
+    end = begin and _TITLE_END.search(page, begin.end())
+    return re.sub(r"[\r\n\t ]+", " ", references.unescape(page[begin.end() : end.start()])) if end else ""
+
+
+def page_links(page: str) -> list[str]:
+    """The double-quoted href of each anchor, in order."""
+    out, at = [], 0
+    while found := _ANCHOR.search(page, at):
+        end = page.find(">", found.end())
+        href = _HREF.search(page, found.end() - 1, len(page) if end < 0 else end + 1)
+        close = page.find('"', href.end()) if href else -1
+        if close >= 0:
+            out.append(re.sub(r"[\r\n]+", " ", references.unescape(page[href.end() : close])))
+            at = close + 1
+        elif end < 0 or href:
+            break
+        else:
+            at = end + 1
+    return out
+
+
+PARTS = T.StructType().add("text", "string").add("title", "string").add("links", T.ArrayType(T.StringType()))
+
+
+@F.pandas_udf(PARTS)
+def page_parts(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"text": pages.map(plain_text), "title": pages.map(page_title), "links": pages.map(page_links)})
 
 
 def uuid_urn(name: Column) -> Column:
@@ -34,18 +111,6 @@ def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and comments go, tags become spaces, blank runs become one."""
-    t = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for name, char in ENTITIES:
-        t = F.regexp_replace(t, name, char)
-    t = F.regexp_replace(t, r"[ \t\r]+", " ")
-    t = F.regexp_replace(t, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
-
-
 def responses_from_pages(pages: DataFrame) -> DataFrame:
     """Response records of (page_id, url, html) rows: record_id, target_uri, date, http_headers, payload, payload_digest."""
     html = F.coalesce("html", F.lit(""))
@@ -67,26 +132,26 @@ def derive(responses: DataFrame) -> DataFrame:
     record_type, record_id, refers_to, target_uri, date, payload_digest (the source's),
     block_digest, content_length, headers (the WARC header block) and block.
     """
+    own = {"record_type", "content_type", "block", "refers_to", "block_digest", "content_length", "headers"}
+    keep = [c for c in responses.columns if c not in own | {"payload", "http_headers"}]
     payload = F.coalesce("payload", F.lit(""))
-    title = F.regexp_replace(F.regexp_extract(payload, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), r"[\r\n\t ]+", " ")
-    links = F.regexp_extract_all(payload, F.lit(r"(?i)<a\s[^>]*?href\s*=\s*\"([^\"]*)\""), F.lit(1))
+    parted = responses.select(*keep, "http_headers", F.octet_length(payload).alias("__length"), page_parts(payload).alias("__page"))
     source = F.filter(F.split(F.coalesce("http_headers", F.lit("")), "\r\n"), lambda x: x != "")
     fields = F.concat(
         F.transform(source, lambda x: F.concat(F.lit("source-header: "), x)),
-        F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("payload-digest: "), F.col("payload_digest")), F.concat(F.lit("payload-length: "), F.octet_length(payload).cast("string"))),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)),
+        F.array(F.concat(F.lit("title: "), "__page.title"), F.concat(F.lit("payload-digest: "), F.col("payload_digest")), F.concat(F.lit("payload-length: "), F.col("__length").cast("string"))),
+        F.transform("__page.links", lambda x: F.concat(F.lit("outlink: "), x)),
     )
     meta = F.concat(F.array_join(fields, "\r\n"), F.lit("\r\n"))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), html_text(payload).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("content_type"), F.col("__page.text").alias("block")),
     )
-    keep = [c for c in responses.columns if c not in ("payload", "http_headers", "record_type", "content_type", "block", "k")]
-    out = responses.select(*keep, F.explode(kinds).alias("k")).select(*[F.col(c) for c in keep if c != "record_id"], F.col("record_id").alias("refers_to"), "k.*")
+    out = parted.select(*keep, F.explode(kinds).alias("__k")).select(*[F.col(c) for c in keep if c != "record_id"], F.col("record_id").alias("refers_to"), "__k.*")
     out = out.withColumn("record_id", uuid_urn(F.concat_ws("|", "record_type", "refers_to")))
     out = out.withColumn("block_digest", digest(F.col("block"))).withColumn("content_length", F.octet_length("block").cast("long"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
-    uri = F.coalesce(line("WARC-Target-URI", F.col("target_uri")), F.lit(""))
+    uri = F.coalesce(line("WARC-Target-URI", F.replace(F.replace("target_uri", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.lit(""))
     headers = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
         line("WARC-Refers-To", F.concat(F.lit("<"), "refers_to", F.lit(">"))), uri, line("WARC-Date", F.col("date")), line("WARC-Payload-Digest", F.col("payload_digest")),
@@ -97,4 +162,36 @@ def derive(responses: DataFrame) -> DataFrame:
 
 def write_records(records: DataFrame, path: str) -> None:
     """Records as WARC text files: header block, blank line, block, two line ends."""
-    records.select(F.concat("headers", F.lit("\r\n"), "block", F.lit("\r\n\r\n")).alias("value")).write.option("lineSep", "").text(path)
+    records.select(F.concat("headers", F.lit("\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+
+
+def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """headers and block of each record of WARC text files, which are read in splits at the records' version lines.
+
+    A block is as long as its Content-Length says; complete is false where the file, or a
+    version line inside the block, cut it short.
+    """
+    raw = spark.read.option("lineSep", f"{version}\r\n").text(path).where("value <> ''")
+    at = F.locate("\r\n\r\n", F.col("value"))
+    rows = raw.select(F.concat(F.lit(f"{version}\r\n"), F.expr("left(value, locate('\\r\\n\\r\\n', value) + 1)")).alias("headers"), F.encode(F.expr("substring(value, locate('\\r\\n\\r\\n', value) + 4)"), "UTF-8").alias("rest"), at.alias("at")).where("at > 0")
+    size = F.coalesce(F.try_to_number(header("Content-Length"), F.lit("999999999999999")).cast("long"), F.lit(0))
+    rows = rows.withColumn("size", size)
+    return rows.select("headers", F.decode(F.expr("substring(rest, 1, cast(size as int))"), "UTF-8").alias("block"), (F.octet_length("rest") >= F.col("size")).alias("complete"))
+
+
+def header(name: str) -> Column:
+    """The value of a header line in headers, empty where there is none."""
+    return F.trim(F.regexp_extract("headers", rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1))
+
+
+def read_responses(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
+    """Response records of WARC text files, as `derive` takes them: record_id, target_uri, date, http_headers, payload, payload_digest.
+
+    A response without a payload digest gets the payload's SHA-256; records cut short are left out.
+    """
+    found = read_records(spark, path, version).where((F.lower(header("WARC-Type")) == "response") & F.col("complete"))
+    cut = F.locate("\r\n\r\n", F.col("block"))
+    strip = lambda c: F.regexp_replace(c, "^<|>$", "")
+    named = found.select(strip(header("WARC-Record-ID")).alias("record_id"), F.nullif(strip(header("WARC-Target-URI")), F.lit("")).alias("target_uri"), header("WARC-Date").alias("date"), header("WARC-Payload-Digest").alias("named"), "block", cut.alias("cut"))
+    parts = named.select("record_id", "target_uri", "date", "named", F.expr("if(cut > 0, left(block, cut + 1), block)").alias("http_headers"), F.expr("if(cut > 0, substring(block, cut + 4), '')").alias("payload"))
+    return parts.select("record_id", "target_uri", "date", "http_headers", "payload", F.coalesce(F.nullif("named", F.lit("")), digest(F.col("payload"))).alias("payload_digest"))

@@ -6,16 +6,27 @@ with that mean at a uniform number hashed from the seed and the document, is exp
 by the count, and all copies are dealt out and ordered by a hash of seed, document and
 copy. The draw is a function of the document alone, so a lost task repeats it exactly.
 
+Rates and distributions have one row for each source. They are broadcast when there are
+no more than `broadcast_sources`, so that documents are shuffled once, when their copies
+are dealt out; beyond that, documents meet them by source and a salt, which splits a
+source that holds a third of all rows.
+
 Defined cases: sources without a weight share what named weights leave (all equal when
-none is named); a null source is a source of its own; repeated rows draw the same
-count; a null doc_id draws as the empty string; an empty table gives no rows.
+none is named); weights that are all zero, with no other source, give no rows; a negative
+or non-finite weight raises ValueError; a null source is a source of its own; repeated rows
+draw the same count; a null doc_id draws as the empty string; an empty table gives no
+rows. Where docs has a column copy, copies or rate, it stays and the mix adds none of that name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.blocks import saved
+
 #: 13 hex digits of an MD5 make a uniform number exactly representable as a double.
 HEX, SPAN = 13, float(1 << 52)
 
@@ -31,6 +42,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     total is the expected number of documents in the mix, that of the input by default.
     """
     weights = weights or {}
+    if any(w < 0 or not math.isfinite(w) for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
     sizes = docs.groupBy("source").agg(F.count("*").alias("n_docs"))
     named = F.lit(None).cast("double")
     if weights:
@@ -41,7 +54,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     weight = F.coalesce("named", rest)
     scale = F.when(F.col("unnamed") > 0, F.greatest("named_sum", F.lit(1.0))).otherwise(F.col("named_sum"))
     wanted = F.lit(float(total)) if total is not None else F.col("all_docs")
-    return sized.join(F.broadcast(whole)).select("source", "n_docs", (weight / scale * wanted / F.col("n_docs")).alias("rate"))
+    # whole is one row
+    return sized.join(F.broadcast(whole)).select("source", "n_docs", F.when(scale > 0, weight / scale * wanted / F.col("n_docs")).otherwise(0.0).alias("rate"))
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
@@ -55,13 +69,19 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
     return ordered.select("source", "rate", F.expr(running).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = 1, broadcast_sources: int = 10_000, salts: int = 64) -> DataFrame:
     """docs' columns with copy (from 1), copies and rate, shuffled over all partitions."""
     clash = {"copy", "copies", "rate", "cdf"} & set(docs.columns)
     steps = poisson_steps(source_rates(docs, weights, total))
-    steps = steps.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
+    steps = saved(steps.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf")))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    drawn = docs.join(steps, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    if steps.count() <= broadcast_sources:
+        drawn = docs.join(F.broadcast(steps), same).drop("__source")
+    else:
+        steps = steps.withColumn("__steps_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = docs.withColumn("__salt", F.pmod(F.xxhash64(doc), F.lit(salts)).cast("int"))
+        drawn = salted.join(steps, same & (F.col("__salt") == F.col("__steps_salt"))).drop("__source", "__salt", "__steps_salt")
     unit = hashed_unit(F.lit(f"count {seed}"), doc)
     drawn = drawn.withColumn("__u", unit).withColumn("__copies", F.expr("size(filter(__cdf, c -> c <= __u))").cast("long"))
     copies = drawn.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))

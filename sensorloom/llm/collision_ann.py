@@ -12,7 +12,7 @@ number of verified vectors ends it. A nearer vector is missed with the small pro
 that too few of its projections fall into windows that wide.
 
 Queries are met with shards in blocks, so a task holds one shard and one block of
-queries, both of bounded size; each sends its k best and a window keeps the k best of
+queries, both of bounded size, and an index is built for thousands of searches; each sends its k best and a window keeps the k best of
 all shards. Equal vectors get equal collisions, so copies are verified together and
 ties go to the smaller id.
 
@@ -120,7 +120,7 @@ def _search(k: int, options: dict):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = 65_536, query_rows: int = 512, **options) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int = 16_384, query_rows: int = 8_192, **options) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found for each query row, by inner product."""
     fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     fine = fine.withColumn("dim", F.size("embedding"))

@@ -142,14 +142,18 @@ def fold(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def fit(docs: DataFrame, per_language: int = 1200, usable: Column | None = None) -> Model:
-    """Train on per_language labelled rows of each language at most; usable says which rows may be learned from."""
+def fit(docs: DataFrame, per_language: int = 1200, usable: Column | None = None, sample_rows: int = 60_000) -> Model:
+    """Train on a sample of labelled rows: per_language of each language, sample_rows in all, as expected numbers.
+
+    usable says which rows may be learned from.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         labelled = labelled.where(usable)
     sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return train([])
+    per_language = min(per_language, sample_rows / len(sizes))
     unit = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))]), F.col("lang"))
     rows = labelled.where(unit < share).select("doc_id", "text", "lang").collect()
@@ -157,8 +161,11 @@ def fit(docs: DataFrame, per_language: int = 1200, usable: Column | None = None)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of docs (all, if not named) with lang_pred, lang_score, lang_accepted."""
-    names = docs.columns if keep is None else keep
+    """The kept columns of docs (all, if not named) with lang_pred, lang_score, lang_accepted.
+
+    Columns of docs that have one of these three names give way to the operator's.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "lang_score", "lang_accepted")]
     need = list(dict.fromkeys([*names, "text"]))
     out = T.StructType([*docs.select(*names).schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_accepted", T.BooleanType())])
 

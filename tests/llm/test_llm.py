@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -136,7 +137,7 @@ def test_partenum_signatures_meet():
                 if not jaccard_join.similar(a, c, 85, 100):
                     break
                 b = c
-            assert len(np.intersect1d(plan.signatures(a), plan.signatures(b)))
+            assert len(np.intersect1d(plan.signatures([a])[0], plan.signatures([b])[0]))
             p, q = jaccard_join.sketch(a), jaccard_join.sketch(b)
             p, q = (jaccard_join.fold(x, min(len(p), len(q))) for x in (p, q))
             assert np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
@@ -180,6 +181,17 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs).where("source is null").count() >= 0
 
 
+def test_mixing_by_weights(spark):
+    """Zero weights, negative ones, sources beyond the broadcast limit, clashing names."""
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    named = many.where("source is not null")
+    assert mixing.mix(named, {f"s{i}": 0.0 for i in range(7)}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(many, {"s1": -1.0})
+    assert rows_of(mixing.mix(many, broadcast_sources=2)) == rows_of(mixing.mix(many))
+    assert mixing.mix(many.withColumn("rate", F.lit(5))).where("rate <> 5").count() == 0
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(1, "http://a/", '<title>T &amp; x</title><script>var t="<p>"</script><p>Hi&nbsp;<b>you</b></p><a href="/l">z</a>'), (2, None, None)], "page_id long, url string, html string")
     out = {(r.page_id, r.record_type): r for r in warc.derive(warc.responses_from_pages(pages)).collect()}
@@ -189,6 +201,37 @@ def test_warc(spark):
     assert "WARC-Target-URI" not in out[2, "conversion"].headers and f"WARC-Refers-To: <{text.refers_to}>" in text.headers
 
 
+def test_warc_text():
+    assert warc.plain_text("caf&eacute; &#8217;x&#x41; &lt;b&gt; &amp;lt; a<!-- <p> -->b<STYLE>p{}</style >c<p>d</p>e < f") == "caf\u00e9 \u2019xA <b> &lt; a b c d\ne < f"
+    assert warc.plain_text("a<script>no end <b>c</b>") == "a no end c" and warc.plain_text("x<!-- no end") == "x<!-- no end" and warc.plain_text("") == ""
+    assert warc.page_title("<Title a=1>T &amp;\n x</TITLE >") == "T & x" and warc.page_title("<title>no end") == ""
+    assert warc.page_links('<a href="/1?a&amp;b">x</a><a name=x><A class="c" HREF = "/2">y<a href="no end') == ["/1?a&b", "/2"]
+
+
+@pytest.mark.parametrize("page", ["<" * 1_000_000, "<script>" * 100_000, "<!--" * 200_000, "<a " * 300_000, "<title>" * 100_000, "<a href=\"" * 100_000, "&" * 500_000])
+def test_warc_is_linear(page):
+    began = time.perf_counter()
+    warc.plain_text(page), warc.page_title(page), warc.page_links(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one\r\n\r\ntwo &eacute;</p>"), (1, "http://a/", "<p>one</p>"), (2, "http://b/\nx", ""), (3, None, None)], "page_id long, url string, html string").withColumn("block", F.lit("clash"))
+    derived = warc.derive(warc.responses_from_pages(pages)).cache()
+    assert derived.where("instr(headers, 'WARC-Target-URI: http://b/%0Ax') > 0").count() == 2
+    warc.write_records(derived, str(tmp_path / "out"))
+    back = warc.read_records(spark, str(tmp_path / "out")).collect()
+    assert sorted((r.headers, r.block) for r in back) == sorted((r.headers, r.block) for r in derived.collect()) and all(r.complete for r in back)
+    text = "".join(f"WARC/1.1\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:uuid:{i}>\r\nWARC-Target-URI: http://c/{i}\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: {size or len(block.encode())}\r\n\r\n{block}\r\n\r\n"
+                   for i, (kind, block, size) in enumerate([("warcinfo", "software: x\r\n", 0), ("response", "HTTP/1.1 200 OK\r\nX: y\r\n\r\n<title>\u00e9</title>", 0), ("response", "HTTP/1.1 204 No\r\n\r\n", 0), ("response", "HTTP/1.1 200 OK\r\n\r\ncut", 99)]))
+    (tmp_path / "in.warc").write_bytes(text.encode())
+    got = {r.record_id: r for r in warc.read_responses(spark, str(tmp_path / "in.warc")).collect()}
+    assert set(got) == {"urn:uuid:1", "urn:uuid:2"} and got["urn:uuid:1"].payload == "<title>\u00e9</title>" and got["urn:uuid:2"].payload == ""
+    meta = warc.derive(warc.read_responses(spark, str(tmp_path / "in.warc"))).where("record_type = 'metadata'").collect()
+    assert {r.refers_to for r in meta} == set(got) and any("source-header: X: y" in r.block and "title: \u00e9" in r.block for r in meta)
+    assert warc.derive(warc.responses_from_pages(pages.limit(0))).count() == 0
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -215,6 +258,13 @@ def test_pii(spark, docs, empty):
     assert pii.report(docs).count() == docs.count() and pii.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", ["1" * 300_000 + ".", "1." * 150_000, "+1" + "(" * 300_000, "a" * 300_000 + "@", "1 " * 150_000])
+def test_pii_is_linear(spark, text):
+    began = time.perf_counter()
+    assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 1
+    assert time.perf_counter() - began < 30
+
+
 def test_pii_loose_spans(spark):
     """Written-out mail addresses and national phone numbers come out beside the base spans."""
     texts = [f"write to user{i}@site{i}.org or call +1 555 {200 + i} {4000 + i}" for i in range(40)]
@@ -225,6 +275,10 @@ def test_pii_loose_spans(spark):
         t = loose[r.doc_id - 80]
         mail, phone = t.index("bob"), t.index("(555)")
         assert r.spans == f"email:{mail}:{t.index(',')},phone:{phone}:{len(t)}"
+    near = [f"visa card 4556 7375 8689 98{10 + i}, ok" for i in range(60)] + [f"isbn 978030640{100 + i}" for i in range(60)] + [None]
+    got = pii.report(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).collect()
+    assert all(r.n_card == luhn(re.sub("[^0-9]", "", near[r.doc_id])) and r.spans == "card:10:29" for r in got if r.doc_id < 60) and all(r.spans == "" for r in got if r.doc_id >= 120)
+    assert sum(r.spans != "" for r in got if 60 <= r.doc_id < 120) == sum(r.n_card for r in got if 60 <= r.doc_id < 120)
     spans = [(0, "b [at] x (dot) com"), (0, "b [at] x [dot] zz"), (3, "(555) 123-4567"), (3, "+1 555 123 4567"), (3, "+999 123 4567")]
     seen = spark.createDataFrame([(k, False, f, "", "") for k, f in spans], "kind int, base boolean, found string, before string, after string")
     assert [r.gazetteer for r in pii.votes(seen).collect()] == [1, -1, 0, 1, -1]
@@ -246,6 +300,16 @@ def test_suffix_dedup(docs, corpus, empty):
     assert rows_of(suffix_dedup.report(docs)) == sorted(want, key=str) and suffix_dedup.report(empty).count() == 0
 
 
+def test_suffix_dedup_of_short_documents(spark):
+    """Blocks without a document of the length, nulls, and both beside longer ones; a column named kept gives way."""
+    schema = "doc_id long, text string, kept string"
+    for texts in (["short"], [None, None], ["a" * 10, None, "b" * 199], ["a" * 10, "xy" * 150, None, "xy" * 150]):
+        got = suffix_dedup.report(spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], schema).repartition(3)).collect()
+        twice = {i for i, t in enumerate(texts) if t and len(t) == 300}
+        assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == {i: (len(t or ""), 300 if i in twice else 0) for i, t in enumerate(texts)}
+        assert suffix_dedup.remove_repeats(spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], schema)).where("kept = cast('k' as binary)").count() == 0
+
+
 def test_column_wise_bwt():
     rng = random.Random(3)
     for _ in range(20):
@@ -369,6 +433,8 @@ def test_language(spark, docs, empty):
     got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
     assert all(got[i].lang_pred == v for i, _, v in made) and all(got[i].lang_pred == "und" and not got[i].lang_accepted for i in (900, 901, 902))
     assert all(0 <= r.lang_score <= 1 for r in got.values())
+    twice = language_id.identify(df.withColumn("lang_pred", F.lit(1)).withColumn("LANG_SCORE", F.lit("x")), model)
+    assert twice.columns == [*df.columns, "lang_pred", "lang_score", "lang_accepted"] and twice.where("lang_pred = 'q'").count() == 150
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0 and language_id.identify(docs, language_id.fit(docs)).count() == docs.count()
 
 

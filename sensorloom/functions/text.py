@@ -46,6 +46,9 @@ def hint() -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in MOTION_HINTS.items() for x in kv])[F.col("activity_name")], F.lit("human motion"))
 
 
+# The wording of prompts and records below is the format that models were trained on.
+
+
 def prompt(values: list[str], template: str = "fim_template_textual_encoding", dataset: str = "sensor", shape: str = "18-channel 256-step") -> Column:
     """The generation prompt of a row; dataset and shape name the task in the structured forms."""
     whole = lambda c: F.col(c).cast("long").cast("string")
@@ -147,6 +150,11 @@ def parse(df: DataFrame, text: str, values: list[str]) -> DataFrame:
     return out.drop("__tail", "__named", "__any", "__v")
 
 
+def parse_values(df: DataFrame, text: str, values: list[str]) -> DataFrame:
+    """The row's columns and its parsed values, without what parse says about them."""
+    return parse(df, text, values).select(*df.columns, *values)
+
+
 def token_budget(values: int, configured: int, limit: int, prompt_tokens: int) -> tuple[int, int]:
     """(most, fewest) new tokens for so many values inside the context limit."""
     return max(1, min(max(configured, 8 * values), limit - prompt_tokens - 1)), 6 * values

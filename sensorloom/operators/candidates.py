@@ -138,6 +138,21 @@ def filter_summary(selected: DataFrame, scored: DataFrame) -> DataFrame:
     return out.join(F.broadcast(total)).withColumn("fraction", F.col("kept") / F.nullif(F.col("total"), F.lit(0)))
 
 
+def kept_by_activity(selected: DataFrame, scored: DataFrame) -> DataFrame:
+    """activity_name (lower-cased), kept and total of a selection."""
+    both = selected.select(F.lower("activity_name").alias("activity_name"), F.lit(1).alias("k"), F.lit(0).alias("t")).unionByName(scored.select(F.lower("activity_name").alias("activity_name"), F.lit(0).alias("k"), F.lit(1).alias("t")))
+    return both.groupBy("activity_name").agg(F.sum("k").alias("kept"), F.sum("t").alias("total"))
+
+
+def parse_triples(specs: list[str]) -> list[tuple[str, str, str]]:
+    """`a:b:c` items."""
+    out = [tuple(spec.split(":")) for spec in specs]
+    for spec, parts in zip(specs, out, strict=True):
+        if len(parts) != 3 or not all(parts):
+            raise ValueError(f"bad item: {spec}")
+    return out
+
+
 def top_k(df: DataFrame, k: int, order: list[str]) -> DataFrame:
     r = F.row_number().over(Window.partitionBy("activity_name").orderBy(*order))
     return df.withColumn("rank", r).where(F.col("rank") <= k)

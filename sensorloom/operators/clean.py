@@ -118,3 +118,10 @@ def channel_scaler(df: DataFrame, channels: list[str], mode: str = "global_stand
 def clean(df: DataFrame, channels: list[str], order: list[str], ratio: float = 0.8) -> DataFrame:
     """Valid rows, filled, without rows that stay null."""
     return interpolate(valid_rows(df, channels, ratio), channels, order).dropna(subset=channels)
+
+
+def label_order(df: DataFrame) -> DataFrame:
+    """The distinct (activity_id, activity_name) with their place by id, from 0."""
+    # the labels are few whatever the rows
+    labels = df.agg(F.sort_array(F.collect_set(F.struct("activity_id", "activity_name"))).alias("l"))
+    return labels.select(F.posexplode("l").alias("place", "l")).select("l.activity_id", "l.activity_name", "place")

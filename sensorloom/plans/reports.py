@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.operators import metrics as metrics_of
+from sensorloom.operators import split
 from sensorloom.schemas import OVERALL
 
 
@@ -86,3 +88,22 @@ def snapshot(similarity: DataFrame, utility: DataFrame) -> DataFrame:
     s = similarity.where(F.col("activity_name") == OVERALL).agg(F.first(F.struct(*[c for c in similarity.columns])).alias("similarity"))
     u = utility.agg(F.map_from_entries(F.collect_list(F.struct("setting", F.struct("accuracy", "macro_f1", "weighted_f1")))).alias("utility"))
     return s.join(u)
+
+
+def real_reference(windows: DataFrame, max_lag: int = 32, cap: int | None = 128, seed: int | None = 42) -> DataFrame:
+    """ED_ref and DTW_ref: real windows against real ones, dealt to two sides in turn, as the scale of the distances."""
+    sides = split.alternating_split(windows, ["window_id"])
+    left, right = (sides.where(F.col("side") == s).drop("side") for s in ("left", "right"))
+    overall = metrics_of.similarity(left, right, split.pair_windows(left, right, cap, seed), max_lag).where(F.col("activity_name") == OVERALL)
+    return overall.select(F.col("ED").alias("ED_ref"), F.col("DTW").alias("DTW_ref"))
+
+
+def run_name(name: str | Column, *parts: str | Column) -> Column:
+    """The name, or where it is null its parts joined by an underscore."""
+    c = lambda v: F.col(v) if isinstance(v, str) else v
+    return F.coalesce(c(name), F.concat_ws("_", *[c(p) for p in parts]))
+
+
+def or_missing(df: DataFrame, keys: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """A row for each key with its metrics; NaN where there are none."""
+    return keys.select(key).distinct().join(df, key, "left").withColumns({m: F.coalesce(F.col(m), F.lit(float("nan"))) for m in metrics})

@@ -201,6 +201,11 @@ def ordered_activities(spark: SparkSession, d: str) -> DataFrame:
     return clean.ordered_categories(_sensor(spark, d), "activity_name", ["view", "click"])
 
 
+@query(f"WITH {SENSOR}, l AS (SELECT DISTINCT activity_id, activity_name FROM sensor) SELECT *, (row_number() OVER (ORDER BY activity_id) - 1)::INT AS place FROM l")
+def label_order(spark: SparkSession, d: str) -> DataFrame:
+    return clean.label_order(_sensor(spark, d))
+
+
 # --- splits ---------------------------------------------------------------------------------------
 
 SPLIT = WINS + """,
@@ -318,6 +323,12 @@ def filter_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cd.filter_summary(cd.top_fraction(s, 0.5), s))
 
 
+@query(f"WITH {STATS}, {TOP} SELECT lower(activity_name) AS activity_name, count(*) FILTER (r <= greatest(1, ceil(n * 0.5::DOUBLE))) AS kept, count(*) AS total FROM top GROUP BY ALL")
+def filter_summary_by_activity(spark: SparkSession, d: str) -> DataFrame:
+    s = _scores(spark, d)
+    return cd.kept_by_activity(cd.top_fraction(s, 0.5), s)
+
+
 PAIRS = CELLS + """,
 side AS (SELECT DISTINCT window_id, activity_name, generated FROM cells),
 rk AS (SELECT *, row_number() OVER (PARTITION BY activity_name, generated ORDER BY window_id) AS rn FROM side),
@@ -412,6 +423,14 @@ def overall_mean_row(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.with_overall(per, ["ED"], ["num_real"]))
 
 
+@query(f"""WITH {CELLS}, side AS (SELECT DISTINCT window_id, activity_name FROM cells), lr AS (SELECT *, row_number() OVER (PARTITION BY activity_name ORDER BY window_id) - 1 AS i FROM side),
+p AS (SELECT a.activity_name, a.window_id AS r_id, b.window_id AS s_id FROM lr a JOIN lr b ON a.activity_name = b.activity_name AND b.i = a.i + 1 AND a.i % 2 = 0),
+q AS (SELECT p.activity_name, r_id, x.c, sqrt(sum((x.v - y.v) * (x.v - y.v))) AS d FROM p JOIN cells x ON x.window_id = p.r_id JOIN cells y ON y.window_id = p.s_id AND y.c = x.c AND y.t = x.t GROUP BY ALL),
+e AS (SELECT activity_name, r_id, avg(d) AS d FROM q GROUP BY ALL), m AS (SELECT activity_name, avg(d) AS d FROM e GROUP BY ALL) SELECT round(avg(d), 6) AS "ED_ref" FROM m""")
+def real_reference(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(reports.real_reference(src.vectors_as_windows(spark, d), cap=None, seed=None).select("ED_ref"))
+
+
 @query()
 def dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(metrics.warp(_sampled_pairs(spark, d)))

@@ -105,6 +105,11 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
     return model
 
 
+def load_preprocessed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows, window features and summary, as write_preprocessed left them."""
+    return spark.read.parquet(f"{path}/windows"), spark.read.parquet(f"{path}/window_features"), read_json(spark, f"{path}/summary")
+
+
 def channel_names(spark: SparkSession, path: str) -> list[str]:
     return read_json(spark, path).select("channel_schema.selected_channels").first()[0]
 

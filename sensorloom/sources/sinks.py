@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.plans.reports import best_by
 
-def write_preprocessed(windows: DataFrame, features: DataFrame, scaler: DataFrame, records: DataFrame, summary: DataFrame, path: str) -> None:
-    """The preprocessing tables; raw windows are always among them."""
+
+def write_preprocessed(windows: DataFrame, features: DataFrame, scaler: DataFrame, records: DataFrame, summary: DataFrame, path: str, compact: DataFrame | None = None) -> None:
+    """The preprocessing tables; raw windows are always among them. The label map has the activities but for 0."""
+    labels = windows.select("activity_id", "activity_name").where("activity_id <> 0").distinct()
+    labels.coalesce(1).write.mode("overwrite").json(f"{path}/label_map")
+    if compact is not None:
+        compact.write.mode("overwrite").parquet(f"{path}/compact_embeddings")
     windows.write.mode("overwrite").partitionBy("subject_id").parquet(f"{path}/windows")
     features.write.mode("overwrite").parquet(f"{path}/window_features")
     scaler.write.mode("overwrite").parquet(f"{path}/channel_scaler")
@@ -15,8 +21,11 @@ def write_preprocessed(windows: DataFrame, features: DataFrame, scaler: DataFram
     summary.write.mode("overwrite").json(f"{path}/summary")
 
 
-def write_dataset(embeddings: DataFrame, texts: DataFrame, windows: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Embeddings, text records and windows by split, and the manifest."""
+def write_dataset(embeddings: DataFrame, texts: DataFrame, windows: DataFrame, manifest: DataFrame, path: str, reducer: DataFrame | None = None, profile: DataFrame | None = None) -> None:
+    """Embeddings, text records and windows by split; the manifest, and those of the reducer and of the splits when given."""
+    for name, df in (("reducer_manifest", reducer), ("split_manifest", profile)):
+        if df is not None:
+            df.write.mode("overwrite").json(f"{path}/{name}")
     for name, df in (("embeddings", embeddings), ("windows", windows)):
         df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/{name}")
     texts.write.mode("overwrite").partitionBy("split").json(f"{path}/text")
@@ -57,5 +66,22 @@ def markdown_table(df: DataFrame, digits: int = 3) -> str:
     return head + "".join("| " + " | ".join(cell(v) for v in row) + " |\n" for row in df.toLocalIterator())
 
 
+def markdown_report(df: DataFrame, label: str, best: dict[str, str], digits: int = 3) -> str:
+    """Bullets of the best row by each metric (`max` or `min`), then the table."""
+    rows = {r["metric"]: r for r in best_by(df, label, best).collect()}
+    bullets = "".join(f"- Best {m}: {rows[m]['best']} ({rows[m]['value']:.{digits}f})\n" for m in best if m in rows)
+    return f"{bullets}\n{markdown_table(df, digits)}"
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A small table as CSV with a header."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A one-row table as a single JSON document, which read_json reads back."""
+    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
 def as_json(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*(cols or df.columns))).alias("json"))

@@ -210,3 +210,68 @@ def test_shapelets_find_planted_shapes():
     real, near, noise = made(30), made(20), rng.normal(0, 2, (20, 16, 1))
     assert metrics.shapelet_error(real, near, count=4, rounds=100) < 0.1 * metrics.shapelet_error(real, noise, count=4, rounds=100)
     assert np.isnan(metrics.shapelet_error(real, near[:0])) and metrics.shapelet_error(real, near, count=2, rounds=5, mode="per_channel") >= 0
+
+
+def test_command_line(spark, tmp_path):
+    """Recordings to windows, windows to a split dataset, scores to selections, through the sinks and scans."""
+    from sensorloom import __main__ as cli
+
+    rng = np.random.default_rng(0)
+    channels = ["hand_acc_16g_x", "hand_acc_16g_y"]
+    for subject in (101, 102, 103):
+        lines = []
+        for i in range(60):
+            lines.append("  ".join([f"{i / 100:.2f}", "4" if i < 40 else "0", "NaN", *(f"{v:.4f}" for v in rng.normal(size=51))]))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"subject{subject}.dat").write_text("\n".join(lines) + "\n")
+    out = str(tmp_path / "pre")
+    cli.main(["preprocess", "--input-dir", str(tmp_path / "in"), "--output-dir", out, "--channels", *channels, "--activities", "walking", "--window-size", "8", "--stride", "4", "--compact-components", "2"])
+    windows, features, summary = sensor.load_preprocessed(spark, out)
+    assert windows.count() == 3 * 9 == summary.first().num_windows == features.count() and spark.read.parquet(f"{out}/compact_embeddings").count() == 27
+    assert [tuple(r) for r in spark.read.json(f"{out}/label_map").collect()] == [(4, "walking")]
+    (tmp_path / "run.yaml").write_text(f"data:\n  preprocessed_dir: {out}\n  output_dir: {tmp_path}/set\nembedding:\n  method: pca\n  n_components: 2\n  permute_columns: false\n")
+    cli.main(["dataset", "--config", str(tmp_path / "run.yaml"), "--channels", *channels])
+    texts = sensor.read_json_lines(spark, f"{tmp_path}/set/text")
+    assert {r.split for r in texts.select("split").distinct().collect()} == {"train", "val", "test"} and texts.where("text like 'Condition: %Target: %'").count() == 27
+    assert sensor.load_model(spark, f"{tmp_path}/set/reducer").count() == 2 and spark.read.json(f"{tmp_path}/set/split_manifest").count() == 3
+    spark.range(10).selectExpr("id as candidate_id", "'A' as activity_name", "id / 10D as stats_score", "0D as max_channel_stats_score").write.parquet(str(tmp_path / "scores"))
+    cli.main(["filter", "--scores", str(tmp_path / "scores"), "--output-dir", str(tmp_path / "kept"), "--filters", "half:0.5"])
+    assert [r.candidate_id for r in spark.read.parquet(str(tmp_path / "kept")).orderBy("candidate_id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_sinks_and_reports(spark, tmp_path):
+    from sensorloom.plans import reports
+    from sensorloom.sources import sinks
+
+    df = spark.createDataFrame([("a", 1.5, None), ("b", 0.5, float("nan"))], "run_name string, ED double, DTW double")
+    text = sinks.markdown_report(df, "run_name", {"ED": "min"}, 2)
+    assert text.startswith("- Best ED: b (0.50)\n") and "| a | 1.50 |  |" in text and "| b | 0.50 |  |" in text
+    for n in (1, 2):
+        sinks.write_metrics(df.limit(n), str(tmp_path / "m"), str(tmp_path / "backup"))
+    sinks.write_metrics(df, str(tmp_path / "m"), str(tmp_path / "backup"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2 and spark.read.parquet(str(tmp_path / "backup")).count() == 1
+    sinks.save_table(df, str(tmp_path / "csv"))
+    assert sensor.read_csv(spark, str(tmp_path / "csv"), df.schema).where("run_name = 'a'").first().ED == 1.5
+    sinks.write_json(df.limit(1), str(tmp_path / "json"))
+    assert sensor.read_json(spark, str(tmp_path / "json")).first().run_name == "a"
+    missing = reports.or_missing(df, spark.createDataFrame([("a",), ("c",)], "run_name string"), "run_name", ["ED"]).orderBy("run_name").collect()
+    assert missing[0].ED == 1.5 and np.isnan(missing[1].ED)
+    named = spark.createDataFrame([(None, "x", "y"), ("n", "x", "y")], "n string, a string, b string").select(reports.run_name("n", "a", "b")).collect()
+    assert [r[0] for r in named] == ["x_y", "n"]
+    assert cd.parse_triples(["a:b:c"]) == [("a", "b", "c")]
+    with pytest.raises(ValueError):
+        cd.parse_triples(["a:b"])
+    w = spark.createDataFrame([(0, "a", [[1.0, 2.0]]), (1, "a", [[3.0, 6.0]])], "window_id long, activity_name string, w array<array<double>>")
+    assert metrics.prototypes(w).first().w == [[2.0, 4.0]]
+    got = reports.real_reference(w).first()
+    assert got.ED_ref == pytest.approx(np.sqrt(4 + 16)) and got.DTW_ref > 0
+
+
+def test_training_log(spark, tmp_path):
+    (tmp_path / "state.json").write_text('{"log_history": [{"step": 1, "loss": 0.5}, {"step": 2, "eval_loss": 0.7}]}')
+    log = sensor.read_training_log(spark, str(tmp_path / "none.csv"), str(tmp_path / "state.json"))
+    train, held = sensor.split_log(log)
+    assert [r.loss for r in train.collect()] == [0.5] and [r.eval_loss for r in held.collect()] == [0.7]
+    (tmp_path / "log.csv").write_text("step,loss\n3,0.25\n")
+    assert [tuple(r) for r in sensor.read_training_log(spark, str(tmp_path / "log.csv"), str(tmp_path / "state.json")).collect()] == [(3, 0.25, None)]
+    assert sensor.read_training_log(spark, str(tmp_path / "a"), str(tmp_path / "b")).count() == 0

@@ -5,6 +5,10 @@ documents or more share; the n-gram Jaccard join keeps one document of each grou
 near copies; decontamination drops documents that hold a benchmark passage; mixing
 replicates documents so that sources have equal shares. All but the last return the
 columns of `documents`.
+
+Defined cases: null text and text without a letter are rejected by language ID, so they
+go; a text that loses all its lines stays, empty; repeated rows are documents of their own
+until the join keeps one; null sources are mixed as one source; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: The language classifier is trained, so SQL cannot express the rows; tests compare with a brute-force version.
+#: The language classifier is trained, so SQL cannot express the rows; tests compare each later stage with a brute-force version of it on its own input.
 ORACLE_SQL = None
 
 

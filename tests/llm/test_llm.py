@@ -426,6 +426,29 @@ def test_nearest_has_no_candidate_cap(longest):
     assert hits >= 0.98 * 40 * 20
 
 
+def test_nearest_at_a_full_shard():
+    """As many vectors as one index holds by default; equal vectors, ties to the smaller id."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(64, 32))[rng.integers(0, 64, 16_384)] * 0.5 + rng.normal(size=(16_384, 32))
+    x[100:120] = x[99]
+    index, hits = collision_ann.ShardIndex(np.arange(16_384), x), 0
+    for q in range(0, 16_384, 1024):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(16_384), -s))[:20]) & set(index.search(x[q], q, 20)[0]))
+    assert hits >= 0.95 * 16 * 20
+    ids, scores = index.search(x[99], 99, 20)
+    assert list(ids) == list(range(100, 120)) or scores[0] > x[99] @ x[99] + 1e-9
+
+
+def test_nearest_of_nothing(spark):
+    schema = "vec_id long, embedding array<double>, rank int"
+    assert collision_ann.nearest(spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
+    rows = [(None, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (21, [1.0, 1.0, 0.0], 1), (40, [0.5, 0.0], 1)]
+    got = collision_ann.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(20, 1, 40, 0.5), (40, 1, 20, 0.5)]
+
+
 def test_language(spark, docs, empty):
     made = [(i, " ".join(f"{'aeiou'[j % 5]}{'ntrs'[(i + j) % 4]}{'xq' if i % 2 else 'lm'}" for j in range(30)), "q" if i % 2 else "m") for i in range(300)]
     df = spark.createDataFrame([*made, (900, None, "q"), (901, "12 34", "m"), (902, "", None)], "doc_id long, text string, lang string")
@@ -448,8 +471,43 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(bench))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     blocks.use_checkpoints(spark)
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
         docs = blocks.saved(stage(spark, docs, str(tmp_path)))
+        after = {r.doc_id: r for r in docs.collect()}
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name != "language_id":
+            assert {i: r.text for i, r in after.items()} == BRUTE[name](before, " ".join(bench))
     assert {r.doc_id for r in docs.collect()} == {*range(12), 20} and docs.where("text like 'common%'").count() == 0
-    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {*range(12), 20}
+    unit = lambda i: int(hashlib.md5(f"count 1|{i}".encode()).hexdigest()[:13], 16) / 2**52
+    want = collections.Counter({i: sum(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) <= unit(i) for k in range(30)) for i in after})
+    got = collections.Counter(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect())
+    assert got == +want
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(+want)
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def _brute_lines(rows, bench):
+    held = collections.Counter(k for r in rows.values() for k in {low(x.strip(" \t\n\x0b\x0c\r")) for x in r.text.split("\n")} - {""})
+    return {i: "\n".join(x for x in r.text.split("\n") if held[low(x.strip(" \t\n\x0b\x0c\r"))] < 10) for i, r in rows.items()}
+
+
+def _brute_join(rows, bench):
+    corpus = [(i, r.text) for i, r in rows.items()]
+    return {i: rows[i].text for i, _, part in brute_components(corpus, 5, 80, 100) if i == part}
+
+
+def _brute_leaks(rows, bench):
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    item, out = grams(split(bench)), {}
+    for i, r in rows.items():
+        w, n = split(r.text), len(split(bench))
+        sims = [sum((g & item).values()) / max(1, sum((g | item).values())) for at in range(max(1, len(w) - n + 1)) for g in [grams(w[at : at + n])]]
+        if max(sims) < 0.8:
+            out[i] = r.text
+    return out
+
+
+BRUTE = {"line_dedup": _brute_lines, "jaccard_join": _brute_join, "decontaminate": _brute_leaks}

@@ -171,7 +171,7 @@ def fallback_join(generated: DataFrame, real: DataFrame, order: str = "window_id
     """Each generated row with the real row of its window, else the first of its lower-cased activity, else nothing."""
     exact = real.select(F.col("window_id").alias("window_id"), F.col("real_index").alias("exact_index"))
     first = real.groupBy(F.lower("activity_name").alias("__a")).agg(F.min_by("real_index", order).alias("first_index"))
-    out = generated.join(exact, "window_id", "left").withColumn("__a", F.lower("activity_name")).join(F.broadcast(first), "__a", "left")
+    out = generated.join(exact, "window_id", "left").withColumn("__a", F.lower("activity_name")).join(first, "__a", "left")
     return out.withColumn("real_index", F.coalesce("exact_index", "first_index")).where("real_index is not null").drop("__a", "exact_index", "first_index")
 
 

@@ -98,8 +98,12 @@ def assign_runs(df: DataFrame, order: list[str], gap_factor: float = 3.0) -> Dat
     Too large is more than gap_factor times the exact median of the group's positive steps.
     """
     w = Window.partitionBy(*GROUP).orderBy(*order)
-    whole = Window.partitionBy(*GROUP)
-    stepped = lag_delta(df, order).withColumn("__limit", F.median(F.when(F.col("delta") > 0, F.col("delta"))).over(whole) * gap_factor)
+    steps = lag_delta(df, order)
+    # an aggregate, not a frame: no task buffers a whole group, and both sides are partitioned by it already
+    limits = steps.groupBy(*GROUP).agg((F.median(F.when(F.col("delta") > 0, F.col("delta"))) * gap_factor).alias("__limit"))
+    limits = limits.select(*[F.col(c).alias(f"__{c}") for c in GROUP], "__limit")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in GROUP]
+    stepped = steps.join(limits, same[0] & same[1], "left").drop(*[f"__{c}" for c in GROUP])
     new = F.col("delta").isNull() | (F.col("delta") <= 0) | (F.col("delta") > F.coalesce("__limit", F.lit(float("inf"))))
     return stepped.withColumn("run_id", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__limit", "delta")
 

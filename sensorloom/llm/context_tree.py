@@ -40,8 +40,8 @@ from sensorloom.llm import blocks as B
 DEPTH = 6
 END = b"\n"
 #: Raw bytes of a block, and of the texts whose grams are made at a time.
-BLOCK_BYTES = 32 << 20
-RUN_BYTES = 2 << 20
+BLOCK_BYTES = 20 << 20
+RUN_BYTES = 1 << 19
 
 
 def held_out(doc_id) -> bool:
@@ -354,7 +354,8 @@ def score(docs: DataFrame, word_contexts: bool = True) -> DataFrame:
             order = np.argsort(key)
             ordered = key[order]
             to = bucket_of(ordered, n)
-            by_bucket = np.argsort(to, kind="stable")
+            # few values, so a radix sort
+            by_bucket = np.argsort(to.astype(np.uint16) if n <= 1 << 16 else to, kind="stable")
             edges = np.searchsorted(to[by_bucket], np.arange(n + 1))
             value = np.empty(len(key))
             for bucket in np.flatnonzero(np.diff(edges)).tolist():

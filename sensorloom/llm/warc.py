@@ -31,43 +31,35 @@ from pyspark.sql import types as T
 
 DATE = "1970-01-01T00:00:00Z"
 
-_NAME = re.compile(r"/?[a-z][a-z0-9]*")
-_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_HIDDEN = re.compile(r"<!--|<(script|style)\b", re.I)
+_CLOSE = {"<!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 #: Tags at which a line ends.
-BREAKS = frozenset({"br", "/p", "/div", "/h1", "/h2", "/h3", "/h4", "/h5", "/h6", "/li", "/tr", "/title"})
+_BREAK = re.compile(r"<(?:br|/p|/div|/h[1-6]|/li|/tr|/title)\b[^>]*>", re.I)
+_TAG = re.compile(r"<[^>]*>")
 _ANCHOR, _HREF = re.compile(r"<a\s", re.I), re.compile(r"href\s*=\s*\"", re.I)
 _TITLE, _TITLE_END = re.compile(r"<title[^>]*>", re.I), re.compile(r"</title\s*>", re.I)
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_BLANKS, _LINES = re.compile(r"[ \t\r]+"), re.compile(r" ?\n[ \n]*")
 
 
 def plain_text(page: str) -> str:
     """Text of a page: scripts, styles and comments go, tags become spaces or line ends, blank runs become one."""
-    low, out, at = page.translate(_LOWER), [], 0
+    out, at, seek = [], 0, 0
     unclosed: set[str] = set()
-    while (i := page.find("<", at)) >= 0:
-        out.append(page[at:i])
-        if "<!--" not in unclosed and page.startswith("<!--", i):
-            if (end := page.find("-->", i + 4)) >= 0:
-                out.append(" ")
-                at = end + 3
-                continue
-            unclosed.add("<!--")
-        named = _NAME.match(low, i + 1)
-        name = named.group() if named else ""
-        if name in _CLOSE and name not in unclosed:
-            if end := _CLOSE[name].search(page, i):
-                out.append(" ")
-                at = end.end()
-                continue
-            unclosed.add(name)
-        if (end := page.find(">", i)) < 0:
-            at = i
-            break
-        out.append("\n" if name in BREAKS else " ")
-        at = end + 1
-    text = references.unescape("".join([*out, page[at:]])).replace("\xa0", " ")
-    text = re.sub(r"[ \t\r]+", " ", text)
-    return re.sub(r" ?\n[ \n]*", "\n", text).strip(" \n")
+    while found := _HIDDEN.search(page, seek):
+        kind = (found.group(1) or "<!--").lower()
+        end = None if kind in unclosed else _CLOSE[kind].search(page, found.end())
+        if end:
+            out += [page[at : found.start()], " "]
+            at = seek = end.end()
+        else:
+            unclosed.add(kind)
+            seek = found.end()
+    text = "".join([*out, page[at:]])
+    # up to the last end of a tag every beginning of one finds an end, so each search is short
+    last = text.rfind(">") + 1
+    text = _TAG.sub(" ", _BREAK.sub("\n", text[:last])) + text[last:]
+    text = references.unescape(text).replace("\xa0", " ")
+    return _LINES.sub("\n", _BLANKS.sub(" ", text)).strip(" \n")
 
 
 def page_title(page: str) -> str:

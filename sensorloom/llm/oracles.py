@@ -105,4 +105,51 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (c.key IS NOT NULL):
 FROM k LEFT JOIN c ON c.key = k.key GROUP BY doc_id
 """
 
-ORACLES = {"op1_mixing": OP1, "op4_warc_derivatives": OP4, "op6_jaccard_join": OP6, "op7_decontamination": OP7, "op8_line_dedup": OP8}
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_STEP = "CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR, (k // 8 + 1)::INT, 1))) ELSE c END"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * length(doc_id::VARCHAR))), lambda c, k: xor(({_STEP}) >> 1, (({_STEP}) & 1) * 3988292384)), 4294967295)"
+
+# A run of period q is an island of words equal to the one q words on; an island with a smaller period around it is no run of its own.
+OP11 = f"""
+WITH h AS (SELECT doc_id, {_WORDS} AS w, {_CRC} AS h FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+t AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM d),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+c AS MATERIALIZED (SELECT doc_id, q, min(i) AS start, count(*) + q AS len FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.doc_id = c.doc_id AND o.q < c.q AND o.start <= c.start AND o.start + o.len >= c.start + c.len)),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'len': len, 'q': q}}, (-len::DOUBLE / q, start, q)) AS b, string_agg(start || ',' || len || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM r GROUP BY doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + len)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM t ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.b.start::BIGINT AS start, b.b.len::BIGINT AS length, b.b.q::BIGINT AS period, (1000 * b.b.len // b.b.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+g AS (SELECT doc_id, unnest(range(0, len(w) - 49)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS g FROM d WHERE len(w) >= 50),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+c AS (SELECT doc_id, i FROM g JOIN f USING (g) WHERE doc_id > first),
+m AS (SELECT t.doc_id, t.i, word, max(c.i) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.i = t.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+_TERMS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d),
+f AS (SELECT doc_id, size, term, count(*) AS tf FROM t GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, c GROUP BY term, n),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n) // l))))::BIGINT AS score FROM i JOIN f USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES = {"op1_mixing": OP1, "op4_warc_derivatives": OP4, "op6_jaccard_join": OP6, "op7_decontamination": OP7, "op8_line_dedup": OP8, "op11_periodic_runs": OP11, "op12_suffix_trees": OP12, "op13_lexical_search": OP13}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sensorloom.operators.neighbours import neighbours
+
 
 def standardize(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
     """x, the columns in units of the training rows' population deviation (zero counts as one)."""
@@ -17,19 +19,12 @@ def standardize(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFram
     return df.join(F.broadcast(stats)).withColumn("x", F.array(*scaled)).drop(*[f"__{c}" for c in columns])
 
 
-def knn(train: DataFrame, queries: DataFrame, k: int = 5, blocks: int = 8) -> DataFrame:
-    """Predicted label of each query (query_id, label, x) by k neighbours with weights 1 / distance; exact hits alone count when there are any.
+def knn(train: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Predicted label of each query (query_id, label, x) by its k nearest training rows (train_id, label, x) with weights 1 / distance; exact hits alone count when there are any.
 
-    Queries meet training rows in blocks; each task keeps the k best of a query, so not all
-    pairs meet the final ranking. Ties go to the smaller training id.
+    Ties go to the smaller training id, then the smaller label. See `neighbours` for the search and its defined cases.
     """
-    left = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = train.select(F.col("train_id"), F.col("label").alias("train_label"), F.col("x").alias("tx"), F.pmod(F.xxhash64("train_id"), F.lit(blocks)).cast("int").alias("block"))
-    distance = F.sqrt(F.aggregate(F.zip_with("x", "tx", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, d: t + d))
-    d = left.join(right, "block").select("query_id", "block", "label", "train_id", "train_label", distance.alias("d"))
-    # the rank limit prunes each task's rows before they are shuffled
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "train_id"))
-    near = d.withColumn("r", rank).where(F.col("r") <= k).drop("r", "block")
+    near = neighbours(train, queries, k)
     exact = F.max((F.col("d") == 0).cast("int")).over(Window.partitionBy("query_id")) == 1
     weight = F.when(exact, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
     votes = near.withColumn("weight", weight).groupBy("query_id", "label", "train_label").agg(F.sum("weight").alias("weight"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sensorloom.operators.scans import numbered_long
+
 RUN = ("subject_id", "activity_id", "run_id")
 
 
@@ -22,25 +24,43 @@ def number_rows(df: DataFrame, keys: list[str], name: str, within: list[str]) ->
     return df.join(groups, keys).withColumn(name, (F.col("__before") + local).cast("long")).drop("__before")
 
 
-def sliding_windows(df: DataFrame, channels: list[str], size: int, stride: int, order: list[str]) -> DataFrame:
+def sliding_windows(df: DataFrame, channels: list[str], size: int, stride: int, order: list[str], chunk: int | None = None, segment_rows: int | None = None) -> DataFrame:
     """One row a window: 11 metadata columns and w, an array of the channels' values.
 
     Starts are 0, stride, ... within each run while a whole window fits; shorter runs have none.
+
+    Runs are cut into chunks of about `chunk` rows (32 windows' length where none is given), each
+    with the size - 1 rows that follow it, and windows are sliced out of their chunk. So a row is
+    shuffled once, or twice near a chunk's start, however many windows hold it. Ids come from the
+    runs' lengths. With segment_rows, rows of long runs are numbered in segments of that size, so
+    that no task holds a run.
     """
-    w = Window.partitionBy(*RUN).orderBy(*order)
-    rows = df.withColumn("p", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*RUN)))
-    rows = rows.where(F.col("n") >= size)
-    first = F.greatest(F.lit(0), F.ceil((F.col("p") - size + 1) / stride)).cast("int")
-    last = F.least(F.floor(F.col("p") / stride), F.floor((F.col("n") - size) / stride)).cast("int")
-    rows = rows.where(first <= last).withColumn("start_index", F.explode(F.sequence(first, last))).withColumn("start_index", F.col("start_index") * stride)
+    chunk = max(1, -(-(chunk or 32 * size) // stride)) * stride
+    rows = df.where(F.col("run_id").isNotNull())
+    runs = rows.groupBy(*RUN).agg(F.count("*").alias("n")).where(F.col("n") >= size)
+    runs = runs.withColumn("k", F.floor((F.col("n") - size) / stride) + 1)
+    group = Window.partitionBy(*RUN[:2]).orderBy(RUN[2]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = runs.groupBy(*RUN[:2]).agg(F.sum("k").alias("k"))
+    before = totals.select(*RUN[:2], F.coalesce(F.sum("k").over(Window.orderBy(*RUN[:2]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # a row for each group
+    first = runs.withColumn("__o", F.coalesce(F.sum("k").over(group), F.lit(0))).join(before, list(RUN[:2])).select(*RUN, (F.col("__b") + F.col("__o")).alias("__first"))
+    if segment_rows is None:
+        rows = rows.withColumn("p", F.row_number().over(Window.partitionBy(*RUN).orderBy(*order)) - 1)
+    else:
+        rows = numbered_long(rows.drop("p"), list(RUN), order, "p", segment_rows)
+    rows = rows.join(first, list(RUN))
+    own = F.floor(F.col("p") / chunk)
+    halo = F.greatest(F.floor((F.col("p") - size + 1) / chunk), F.lit(0))
+    rows = rows.withColumn("__c", F.explode(F.sequence(halo, own)))
     cell = F.struct("p", "timestamp", "source_file", *channels)
-    made = rows.groupBy(*RUN, "activity_name", "start_index").agg(F.sort_array(F.collect_list(cell)).alias("x"))
-    made = made.select(
-        *RUN, "activity_name", F.col("start_index").cast("int").alias("start_index"), (F.col("start_index") + size - 1).cast("int").alias("end_index"), F.lit(size).alias("window_length"),
+    chunks = rows.groupBy(*RUN, "activity_name", "__first", "__c").agg(F.array_sort(F.collect_list(cell)).alias("x"))
+    last = F.least(F.size("x") - size, F.lit(chunk - 1))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    cut = chunks.withColumn("__i", F.explode(starts)).withColumn("start_index", (F.col("__c") * chunk + F.col("__i")).cast("int")).withColumn("x", F.slice("x", F.col("__i") + 1, F.lit(size)))
+    return cut.select(
+        *RUN, "activity_name", "start_index", (F.col("start_index") + size - 1).cast("int").alias("end_index"), F.lit(size).alias("window_length"),
         F.col("x")[0]["timestamp"].alias("start_timestamp"), F.col("x")[size - 1]["timestamp"].alias("end_timestamp"), F.col("x")[0]["source_file"].alias("source_file"),
-        F.array(*[F.col("x")[c] for c in channels]).alias("w"),
+        F.array(*[F.col("x")[c] for c in channels]).alias("w"), (F.col("__first") + F.floor(F.col("start_index") / stride)).cast("long").alias("window_id"),
     )
-    return number_rows(made, ["subject_id", "activity_id"], "window_id", ["run_id", "start_index"])
 
 
 def to_long(windows: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:

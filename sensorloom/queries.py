@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import text as tx
 from sensorloom.operators import candidates as cd
 from sensorloom.operators import classify as cl
-from sensorloom.operators import clean, features, metrics, reduce, split, windows
+from sensorloom.operators import clean, features, metrics, reduce, scans, split, windows
 from sensorloom.plans import preprocess as pp
 from sensorloom.plans import reports
 from sensorloom.sources import sensor as src
@@ -116,6 +116,33 @@ def run_durations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.run_durations(_prepared(spark, d).runs))
 
 
+# A third of all rows lie in one recording: what the plain forms send to one task, the long ones scan in segments.
+LONG_SENSOR = SENSOR.replace("sensor AS (", "source AS (", 1) + ", sensor AS (SELECT * REPLACE (CASE WHEN subject_id % 3 = 0 THEN 0 ELSE subject_id END AS subject_id, CASE WHEN subject_id % 3 = 0 THEN 1 ELSE activity_id END AS activity_id, CASE WHEN subject_id % 3 = 0 THEN 'click' ELSE activity_name END AS activity_name) FROM source)"
+LONG_FILLED, LONG_RUNS = FILLED.replace(SENSOR, LONG_SENSOR), RUNS.replace(SENSOR, LONG_SENSOR)
+SEGMENT_ROWS = 500
+
+
+def _long_filled(spark, d):
+    rows = _sensor(spark, d)
+    hot = F.col("subject_id") % 3 == 0
+    rows = rows.withColumns({"subject_id": F.when(hot, 0).otherwise(F.col("subject_id")), "activity_id": F.when(hot, 1).otherwise(F.col("activity_id")), "activity_name": F.when(hot, "click").otherwise(F.col("activity_name"))})
+    return scans.interpolate_long(rows, CH, ORDER, SEGMENT_ROWS)
+
+
+def _long_runs(spark, d):
+    return scans.runs_long(_long_filled(spark, d).dropna(subset=CH), ORDER, segment_rows=SEGMENT_ROWS)
+
+
+@query(f"WITH {LONG_FILLED} SELECT event_id, subject_id, activity_id, round(value, 6) AS value, k FROM filled")
+def interpolate_long(spark: SparkSession, d: str) -> DataFrame:
+    return _long_filled(spark, d).select("event_id", "subject_id", "activity_id", F.round("value", 6).alias("value"), "k")
+
+
+@query(f"WITH {LONG_RUNS} SELECT event_id, subject_id, activity_id, run_id FROM runs")
+def runs_long(spark: SparkSession, d: str) -> DataFrame:
+    return _long_runs(spark, d).select("event_id", "subject_id", "activity_id", "run_id")
+
+
 @query(f"WITH {FILLED}, l AS (SELECT 'value' AS channel, value AS v FROM filled UNION ALL SELECT 'k', k FROM filled) SELECT channel, round(avg(v), 6) AS mean, round(CASE WHEN stddev_pop(v) < 1e-8 THEN 1.0 ELSE stddev_pop(v) END, 6) AS scale FROM l WHERE v IS NOT NULL GROUP BY channel")
 def channel_scaler(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_prepared(spark, d).scaler)
@@ -131,6 +158,12 @@ def channel_summary(spark: SparkSession, d: str) -> DataFrame:
 META = "window_id, subject_id, activity_id, run_id, activity_name, start_index, end_index, window_length, round(start_timestamp, 6) AS start_timestamp, round(end_timestamp, 6) AS end_timestamp, source_file"
 
 
+@query(f"WITH {WINS.replace(RUNS, LONG_RUNS)} SELECT {META}, list_transform(v, lambda x: round(x, 6)) AS value, kk AS k FROM wid")
+def windows_long(spark: SparkSession, d: str) -> DataFrame:
+    w = windows.sliding_windows(_long_runs(spark, d), CH, SIZE, STRIDE, ORDER, segment_rows=SEGMENT_ROWS)
+    return rounded(w.select(*[c for c in w.columns if c != "w"], F.transform(F.col("w")[0], lambda x: F.round(x, 6)).alias("value"), F.col("w")[1].alias("k")))
+
+
 @query(f"WITH {WINS} SELECT {META}, list_transform(v, lambda x: round(x, 6)) AS value, kk AS k FROM wid")
 def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     w = _prepared(spark, d).windows

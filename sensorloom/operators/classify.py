@@ -11,12 +11,13 @@ from pyspark.sql.window import Window
 from sensorloom.operators.neighbours import neighbours
 
 
-def standardize(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
-    """x, the columns in units of the training rows' population deviation (zero counts as one)."""
-    stats = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in columns])
-    stats = stats.select(*[F.col(c).alias(f"__{c}") for c in columns])
-    scaled = [(F.col(c) - F.col(f"__{c}")["m"]) / F.when(F.col(f"__{c}")["s"] == 0, 1.0).otherwise(F.col(f"__{c}")["s"]) for c in columns]
-    return df.join(F.broadcast(stats)).withColumn("x", F.array(*scaled)).drop(*[f"__{c}" for c in columns])
+def standardize(df: DataFrame, train: DataFrame, columns: list[str] | str) -> DataFrame:
+    """x, the columns, or the entries of one array column, in units of the training rows' population deviation (zero counts as one)."""
+    vector = F.col(columns) if isinstance(columns, str) else F.array(*columns)
+    cells = train.select(F.posexplode(vector).alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stats = cells.agg(F.sort_array(F.collect_list(F.struct("i", "m", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s")))).alias("__z"))
+    # one row with an entry for each component
+    return df.join(F.broadcast(stats)).withColumn("x", F.zip_with(vector, "__z", lambda v, z: (v - z["m"]) / z["s"])).drop("__z")
 
 
 def knn(train: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -158,7 +158,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Ids are distinct on either side. Rows of either side whose vector is null or has null, NaN or
     infinite components take no part; no training rows give no rows.
     """
-    train, queries = _usable(train), _usable(queries).select("query_id", "label", "x")
+    train, queries = kept(_usable(train).select("train_id", "label", "x")), kept(_usable(queries).select("query_id", "label", "x"))
     if train.isEmpty():
         return train.sparkSession.createDataFrame([], T.StructType([*queries.select("query_id", "label").schema, train.schema["train_id"], T.StructField("train_label", train.schema["label"].dataType), T.StructField("d", T.DoubleType())]))
     cells = Cells(train)

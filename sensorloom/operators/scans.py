@@ -7,7 +7,8 @@ Rows are shuffled once, by group and segment. Each segment is scanned by itself
 up in one row: rows, first and last values, starts of runs. What a segment must know of those
 before and after it (last number, next number, rows so far, runs so far) comes from a window over
 these rows, one a segment, and goes back by group and segment, where the rows lie already.
-The results are those of the plain forms in `clean`.
+The results are those of the plain forms in `clean`. A frame that `segmented` made stays in its
+segments through filling and run detection, without another shuffle.
 
 Defined cases: null times come first and share the first segment, NaN comes last; rows
 of one time share a segment however many they are; groups with null keys are groups; an empty
@@ -68,25 +69,34 @@ def _segments_after() -> WindowSpec:
     return Window.partitionBy("__g").orderBy("__s").rowsBetween(1, Window.unboundedFollowing)
 
 
+def _cut(df: DataFrame, keys: list[str], order: list[str], segment_rows: int) -> DataFrame:
+    """df in segments; a frame that has them keeps its own."""
+    return df if {"__g", "__s"} <= set(df.columns) else segmented(df, keys, order[0], segment_rows)
+
+
 def numbered_long(df: DataFrame, keys: list[str], order: list[str], name: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """df with the row's number in its group, from 0."""
-    rows = segmented(df, keys, order[0], segment_rows).withColumn("__p", F.row_number().over(_segment(order)))
-    so_far = rows.groupBy("__g", "__s").agg(F.count("*").alias("n")).select("__g", "__s", F.coalesce(F.sum("n").over(_segments_before()), F.lit(0)).alias("__o"))
-    return rows.join(so_far, ["__g", "__s"]).withColumn(name, F.col("__o") + F.col("__p") - 1).select(*df.columns, name)
+    rows = segmented(df, keys, order[0], segment_rows)
+    sizes = rows.groupBy("__g", "__s").agg(F.count("*").alias("n"))
+    so_far = kept(sizes.select("__g", "__s", F.coalesce(F.sum("n").over(_segments_before()), F.lit(0)).alias("__o")))
+    rows = looked_up(rows.withColumn("__p", F.row_number().over(_segment(order))), so_far, ["__g", "__s"], "inner")
+    return rows.withColumn(name, F.col("__o") + F.col("__p") - 1).select(*df.columns, name)
 
 
 def interpolate_long(df: DataFrame, channels: list[str], order: list[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """`clean.interpolate` in segments: nulls filled linearly by row position within (subject, activity); ends take the nearest number."""
-    rows = segmented(df, list(GROUP), order[0], segment_rows).withColumn("__p", F.row_number().over(_segment(order)).cast("long"))
+    rows = _cut(df, list(GROUP), order, segment_rows).withColumn("__p", F.row_number().over(_segment(order)).cast("long"))
     cell = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("__p").alias("p"), F.col(c).alias("v")))
     ends = rows.groupBy("__g", "__s").agg(F.count("*").alias("n"), *[F.min(cell(c)).alias(f"__f_{c}") for c in channels], *[F.max(cell(c)).alias(f"__l_{c}") for c in channels])
     ends = ends.withColumn("__o", F.coalesce(F.sum("n").over(_segments_before()), F.lit(0)))
     shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["p"] + F.col("__o")).alias("p"), F.col(c)["v"].alias("v")))
-    carries = ends.select("__g", "__s", "__o", *[F.last(shifted(f"__l_{c}"), True).over(_segments_before()).alias(f"__before_{c}") for c in channels], *[F.first(shifted(f"__f_{c}"), True).over(_segments_after()).alias(f"__after_{c}") for c in channels])
+    before = [F.last(shifted(f"__l_{c}"), True).over(_segments_before()).alias(f"__before_{c}") for c in channels]
+    after = [F.first(shifted(f"__f_{c}"), True).over(_segments_after()).alias(f"__after_{c}") for c in channels]
+    carries = kept(ends.select("__g", "__s", "__o", *before, *after))
     w = _segment(order)
     for c in channels:
         rows = rows.withColumns({f"__l_{c}": F.last(cell(c), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), f"__f_{c}": F.first(cell(c), True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    out = rows.join(carries, ["__g", "__s"])
+    out = looked_up(rows, carries, ["__g", "__s"], "inner")
 
     def filled(c: str) -> Column:
         a, b = F.coalesce(shifted(f"__l_{c}"), F.col(f"__before_{c}")), F.coalesce(shifted(f"__f_{c}"), F.col(f"__after_{c}"))
@@ -97,36 +107,43 @@ def interpolate_long(df: DataFrame, channels: list[str], order: list[str], segme
     return out.withColumns({c: filled(c) for c in channels}).select(*df.columns)
 
 
-def lag_delta_long(df: DataFrame, order: list[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """`clean.lag_delta` in segments: the step from the row before in (subject, activity)."""
-    return _steps(segmented(df, list(GROUP), order[0], segment_rows), order).select(*df.columns, "delta")
+def _last_times(rows: DataFrame, order: list[str]) -> DataFrame:
+    """For each segment __t, the time of the last row before it."""
+    last = rows.groupBy("__g", "__s").agg(F.max_by("timestamp", F.struct(*order)).alias("t"))
+    return kept(last.select("__g", "__s", F.lag("t").over(Window.partitionBy("__g").orderBy("__s")).alias("__t")))
 
 
-def _steps(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Segmented rows with delta; a segment's first row looks back to the last time of the segment before."""
+def _steps(rows: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
+    """Segmented rows with delta and what is known of their segments; a segment's first row looks back to __t."""
     w = _segment(order)
-    place = F.struct(*order)
-    # the row before the segment's first one is the last row of the nearest segment before it
-    last = rows.groupBy("__g", "__s").agg(F.max_by("timestamp", place).alias("t")).select("__g", "__s", F.lag("t").over(Window.partitionBy("__g").orderBy("__s")).alias("__t"))
     local = rows.withColumn("__first", F.row_number().over(w) == 1).withColumn("__back", F.lag("timestamp").over(w))
-    stepped = local.join(last, ["__g", "__s"])
+    stepped = looked_up(local, known, ["__g", "__s"], "inner")
     return stepped.withColumn("delta", F.col("timestamp") - F.when(F.col("__first"), F.col("__t")).otherwise(F.col("__back"))).drop("__t", "__first", "__back")
 
 
+def lag_delta_long(df: DataFrame, order: list[str], segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """`clean.lag_delta` in segments: the step from the row before in (subject, activity)."""
+    rows = _cut(df, list(GROUP), order, segment_rows)
+    return _steps(rows, _last_times(rows, order), order).select(*df.columns, "delta")
+
+
 def runs_long(df: DataFrame, order: list[str], gap_factor: float = 3.0, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """`clean.assign_runs` in segments: run_id from 1 within (subject, activity), a new run at a null, non-positive or too large step.
 
     Too large is more than gap_factor times the exact median of the group's positive steps, which
     comes from counts, not from a buffer of all steps.
     """
-    steps = _steps(segmented(df, list(GROUP), order[0], segment_rows), order)
-    median = exact_quantiles(steps.where("delta > 0").select("__g", "delta"), ["__g"], "delta", [0.5])
-    limits = median.select("__g", (F.col("q")[0] * gap_factor).alias("__limit"))
+    rows = _cut(df, list(GROUP), order, segment_rows)
+    last = _last_times(rows, order)
+    median = exact_quantiles(_steps(rows, last, order).where("delta > 0").select("__g", "delta"), ["__g"], "delta", [0.5])
     # the limit reaches the rows by group and segment, so that no group meets in one task
-    segments = steps.select("__g", "__s").distinct().join(limits, "__g", "left")
-    flagged = steps.join(segments, ["__g", "__s"])
-    new = F.col("delta").isNull() | (F.col("delta") <= 0) | (F.col("delta") > F.coalesce("__limit", F.lit(float("inf"))))
-    flagged = flagged.withColumn("__new", new.cast("long")).drop("__limit")
-    so_far = flagged.groupBy("__g", "__s").agg(F.sum("__new").alias("k")).select("__g", "__s", F.coalesce(F.sum("k").over(_segments_before()), F.lit(0)).alias("__k"))
+    limits = kept(last.join(median.select("__g", (F.col("q")[0] * gap_factor).alias("__limit")), "__g", "left"))
+
+    def flagged(known: DataFrame) -> DataFrame:
+        new = F.col("delta").isNull() | (F.col("delta") <= 0) | (F.col("delta") > F.coalesce("__limit", F.lit(float("inf"))))
+        return _steps(rows, known, order).withColumn("__new", new.cast("long"))
+
+    starts = flagged(limits).groupBy("__g", "__s").agg(F.sum("__new").alias("k"))
+    so_far = starts.select("__g", "__s", F.coalesce(F.sum("k").over(_segments_before()), F.lit(0)).alias("__k"))
     local = F.sum("__new").over(_segment(order).rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("__r", local).join(so_far, ["__g", "__s"]).withColumn("run_id", (F.col("__k") + F.col("__r")).cast("int")).select(*df.columns, "run_id")
+    return flagged(kept(limits.join(so_far, ["__g", "__s"]))).withColumn("run_id", (F.col("__k") + local).cast("int")).select(*df.columns, "run_id")

@@ -4,7 +4,8 @@ The built-in exact percentile holds every distinct value of a group in one buffe
 group of more than `small` rows is scanned a few times: each pass counts the values of an
 interval in `bins` equal parts, and each wanted order statistic moves on to the part that
 holds it, until that has one value or at most `small` rows, which are then sorted. What a
-pass gathers is `bins` counts for each interval, whatever the number of rows.
+pass gathers is `bins` counts for each interval, whatever the number of rows. The values of
+large groups are written once to the checkpoint folder and read by each pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     stats = base.groupBy("__g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     large = kept(stats.where(F.col("n") > small))
     plain = looked_up(base, large.select("__g"), "__g", "left_anti").groupBy("__g").agg(F.percentile("v", F.array(*map(F.lit, probs))).alias("q"))
-    out = plain if large.isEmpty() else plain.unionByName(_narrowed(base, large, probs, bins, small))
+    out = plain if large.isEmpty() else plain.unionByName(_narrowed(kept(looked_up(base, large.select("__g"), "__g", "left_semi")), large, probs, bins, small))
     return out.select(*[F.col(f"__g.{k}").alias(k) for k in keys], "q")
 
 

@@ -126,11 +126,11 @@ def _long_filled(spark, d):
     rows = _sensor(spark, d)
     hot = F.col("subject_id") % 3 == 0
     rows = rows.withColumns({"subject_id": F.when(hot, 0).otherwise(F.col("subject_id")), "activity_id": F.when(hot, 1).otherwise(F.col("activity_id")), "activity_name": F.when(hot, "click").otherwise(F.col("activity_name"))})
-    return scans.interpolate_long(rows, CH, ORDER, SEGMENT_ROWS)
+    return scans.interpolate_long(scans.segmented(rows, list(clean.GROUP), "timestamp", SEGMENT_ROWS), CH, ORDER)
 
 
 def _long_runs(spark, d):
-    return scans.runs_long(_long_filled(spark, d).dropna(subset=CH), ORDER, segment_rows=SEGMENT_ROWS)
+    return scans.runs_long(_long_filled(spark, d).dropna(subset=CH), ORDER).drop("__g", "__s")
 
 
 @query(f"WITH {LONG_FILLED} SELECT event_id, subject_id, activity_id, round(value, 6) AS value, k FROM filled")
@@ -583,11 +583,10 @@ pred AS (SELECT query_id, label, tl AS prediction FROM (SELECT *, row_number() O
 
 
 def _predictions(spark, d) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)])
-    cols = [f"f{i}" for i in range(64)]
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     train = e.where("vec_id % 3 <> 0")
-    a = cl.standardize(train, train, cols).select(F.col("vec_id").alias("train_id"), "label", "x")
-    return cl.knn(a, cl.standardize(e.where("vec_id % 3 = 0"), train, cols).select(F.col("vec_id").alias("query_id"), "label", "x"))
+    a = cl.standardize(train, train, "v").select(F.col("vec_id").alias("train_id"), "label", "x")
+    return cl.knn(a, cl.standardize(e.where("vec_id % 3 = 0"), train, "v").select(F.col("vec_id").alias("query_id"), "label", "x"))
 
 
 @query(f"WITH {KNN} SELECT * FROM pred")

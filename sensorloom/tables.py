@@ -23,7 +23,7 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def looked_up(df: DataFrame, table: DataFrame, on: str, how: str = "left", limit: int = 4096) -> DataFrame:
+def looked_up(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left", limit: int = 4096) -> DataFrame:
     """df joined with the table, which is broadcast while it has at most `limit` rows, counted first."""
     return df.join(F.broadcast(table) if table.limit(limit + 1).count() <= limit else table, on, how)
 

@@ -82,15 +82,26 @@ def record(columns: list[str], values: list[str], template: str = "fim_template_
     return F.concat(F.lit("Condition: "), condition, F.lit(" [sep] Input: " + ", ".join(f"{c} is [blank]" for c in ordered) + " [sep] Target: "), target, F.lit(eos))
 
 
-def permuted_record(columns: list[str], values: list[str], digits: int = 4, eos: str = EOS, seed: int = 42) -> Column:
-    """The default template with columns in an order that hashes of seed, window and name give: the same on every run."""
+def permuted_record(columns: list[str], values: list[str], digits: int = 4, eos: str = EOS, seed: int = 42, template: str = "fim_template_textual_encoding", dataset: str = "sensor") -> Column:
+    """The template with columns in an order that hashes of seed, window and name give: the same on every run.
+
+    The structured forms name their fields and sort their values, so they are those of `record`.
+    """
+    if template in ("structured_v2", "compact_values_v2"):
+        return record(columns, values, template, digits, eos, dataset)
     number = lambda c: format_number(F.col(c), digits) if c in values else shown(c)
     cells = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.col("window_id"), F.lit(c)).alias("h"), F.lit(c).alias("c"), F.lit(c in values).alias("n"), number(c).alias("v")) for c in columns])
     cells = F.array_sort(cells)
-    named = F.array_join(F.transform(F.filter(cells, lambda x: ~x["n"]), lambda x: F.concat(x["c"], F.lit(" is "), x["v"])), ", ")
-    blank = F.array_join(F.transform(F.filter(cells, lambda x: x["n"]), lambda x: F.concat(x["c"], F.lit(" is [blank]"))), ", ")
-    target = F.array_join(F.transform(F.filter(cells, lambda x: x["n"]), lambda x: F.concat(x["v"], F.lit(" [answer]"))), " ")
-    return F.concat(F.lit("Condition: "), named, F.lit(" [sep] Input: "), blank, F.lit(" [sep] Target: "), target, F.lit(eos))
+    named = lambda x: F.concat(x["c"], F.lit(" is "), x["v"])
+    blank = lambda x: F.concat(x["c"], F.lit(" is [blank]"))
+    answer = lambda x: F.concat(x["v"], F.lit(" [answer]"))
+    if template == "base_template":
+        return F.concat(F.array_join(F.transform(cells, named), ", "), F.lit(eos))
+    if template == "fim_template":
+        return F.concat(F.lit("Input: "), F.array_join(F.transform(cells, blank), ", "), F.lit(" [sep] Target: "), F.array_join(F.transform(cells, answer), " "), F.lit(eos))
+    numbers = F.filter(cells, lambda x: x["n"])
+    condition = F.array_join(F.transform(F.filter(cells, lambda x: ~x["n"]), named), ", ")
+    return F.concat(F.lit("Condition: "), condition, F.lit(" [sep] Input: "), F.array_join(F.transform(numbers, blank), ", "), F.lit(" [sep] Target: "), F.array_join(F.transform(numbers, answer), " "), F.lit(eos))
 
 
 def text_records(df: DataFrame, values: list[str], **options) -> DataFrame:
@@ -164,6 +175,7 @@ def llm_records(metadata: DataFrame, features: DataFrame, channels: list[str]) -
     """Nested records with condition text, the embedding (if there), mean and std statistics, and templates."""
     stats = [c for c in features.columns if c.endswith(("__mean", "__std"))]
     both = metadata.join(features.select("window_id", *stats), "window_id")
+    # fixed values: the wording of the condition, the templates and the placeholder
     text = F.concat(F.lit("Activity: "), "activity_name", F.lit(". Subject: "), "subject_id", F.lit(". Window length: "), "window_length", F.lit(f". Channels: {', '.join(channels)}."))
     return both.select(
         *IDS, text.alias("condition_text"), (F.col("values") if "values" in metadata.columns else F.lit(None).cast("array<double>")).alias("embedding_placeholder"),

@@ -3,8 +3,9 @@
 Means, scales, covariances and so all of PCA and the whitening of FastICA come from sums
 over all training windows, added up row by row of the matrices; what reaches the driver
 has the size of a window squared for each channel, whatever the number of windows. The
-rotation of FastICA is iterated on `ica_windows` windows of a channel at most, taken by
-a hash of window_id. The model is one small row a channel. The transform works on rows.
+rotation of FastICA takes all windows too: they are whitened and packed once, and each step of
+the fixed-point iteration is a pass that adds up, for each channel, matrices of the number of
+components squared. The model is one small row a channel. The transform works on rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.tables import kept
+
 VECTOR = T.ArrayType(T.DoubleType())
+# Fixed values of the run files' `standardization`.
+STANDARDIZATIONS = ("legacy_timepoint", "per_channel_train", "none", None)
 MODEL = "channel_index int, channel_name string, method string, n_components int, pre_mean double, pre_scale double, scaler_mean array<double>, scaler_scale array<double>, components array<array<double>>, mixing array<array<double>>, latent_mean array<double>, explained_variance_ratio array<double>"
 
 
@@ -58,27 +63,78 @@ def whitening(cov: np.ndarray, k: int) -> np.ndarray:
     return vec[:, ::-1][:, :k].T / np.maximum(scale[:k], 1e-300)[:, None]
 
 
-def rotation(z: np.ndarray, max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> np.ndarray:
-    """FastICA's rotation of whitened data (component by window): parallel fixed-point iteration with a log-cosh contrast."""
-    w = _orthogonal(np.random.default_rng(seed).normal(size=(len(z), len(z))))
-    for _ in range(max_iter):
-        g = np.tanh(w @ z)
-        fresh = _orthogonal(g @ z.T / z.shape[1] - (1 - g**2).mean(axis=1)[:, None] * w)
-        moved = np.abs(np.abs((fresh * w).sum(axis=1)) - 1).max()
-        w = fresh
-        if moved < tol:
-            break
-    return w
-
-
 def _orthogonal(w: np.ndarray) -> np.ndarray:
     u, _, vt = np.linalg.svd(w)
     return u @ vt
 
 
-def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int = 3, standardization: str = "legacy_timepoint", max_iter: int = 1000, tol: float = 1e-4, seed: int = 42, ica_windows: int = 50_000) -> DataFrame:
-    """Model rows, one a channel, of training windows (window_id, w)."""
-    if standardization not in ("legacy_timepoint", "none", "train_channel"):
+def _packed(series: DataFrame, made: dict[int, dict]) -> DataFrame:
+    """Whitened windows (window by component, doubles) in a block for each channel and batch of rows, in the checkpoint folder."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c, group in pdf.groupby("channel_index")["x"]:
+                r = made[int(c)]
+                x = (np.stack(group.to_list()) - r["pre_mean"]) / r["pre_scale"]
+                z = ((x - r["scaler_mean"]) / r["scaler_scale"]) @ r["whiten"].T
+                yield pd.DataFrame({"channel_index": [int(c)], "z": [z.tobytes()]})
+
+    return kept(series.mapInPandas(run, "channel_index int, z binary"))
+
+
+def rotations(blocks: DataFrame, sizes: dict[int, tuple[int, int]], max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> dict[int, np.ndarray]:
+    """FastICA's rotation of each channel's whitened windows: parallel fixed-point iteration with a log-cosh contrast.
+
+    blocks: (channel_index, z) with z the bytes of windows by components; sizes: windows and components
+    of each channel. A step is one pass over the blocks of the channels that still move. What a
+    channel moves should shrink; where it has not for eight steps, as when the iteration goes
+    to and fro between two rotations, its steps become half as long.
+    """
+    now = {c: _orthogonal(np.random.default_rng(seed).normal(size=(k, k))) for c, (_, k) in sizes.items()}
+    pace = {c: (1.0, np.inf, 0) for c in sizes}  # length of a step, least move so far, steps since then
+    moving = set(sizes)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        turn = {c: now[c] for c in moving}
+
+        def step(batches: Iterator[pd.DataFrame], turn: dict[int, np.ndarray] = turn) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for c, raw in zip(pdf["channel_index"], pdf["z"], strict=True):
+                    if c in turn:
+                        w = turn[c]
+                        z = np.frombuffer(raw).reshape(-1, len(w))
+                        g = np.tanh(z @ w.T)
+                        sums[c] = sums.get(c, 0) + np.column_stack([g.T @ z, (1 - g**2).sum(axis=0)])
+            for c, m in sums.items():
+                yield pd.DataFrame({"channel_index": c, "at": np.arange(m.size), "v": m.ravel()})
+
+        total = blocks.mapInPandas(step, "channel_index int, at int, v double").groupBy("channel_index", "at").agg(F.sum("v").alias("v")).toPandas()
+        for c, m in total.sort_values("at").groupby("channel_index")["v"]:
+            n, k = sizes[c]
+            w, m = now[c], m.to_numpy().reshape(k, k + 1) / n
+            fresh = _orthogonal(m[:, :k] - m[:, k:] * w)
+            cosine = (fresh * w).sum(axis=1)
+            moved = np.abs(np.abs(cosine) - 1).max()
+            length, least, since = pace[c]
+            least, since = (moved, 0) if moved < 0.9 * least else (least, since + 1)
+            if since == 8:
+                length, least, since = max(length / 2, 1 / 16), moved, 0
+            pace[c] = length, least, since
+            now[c] = fresh if length == 1 else _orthogonal((1 - length) * w + length * np.sign(cosine)[:, None] * fresh)
+            if moved < tol:
+                moving.discard(c)
+    return now
+
+
+def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int = 3, standardization: str = "legacy_timepoint", max_iter: int = 1000, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+    """Model rows, one a channel, of training windows (window_id, w).
+
+    standardization: `per_channel_train` scales each channel by one mean and deviation of all its training
+    values before the scaling by time point; `legacy_timepoint` and `none` do not.
+    """
+    if standardization not in STANDARDIZATIONS:
         raise ValueError(f"unknown standardisation: {standardization}")
     if method not in ("pca", "fastica"):
         raise ValueError(f"unknown method: {method}")
@@ -86,7 +142,7 @@ def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int
     made: dict[int, dict] = {}
     for c, (n, total, outer) in _sums(series.select("channel_index", "x")).items():
         mean, m, s = total / n, 0.0, 1.0
-        if standardization == "train_channel":
+        if standardization == "per_channel_train":
             m = float(mean.mean())
             s = float(np.sqrt(max(np.trace(outer) / n / len(mean) - m * m, 0.0))) or 1.0
         cov = outer / n - np.outer(mean, mean)
@@ -102,18 +158,11 @@ def fit(windows: DataFrame, channels: list[str], method: str = "fastica", k: int
         return windows.sparkSession.createDataFrame([tuple(plain(r.get(f)) for f in fields) for r in made.values()], MODEL)
     for r in made.values():
         r["whiten"] = whitening(r["cov"], min(k, r["n"], len(r["cov"])))
-    share = min([1.0, *(ica_windows / r["n"] for r in made.values())])
-    sample = series if share == 1 else series.where(F.pmod(F.xxhash64(F.lit(seed), "window_id"), F.lit(1 << 30)) < share * (1 << 30))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = made[int(key[0])]
-        x = np.stack(pdf.sort_values("window_id")["x"].to_list()).astype(np.float64)
-        x = ((x - r["pre_mean"]) / r["pre_scale"] - r["scaler_mean"]) / r["scaler_scale"]
-        unmix = rotation(r["whiten"] @ x.T, max_iter, tol, seed) @ r["whiten"]
-        one = r | {"n_components": len(unmix), "components": list(unmix), "mixing": list(np.linalg.pinv(unmix))}
-        return pd.DataFrame([{f: one.get(f) for f in fields}])
-
-    return sample.groupBy("channel_index").applyInPandas(run, MODEL)
+    turned = rotations(_packed(series, made), {c: (r["n"], len(r["whiten"])) for c, r in made.items()}, max_iter, tol, seed)
+    for c, r in made.items():
+        unmix = turned[c] @ r["whiten"]
+        r |= {"n_components": len(unmix), "components": unmix, "mixing": np.linalg.pinv(unmix)}
+    return windows.sparkSession.createDataFrame([tuple(plain(r.get(f)) for f in fields) for r in made.values()], MODEL)
 
 
 def _rows(model: DataFrame) -> list[dict]:
@@ -169,12 +218,12 @@ def summary(model: DataFrame) -> DataFrame:
     return model.agg(F.sum("n_components").alias("total_components"), F.max(F.size("scaler_mean")).alias("window_size"), F.array_sort(F.collect_list(F.struct("channel_index", "channel_name", "n_components"))).alias("channels"))
 
 
-def compact(windows: DataFrame, k: int = 8, method: str = "pca", seed: int = 42, ica_windows: int = 50_000) -> DataFrame:
+def compact(windows: DataFrame, k: int = 8, method: str = "pca", seed: int = 42) -> DataFrame:
     """Whole windows flattened to one series and reduced to k components, as values; each is the projection of the centred window."""
     if windows.isEmpty():
         return windows.drop("w").withColumn("values", F.array().cast("array<double>"))
     flat = windows.withColumn("w", F.array(F.flatten("w")))
-    model = fit(flat, ["all"], method, k, "none", seed=seed, ica_windows=ica_windows)
+    model = fit(flat, ["all"], method, k, "none", seed=seed)
     return transform(flat, model)
 
 

@@ -28,6 +28,7 @@ from sensorloom.tables import as_key, kept, looked_up
 SEGMENT_ROWS = 1_000_000
 QUANTILES = 256  # cuts of a group at most; between them segments are equal parts in time
 STEP = 16  # cuts are looked up by sixteens
+POINTS = 10_000  # grid points in an array
 
 
 def segmented(df: DataFrame, keys: list[str], by: str, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
@@ -147,3 +148,39 @@ def runs_long(df: DataFrame, order: list[str], gap_factor: float = 3.0, segment_
     so_far = starts.select("__g", "__s", F.coalesce(F.sum("k").over(_segments_before()), F.lit(0)).alias("__k"))
     local = F.sum("__new").over(_segment(order).rowsBetween(Window.unboundedPreceding, 0))
     return flagged(kept(limits.join(so_far, ["__g", "__s"]))).withColumn("run_id", (F.col("__k") + local).cast("int")).select(*df.columns, "run_id")
+
+
+def resample(df: DataFrame, keys: list[str], time: str, channels: list[str], step: float, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """keys, time and channels on a grid from each group's first time on, `step` apart, to its last time: linear between the two rows about a grid point.
+
+    Each row makes the grid points from its own time up to the next row's, so points meet their two
+    neighbours without a join; the next row of a segment's last one comes with its carry. A point at a row's
+    time has the row's values, of the last one where times repeat in no further order. Rows without a finite
+    time take no part; a null on either side of a point makes null.
+    """
+    rows = df.select(*keys, F.col(time).cast("double").alias(time), *[F.col(c).cast("double").alias(c) for c in channels]).where(F.abs(time) < float("inf"))
+    rows = segmented(rows, keys, time, segment_rows).withColumn("__row", F.struct(time, *channels))
+    ends = rows.groupBy("__g", "__s").agg(F.min("__row").alias("first"))
+    group = Window.partitionBy("__g").orderBy("__s")
+    carries = kept(ends.select("__g", "__s", F.lead("first").over(group).alias("__after"), F.first("first").over(group)[time].alias("__from")))
+    rows = looked_up(rows.withColumn("__next", F.lead("__row").over(_segment([time, *channels]))), carries, ["__g", "__s"], "inner")
+    rows = rows.withColumn("__next", F.coalesce("__next", "__after"))
+
+    def reached(t: Column) -> Column:
+        """The number of the first grid point at or after t."""
+        k = F.ceil((t - F.col("__from")) / step)
+        at = lambda k: F.col("__from") + k * F.lit(float(step))
+        return F.when(at(k - 1) >= t, k - 1).when(at(k) < t, k + 1).otherwise(k)
+
+    own, end = reached(F.col(time)), F.col("__next")[time]
+    # the last row of a group makes the point at its time, if there is one
+    last = F.when(end.isNotNull(), reached(end) - 1).when(F.col("__from") + own * F.lit(float(step)) == F.col(time), own)
+    rows = rows.withColumn("__k", own).withColumn("__l", last).where("__l >= __k")
+    # long gaps make their points in lots, so that no array is long
+    lots = rows.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__l") - F.col("__k")) / POINTS))))
+    low = F.col("__k") + F.col("__lot") * POINTS
+    points = lots.withColumn("__k", F.explode(F.sequence(low, F.least(low + POINTS - 1, F.col("__l")))))
+    points = points.withColumn("__t", F.col("__from") + F.col("__k") * F.lit(float(step)))
+    share = (F.col("__t") - F.col(time)) / (end - F.col(time))
+    filled = [F.when(F.col("__t") == F.col(time), F.col(c)).otherwise(F.col(c) + (F.col("__next")[c] - F.col(c)) * share).alias(c) for c in channels]
+    return points.select(*keys, F.col("__t").alias(time), *filled)

@@ -94,9 +94,12 @@ def load_config(path: str, strict: bool = True) -> PipelineConfig:
     return from_dict(load_config_file(path), strict)
 
 
+def resolved(config: PipelineConfig) -> dict:
+    """All settings with their values, as from_dict takes them."""
+    return {k: v for k, v in asdict(config).items() if k != "unread"}
+
+
 def save_config(config: PipelineConfig, path: str) -> None:
     """The resolved settings as JSON, which load_config reads back."""
-    resolved = asdict(config)
-    resolved.pop("unread")
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(resolved, indent=2, ensure_ascii=False), encoding="utf-8")
+    Path(path).write_text(json.dumps(resolved(config), indent=2, ensure_ascii=False), encoding="utf-8")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorloom.functions import text as tx
-from sensorloom.operators import candidates, clean, features, reduce, split, windows
+from sensorloom.operators import candidates, clean, features, reduce, scans, split, windows
 from sensorloom.plans.config import PipelineConfig
 from sensorloom.schemas import value_columns
 
@@ -21,20 +21,32 @@ class Preprocessed:
     windows: DataFrame
     features: DataFrame
     scaler: DataFrame
+    normalized: DataFrame | None
 
 
-def preprocess(recordings: DataFrame, channels: list[str], size: int = 256, stride: int = 128, order: list[str] | None = None, activities: list[int] | None = None, ratio: float = 0.8, gap_factor: float = 3.0) -> Preprocessed:
+def preprocess(recordings: DataFrame, channels: list[str], size: int = 256, stride: int = 128, order: list[str] | None = None, activities: list[int] | None = None, ratio: float = 0.8, gap_factor: float = 3.0, normalization: str = "none", segment_rows: int | None = None) -> Preprocessed:
     """Clean, fill, split into runs, cut windows, compute features; one lazy plan for each table.
 
-    Filling and run detection share the (subject, activity) exchange.
+    Filling and run detection share the (subject, activity) exchange. Windows and features hold the channels'
+    values; with normalization `zscore` there are also windows in units of the scaler. With segment_rows,
+    groups of more rows are scanned in segments, and no task holds a whole recording.
     """
     order = order or ["timestamp"]
     rows = recordings if activities is None else clean.select_activities(recordings, activities)
-    filled = clean.clean(rows, channels, order, ratio)
-    runs = clean.assign_runs(filled, order, gap_factor)
-    cut = windows.sliding_windows(runs, channels, size, stride, order)
+    if segment_rows is None:
+        filled = clean.clean(rows, channels, order, ratio)
+        runs = clean.assign_runs(filled, order, gap_factor)
+    else:
+        cut = scans.segmented(clean.valid_rows(rows, channels, ratio), list(clean.GROUP), order[0], segment_rows)
+        filled = scans.interpolate_long(cut, channels, order).dropna(subset=channels)
+        runs = scans.runs_long(filled, order, gap_factor).drop("__g", "__s")
+        filled = filled.drop("__g", "__s")
+    cut = windows.sliding_windows(runs, channels, size, stride, order, segment_rows=segment_rows)
     ids = ["window_id", "subject_id", "activity_id", "activity_name"]
-    return Preprocessed(runs, cut, features.window_features(cut, channels, ids), clean.channel_scaler(filled, channels))
+    scaler = clean.channel_scaler(filled, channels)
+    if normalization not in ("none", "zscore"):
+        raise ValueError(f"unknown normalisation: {normalization}")
+    return Preprocessed(runs, cut, features.window_features(cut, channels, ids), scaler, windows.zscore(cut, scaler, channels) if normalization == "zscore" else None)
 
 
 @dataclass
@@ -60,7 +72,7 @@ def build_dataset(cut: DataFrame, channels: list[str], config: PipelineConfig) -
     embedded = reduce.expand_values(reduce.transform(tagged.select(*ids, "w"), model), width)
     values = value_columns(embedded.columns)
     names = [*ids[:4], *values]
-    text = tx.permuted_record(names, values, e.input_tokens_precision) if e.permute_columns else tx.record(names, values, e.text_template, e.input_tokens_precision)
+    text = tx.permuted_record(names, values, e.input_tokens_precision, template=e.text_template) if e.permute_columns else tx.record(names, values, e.text_template, e.input_tokens_precision)
     return Dataset(model, embedded, embedded.select(text.alias("text"), *embedded.columns), split.split_profile(tagged))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import metrics as metrics_of
 from sensorloom.operators import split
 from sensorloom.schemas import OVERALL
+from sensorloom.sources import sensor
 
 
 def run_summary(runs: DataFrame, similarity: DataFrame, utility: DataFrame, keep_missing: bool = True) -> DataFrame:
@@ -73,6 +74,39 @@ def manifest_states(manifest: DataFrame, metrics: DataFrame, errors: DataFrame,
     return out.withColumn("status", status).drop("failed", "rows")
 
 
+METRICS = ("MDD", "ACD", "SD", "KD", "ED", "DTW", "SHR")
+
+
+def summarize_manifests(spark: SparkSession, manifests: list[str], metrics: tuple[str, ...] = METRICS, name: str = "similarity_metrics.csv") -> DataFrame:
+    """A row for each line of the manifests: manifest, manifest_index, run_name, metrics_path, status, error, counts, missing_metrics and the metrics.
+
+    A line names a file of a run's folder, whose metrics lie beside it. Files are listed, opened and parsed one by one, so
+    one that fails marks its own run: `missing` is not listed, `read_error` could not be opened or parsed, `empty`
+    has no rows, `missing_metrics` lacks some columns, else `ok`. Metrics are those of the overall row, or of the last row.
+    """
+    lines = None
+    for manifest in manifests:
+        rows = sensor.read_manifest(spark, manifest).select(F.lit(manifest.rsplit("/", 1)[-1]).alias("manifest"), F.col("index").alias("manifest_index"), "line")
+        lines = rows if lines is None else lines.unionByName(rows)
+    folder = F.regexp_replace("line", "/[^/]*$", "")
+    runs = lines.select("manifest", "manifest_index", F.element_at(F.split(folder, "/"), -1).alias("run_name"), F.concat(folder, F.lit(f"/{name}")).alias("metrics_path"))
+    files = sensor.read_csv_files(spark, runs.select(F.col("metrics_path").alias("path")), name)
+    out = runs.join(files.withColumnRenamed("path", "metrics_path"), "metrics_path", "left")
+    overall = F.get(F.filter("rows", lambda r: r["activity_name"] == OVERALL), F.lit(0))
+    source = F.coalesce(overall, F.try_element_at("rows", F.lit(-1)))
+    there = F.coalesce(F.col("header"), F.array().cast("array<string>"))
+    lacking = F.array_except(F.array(*[F.lit(m) for m in metrics]), there)
+    broken = F.col("error").isNotNull()
+    status = F.when(~F.coalesce(F.col("listed"), F.lit(False)), "missing").when(broken, "read_error").when(F.size("rows") == 0, "empty").when(F.size(lacking) > 0, "missing_metrics").otherwise("ok")
+    number = lambda c: source[c].try_cast("double")
+    whole = lambda c: F.when(~F.isnan(number(c)), number(c)).cast("long")
+    return out.select(
+        "manifest", "manifest_index", "run_name", "metrics_path", status.alias("status"), "error",
+        F.coalesce(F.size(F.filter("rows", lambda r: ~r["activity_name"].eqNullSafe(OVERALL))), F.lit(0)).alias("num_activity_rows"),
+        whole("num_real").alias("num_real"), whole("num_synthetic").alias("num_synthetic"), F.array_join(lacking, ",").alias("missing_metrics"), *[number(m).alias(m) for m in metrics],
+    )
+
+
 def refresh(summary: DataFrame, fresh: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
     """summary with its metrics overwritten by fresh ones, and ratios against baselines of the same plan."""
     new = fresh.select("run_name", *[F.col(m).alias(f"__{m}") for m in metrics])

@@ -111,6 +111,18 @@ def gap_runs(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d).runs.select("event_id", "subject_id", "activity_id", "run_id")
 
 
+HOUR = 3600.0
+
+
+@query(f"""WITH {FILLED}, ends AS (SELECT subject_id, min(timestamp) AS a, max(timestamp) AS b FROM filled GROUP BY subject_id),
+points AS (SELECT subject_id, a + unnest(range(0, floor((b - a) / {HOUR})::BIGINT + 1)) * {HOUR} AS t FROM ends),
+low AS (SELECT p.subject_id, p.t, f.timestamp AS t0, f.value AS v0, f.k AS k0 FROM points p ASOF JOIN filled f ON p.subject_id = f.subject_id AND p.t >= f.timestamp),
+met AS (SELECT l.*, f.timestamp AS t1, f.value AS v1, f.k AS k1 FROM low l ASOF LEFT JOIN filled f ON l.subject_id = f.subject_id AND l.t < f.timestamp)
+SELECT subject_id, round(t, 6) AS timestamp, round(CASE WHEN t = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS value, round(CASE WHEN t = t0 THEN k0 ELSE k0 + (k1 - k0) * (t - t0) / (t1 - t0) END, 6) AS k FROM met""")
+def resample_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scans.resample(_filled(spark, d), ["subject_id"], "timestamp", CH, HOUR))
+
+
 @query(f"WITH {RUNS} SELECT subject_id, activity_id, run_id, round(min(timestamp), 6) AS start, round(max(timestamp), 6) AS \"end\", round(max(timestamp) - min(timestamp), 6) AS duration FROM runs GROUP BY ALL")
 def run_durations(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.run_durations(_prepared(spark, d).runs))
@@ -638,7 +650,7 @@ def pca_embed(spark: SparkSession, d: str) -> DataFrame:
 
 def _roundtrip(spark, d, method: str, k: int) -> DataFrame:
     w = src.vectors_as_windows(spark, d).select("window_id", "w")
-    model = reduce.fit(w, SC, method, k, "train_channel")
+    model = reduce.fit(w, SC, method, k, "per_channel_train")
     back = reduce.inverse(reduce.transform(w, model), model)
     both = w.select("window_id", F.col("w").alias("r")).join(back.select("window_id", F.col("w").alias("s")), "window_id")
     return cd.prompt_errors(both).agg(F.count("*").alias("n"), F.round(F.max("rmse_to_prompt_real"), 6).alias("worst_rmse"))

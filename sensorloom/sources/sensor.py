@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +30,7 @@ def clean_number(c: Column) -> Column:
 def read_recordings(spark: SparkSession, path: str, subjects: list[int] | None = None) -> DataFrame:
     """Whitespace-separated `.dat` files of 54 columns with subject_id and source_file.
 
-    Files of other subjects are skipped by their name before they are read; rows of
+    Files of other subjects are pruned by their name before any is opened; rows of
     another width are refused when the plan runs.
     """
     lines = spark.read.option("pathGlobFilter", "*.dat").text(path).select("value", F.col("_metadata.file_name").alias("source_file"))
@@ -68,6 +71,57 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def read_csv_files(spark: SparkSession, paths: DataFrame, name: str = "*.csv") -> DataFrame:
+    """path, listed, error, header and rows (maps of text) of each distinct path: small CSV files with a header, each by itself.
+
+    Only files whose name matches `name` are opened.
+
+    The driver lists the paths' folders, so an absent file costs no failed read. A file that cannot be
+    opened or is no CSV text has an error and no rows; the others are not touched by it.
+    """
+    wanted = paths.select("path").distinct()
+    folders = [r[0] for r in wanted.select(F.regexp_replace("path", "/[^/]*$", "")).distinct().collect()]
+    found = {f: n for folder in folders for f, n in _sizes(spark, f"{folder}/{name}").items()}
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, "^file:/+", "/"), "/+", "/")
+    schema = "path string, listed boolean, error string, header array<string>, rows array<map<string,string>>"
+    listed = spark.createDataFrame(list(found.items()), "file string, size long").select(plain(F.col("file")).alias("key"), "size")
+    filled = [f for f, n in found.items() if n]
+    opened = spark.createDataFrame([], "key string, content binary")
+    if filled:
+        opened = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(filled).select(plain(F.col("path")).alias("key"), "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, size, content in zip(pdf["asked"], pdf["size"], pdf["content"], strict=True):
+                header, rows, error = None, None, None
+                if size == 0:
+                    error = "the file has no content"
+                elif size > 0 and content is None:
+                    error = "the file could not be opened"
+                elif size > 0:
+                    try:
+                        header, *lines = [r for r in csv.reader(content.decode("utf-8").splitlines(), strict=True) if r]
+                        if any(len(r) > len(header) for r in lines):
+                            raise ValueError("a row has more fields than the header")
+                        rows = [dict(zip(header, r, strict=False)) for r in lines]
+                    except (UnicodeDecodeError, ValueError, csv.Error) as e:
+                        header, error = None, str(e) or type(e).__name__
+                out.append((path, size >= 0, error, header, rows))
+            yield pd.DataFrame(out, columns=["path", "listed", "error", "header", "rows"])
+
+    names = wanted.select(F.col("path").alias("asked"), plain(F.col("path")).alias("key"))
+    met = names.join(listed, "key", "left").join(opened, "key", "left").select("asked", F.coalesce("size", F.lit(-1)).alias("size"), "content")
+    return met.mapInPandas(parse, schema)
+
+
+def _sizes(spark: SparkSession, pattern: str) -> dict[str, int]:
+    """Files that match the pattern, in any store that Spark reads, with their lengths."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(here)
+    return {f.getPath().toString(): f.getLen() for f in found or () if f.isFile()}
+
+
 def read_training_log(spark: SparkSession, csv: str, state: str, checkpoints: list[str] = ()) -> DataFrame:
     """step, loss, eval_loss from the first source that has rows: CSV, trainer state, checkpoint states."""
     schema = T.StructType([T.StructField("step", T.LongType()), T.StructField("loss", T.DoubleType()), T.StructField("eval_loss", T.DoubleType())])

@@ -1,10 +1,14 @@
-"""Sinks: Parquet tables by subject or split, JSON manifests, Markdown tables, metrics with a backup."""
+"""Sinks: Parquet tables by subject or split, JSON manifests, Markdown tables, metrics with a backup, versioned tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.plans.config import PipelineConfig, resolved
 from sensorloom.plans.reports import best_by
 
 
@@ -43,15 +47,94 @@ def write_filtered(selected: DataFrame, path: str) -> None:
     selected.write.mode("overwrite").partitionBy("filter_name").parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reads."""
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), here
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> None:
+    fs, here = _hadoop(spark, source)
+    if not fs.rename(here, _hadoop(spark, target)[1]):
+        raise OSError(f"{source} could not become {target}")
+
+
 def write_metrics(metrics: DataFrame, path: str, backup: str) -> None:
-    """Replace the metrics; what was there is kept once under backup."""
+    """Replace the metrics; what was there is kept once under backup.
+
+    The new table is written beside the old one first and takes its place by renames. A write that
+    fails leaves the old table where it was; if the job dies between the renames, `recover` finishes them.
+    """
     spark = metrics.sparkSession
-    jvm = spark.sparkContext._jvm
-    here, kept = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, backup))
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(here) and not fs.exists(kept):
-        fs.rename(here, kept)
-    metrics.write.mode("overwrite").parquet(path)
+    staged = f"{path}.next"
+    metrics.write.mode("overwrite").parquet(staged)
+    _swap(spark, path, staged, backup)
+
+
+def _swap(spark: SparkSession, path: str, staged: str, backup: str) -> None:
+    fs, here = _hadoop(spark, path)
+    if fs.exists(here):
+        if fs.exists(_hadoop(spark, backup)[1]):
+            fs.delete(here, True)
+        else:
+            _rename(spark, path, backup)
+    _rename(spark, staged, path)
+
+
+def recover(spark: SparkSession, path: str, backup: str) -> None:
+    """Finish an interrupted write_metrics: a whole staged table takes its place, a part of one is deleted."""
+    staged = f"{path}.next"
+    fs, next_ = _hadoop(spark, staged)
+    if fs.exists(_hadoop(spark, f"{staged}/_SUCCESS")[1]):
+        _swap(spark, path, staged, backup)
+    elif fs.exists(next_):
+        fs.delete(next_, True)
+
+
+def commit_table(df: DataFrame, path: str) -> int:
+    """A new version of the table under path; its number.
+
+    Data lie in `data/<uuid>`; a version exists once the file `versions/<number>` names them, which one
+    rename puts there. Readers take the greatest number, so they see all of a version or none of it, and
+    older versions stay readable. Of two writers that take the same number the second one fails.
+    """
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    df.write.parquet(f"{path}/data/{name}")
+    fs, versions = _hadoop(spark, f"{path}/versions")
+    fs.mkdirs(versions)
+    number = max(table_versions(spark, path), default=0) + 1
+    pending = _hadoop(spark, f"{path}/pending-{name}")[1]
+    out = fs.create(pending)
+    out.write(bytearray(name.encode()))
+    out.close()
+    target = _hadoop(spark, f"{path}/versions/{number:010d}")[1]
+    if fs.exists(target) or not fs.rename(pending, target):
+        fs.delete(pending, False)
+        raise OSError(f"version {number} of {path} was committed by another writer")
+    return number
+
+
+def table_versions(spark: SparkSession, path: str) -> list[int]:
+    fs, versions = _hadoop(spark, f"{path}/versions")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(versions)) if fs.exists(versions) else []
+
+
+def committed_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The newest version of a table of `commit_table`, or a given one."""
+    found = table_versions(spark, path)
+    if not found or version is not None and version not in found:
+        raise FileNotFoundError(f"no committed version {version or ''} in {path}")
+    name = spark.read.text(f"{path}/versions/{version or found[-1]:010d}").first()[0]
+    return spark.read.parquet(f"{path}/data/{name}")
+
+
+def write_evaluation(report: DataFrame, path: str, config: PipelineConfig) -> None:
+    """An evaluation's rows as a new version of its table, as CSV beside it, and the settings they come from."""
+    spark = report.sparkSession
+    commit_table(report, path)
+    save_table(committed_table(spark, path), f"{path}_csv")
+    spark.createDataFrame([(json.dumps(resolved(config), ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_config")
 
 
 def markdown_table(df: DataFrame, digits: int = 3) -> str:

@@ -99,7 +99,7 @@ def test_reducer_round_trip(spark):
     rows = [(i, [rng.normal(size=6).tolist(), rng.normal(size=6).tolist()]) for i in range(40)]
     w = spark.createDataFrame(rows, "window_id long, w array<array<double>>")
     for method in ("pca", "fastica"):
-        model = reduce.fit(w, ["a", "b"], method, 6, "train_channel")
+        model = reduce.fit(w, ["a", "b"], method, 6, "per_channel_train")
         back = {r.window_id: r.w for r in reduce.inverse(reduce.transform(w, model), model).collect()}
         assert all(np.allclose(back[i], x, atol=1e-6) for i, x in rows)
     with pytest.raises(ValueError):
@@ -182,7 +182,7 @@ def test_reducers_below_full_rank(spark):
     u, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
     vt = vt[:2] * np.sign(vt[np.arange(2), np.abs(vt[:2]).argmax(axis=1)])[:, None]
     assert np.allclose([got[i] for i in range(60)], (x - x.mean(axis=0)) @ vt.T)
-    model = reduce.fit(w, ["a", "b"], "pca", 2, "train_channel").orderBy("channel_index").collect()
+    model = reduce.fit(w, ["a", "b"], "pca", 2, "per_channel_train").orderBy("channel_index").collect()
     y = (x[:, :3] - x[:, :3].mean()) / x[:, :3].std()
     y = (y - y.mean(axis=0)) / y.std(axis=0)
     s = np.linalg.svd(y, compute_uv=False) ** 2

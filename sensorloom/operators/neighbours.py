@@ -1,16 +1,21 @@
 """Exact nearest neighbours by pivots and the triangle inequality.
 
 Training rows belong to the nearest of at most PIVOTS pivots, rows of the table taken by a hash.
-A cell's rows are dealt into blocks of about BLOCK rows, so that a cell of many rows is many
-blocks. A query first meets one block near it, which bounds its k-th distance. It then meets
-only blocks of cells that may hold a nearer row: with p the cell's pivot, o the query's nearest
-pivot and [low, high] the distances of the cell's rows to p, no row of the cell is nearer than
-d(q, p) - high, low - d(q, p) or (d(q, p) - d(q, o)) / 2. Inside a block only rows whose distance to
-p is within the bound of the query's own are compared. On data without clusters the bounds
-exclude little and all blocks are met; the result is the same.
-
-The driver holds the pivots and one row of counts for each; rows travel as packed blocks, and a
-task holds one block of rows and one of queries at a time.
+Cells lie along a tour from pivot to nearest pivot and are packed into blocks of about BLOCK
+rows in that order; a cell of more rows is several blocks. Queries are packed in the same way, by
+their nearest pivot, so that queries of one lot are near each other.
+
+A query first meets a few cells near it, which bounds its k-th distance. It then meets only cells
+that may hold a nearer row: with p the cell's pivot, o the query's nearest pivot and [low, high]
+the distances of the cell's rows to p, no row of the cell is nearer than d(q, p) - high,
+low - d(q, p) or (d(q, p) - d(q, o)) / 2, and rows whose own distance to p differs from the query's by
+more than the bound are passed over as well. A block travels to a lot if any of the lot's
+queries needs one of its cells. Distances are estimated by one matrix product; what lies within the
+bound is measured exactly. On data without clusters the bounds exclude little and all
+blocks are met; the result is the same.
+
+The driver holds the pivots and one row of counts for each; a task holds one block and one lot
+at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,7 +34,7 @@ from pyspark.sql.window import Window
 from sensorloom.tables import kept
 
 PIVOTS = 512
-BLOCK = 1024
+BLOCK = 2048
 SLACK = 1e-9  # of the distances, for rounding
 
 
@@ -40,110 +46,161 @@ def _usable(df: DataFrame) -> DataFrame:
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances between rows of a and b, from differences, so that equal rows have distance 0."""
     out = np.empty((len(a), len(b)))
-    for i, row in enumerate(a):
-        out[i] = np.sqrt(((b - row) ** 2).sum(axis=1))
+    for i, row in enumerate(b):
+        out[:, i] = np.sqrt(((a - row) ** 2).sum(axis=1))
     return out
 
 
+def _tour(pivots: np.ndarray) -> list[int]:
+    """The pivots in an order that goes to the nearest one not yet met."""
+    d = distances(pivots, pivots)
+    order, left = [0], set(range(1, len(pivots)))
+    while left:
+        rest = np.array(sorted(left))
+        order.append(int(rest[d[order[-1], rest].argmin()]))
+        left.remove(order[-1])
+    return order
+
+
+class Packing:
+    """For each cell its first bin and its number of bins; small cells that follow each other on the tour share one."""
+
+    def __init__(self, sizes: np.ndarray, tour: list[int]) -> None:
+        self.first, self.count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+        at, held = 0, 0
+        for c in tour:
+            if held and held + sizes[c] > BLOCK:
+                at, held = at + 1, 0
+            self.first[c], self.count[c] = at, max(1, -(-int(sizes[c]) // BLOCK))
+            if self.count[c] > 1:
+                at, held = at + int(self.count[c]), 0
+            else:
+                held += int(sizes[c])
+
+    def bin(self, *keys: str) -> Column:
+        """The bin of a row with a cell, dealt by a hash of the keys where the cell has several."""
+        of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+        return of(self.first) + F.pmod(F.xxhash64(*keys), of(self.count))
+
+
+def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """df with the nearest pivot's number as cell and the distance to it as away."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = distances(np.stack(pdf["x"].to_list()), pivots)
+                cell = d.argmin(axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
+
+    return kept(df.mapInPandas(nearest, df.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away")).schema))
+
+
 class Cells:
-    """Pivots with the number of rows, the blocks and the least and greatest distance of each cell."""
+    """The training rows by pivot: their number, the least and greatest distance, and the bins they are packed in."""
 
     def __init__(self, train: DataFrame) -> None:
         n = train.count()
         first = train.orderBy(F.xxhash64("train_id"), "train_id").limit(min(PIVOTS, max(1, int(n**0.5)))).select("x").collect()
         self.pivots = np.array([r.x for r in first], np.float64).reshape(len(first), -1)
-        pivots = self.pivots
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    d = distances(np.stack(pdf["x"].to_list()), pivots)
-                    cell = d.argmin(axis=1)
-                    yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
-
-        schema = train.select("train_id", "label", "x", F.lit(0).alias("cell"), F.lit(0.0).alias("away")).schema
-        self.rows = kept(train.select("train_id", "label", "x").mapInPandas(nearest, schema))
+        self.tour = _tour(self.pivots)
+        self.rows = _placed(train, self.pivots)
         self.size, self.low, self.high = np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first))
         for r in self.rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("low"), F.max("away").alias("high")).collect():
             self.size[r.cell], self.low[r.cell], self.high[r.cell] = r.n, r.low, r.high
-        self.blocks = -(-self.size // BLOCK)
-
-    def packed(self) -> DataFrame:
-        """A row for each block: its training rows' ids, labels, distances to the pivot and vectors, by distance."""
-        count = F.element_at(F.array(*[F.lit(int(b)) for b in self.blocks]), F.col("cell") + 1)
-        rows = self.rows.withColumn("block", F.pmod(F.xxhash64("train_id", "x"), count).cast("int"))
-        lists = rows.groupBy("cell", "block").agg(F.sort_array(F.collect_list(F.struct("away", "train_id", "label", "x"))).alias("r"))
-        return lists.select("cell", "block", F.col("r.train_id").alias("train_ids"), F.col("r.label").alias("train_labels"), F.col("r.away").alias("aways"), F.flatten("r.x").alias("txs"))
-
-
-def _visits(queries: DataFrame, cells: Cells, k: int, first: bool) -> DataFrame:
-    """A row for each query and block it meets: at first one block each of the nearest cells that hold k rows, then all that may hold a nearer row than `bound`."""
-    pivots, size, blocks, low, high = cells.pivots, cells.size, cells.blocks, cells.low, cells.high
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = distances(np.stack(pdf["x"].to_list()), pivots)
-            rows, cell, block = [], [], []
-            for i in range(len(d)):
-                if first:
-                    order = np.argsort(d[i], kind="stable")
-                    held = np.cumsum(size[order] // np.maximum(blocks[order], 1))
-                    go = order[: int(np.searchsorted(held, 2 * k)) + 1]
-                    go = go[size[go] > 0]
-                    at = np.full(len(go), i) % blocks[go]
-                else:
-                    bound = pdf["bound"].iloc[i]
-                    nearest = np.maximum(np.maximum(d[i] - high, low - d[i]), (d[i] - d[i].min()) / 2)
-                    go = np.flatnonzero((nearest <= bound + SLACK * (bound + d[i])) & (size > 0))
-                    at = np.concatenate([np.arange(b) for b in blocks[go]]) if len(go) else np.zeros(0, np.int64)
-                    go = np.repeat(go, blocks[go])
-                rows.append(np.full(len(go), i))
-                cell.append(go)
-                block.append(at)
-            rows, cell, block = map(np.concatenate, (rows, cell, block))
-            yield pdf.iloc[rows].assign(cell=cell.astype(np.int32), block=block.astype(np.int32), off=d[rows, cell])
-
-    return queries.mapInPandas(run, queries.select("*", F.lit(0).alias("cell"), F.lit(0).alias("block"), F.lit(0.0).alias("off")).schema)
-
-
-def _met(visits: DataFrame, packed: DataFrame, k: int, width: int) -> DataFrame:
-    """query_id, label, train_id, train_label, d and the rows compared: for each query and block it meets the k nearest rows within its bound."""
-    # a block's queries travel in lots, by a hash where they are many
-    n = visits.groupBy("cell", "block").agg(F.count("*").alias("m"))
-    visits = visits.join(n, ["cell", "block"]).withColumn("lot", F.pmod(F.xxhash64("query_id", "x"), F.ceil(F.col("m") / BLOCK)))
-    lots = visits.groupBy("cell", "block", "lot").agg(F.collect_list(F.struct("query_id", "label", "x", "off", "bound")).alias("q"))
-    lots = lots.select("cell", "block", F.col("q.query_id").alias("query_ids"), F.col("q.label").alias("labels"), F.flatten("q.x").alias("xs"), F.col("q.off").alias("offs"), F.col("q.bound").alias("bounds"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.packing = Packing(self.size, self.tour)
+
+    def blocks(self) -> DataFrame:
+        """A row for each bin: its rows' cells, distances to the pivot, ids, labels and vectors, by cell and distance."""
+        lists = self.rows.groupBy(self.packing.bin("train_id", "x").alias("bin")).agg(F.sort_array(F.collect_list(F.struct("cell", "away", "train_id", "label", "x"))).alias("r"))
+        return lists.select("bin", F.col("r.cell").alias("cells"), F.col("r.away").alias("aways"), F.col("r.train_id").alias("train_ids"), F.col("r.label").alias("train_labels"), F.flatten("r.x").alias("txs"))
+
+    def needed(self, d: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """For each query, a row of distances to the pivots, the cells that may hold a row within its bound."""
+        nearest = np.maximum(np.maximum(d - self.high, self.low - d), (d - d.min(axis=1, keepdims=True)) / 2)
+        room = bounds[:, None] + SLACK * (np.where(np.isfinite(bounds), bounds, 0)[:, None] + d)
+        return (nearest <= room) & (self.size > 0)
+
+    def close(self, d: np.ndarray, k: int) -> np.ndarray:
+        """For each query the nearest cells that hold 2 k rows in one of their bins each."""
+        out = np.zeros(d.shape, bool)
+        held = self.size // self.packing.count
+        for i, order in enumerate(np.argsort(d, axis=1, kind="stable")):
+            out[i, order[: int(np.searchsorted(np.cumsum(held[order]), 2 * k)) + 1]] = True
+        return out & (self.size > 0)
+
+
+def _met(lots: DataFrame, cells: Cells, blocks: DataFrame, k: int, first: bool) -> DataFrame:
+    """query_id, label, train_id, train_label, d: of each lot and block that meet the k nearest rows of each query; and the pairs compared for the query there."""
+    pivots, packing, width = cells.pivots, cells.packing, cells.pivots.shape[1]
+    plan = Cells.__new__(Cells)  # what tasks need of the cells, without the frame
+    plan.size, plan.low, plan.high, plan.packing = cells.size, cells.low, cells.high, packing
+
+    def wanted(q: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = distances(q, pivots)
+        return d, plan.close(d, k) if first else plan.needed(d, bounds)
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = {c: batch[c][i].values for c in batch.schema.names if c not in ("cell", "block")}
+                lot, q = batch["lot"][i].as_py(), batch["xs"][i].values.to_numpy().reshape(-1, width)
+                need = wanted(q, batch["bounds"][i].values.to_numpy())[1].any(axis=0)
+                bins = set()
+                for c in np.flatnonzero(need).tolist():
+                    start, n = int(packing.first[c]), int(packing.count[c])
+                    bins |= {start + lot % n} if first else set(range(start, start + n))
+                yield pa.RecordBatch.from_arrays([pa.array([lot] * len(bins), pa.int64()), pa.array(sorted(bins), pa.int64())], names=["lot", "bin"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch[c][i].values for c in batch.schema.names if c not in ("lot", "bin")}
                 q, t = (cell[c].to_numpy().reshape(-1, width) for c in ("xs", "txs"))
-                offs, bounds, aways = (cell[c].to_numpy() for c in ("offs", "bounds", "aways"))
-                at, to, d, seen = [], [], [], []
-                room = SLACK * (bounds + offs)
-                room = np.where(np.isfinite(room), room, 0)
-                froms, tos = np.searchsorted(aways, offs - bounds - room), np.searchsorted(aways, offs + bounds + room, side="right")
-                for j in range(len(q)):
-                    a, b = froms[j], tos[j]
-                    if a < b:
-                        own = np.sqrt(((t[a:b] - q[j]) ** 2).sum(axis=1))
-                        best = np.lexsort((cell["train_ids"].slice(a, b - a).to_numpy(zero_copy_only=False), own))[:k] if b - a > k else np.arange(b - a)
-                        at.append(np.full(len(best), j))
-                        to.append(best + a)
-                        d.append(own[best])
-                        seen.append(np.full(len(best), b - a))
-                if at:
-                    at, to = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
-                    yield pa.RecordBatch.from_arrays(
-                        [cell["query_ids"].take(at), cell["labels"].take(at), cell["train_ids"].take(to), cell["train_labels"].take(to), pa.array(np.concatenate(d)), pa.array(np.concatenate(seen), pa.int64())],
-                        names=["query_id", "label", "train_id", "train_label", "d", "compared"],
-                    )
-
-    schema = lots.join(packed, ["cell", "block"]).select(F.get("query_ids", F.lit(0)).alias("query_id"), F.get("labels", F.lit(0)).alias("label"), F.get("train_ids", F.lit(0)).alias("train_id"), F.get("train_labels", F.lit(0)).alias("train_label"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared")).schema
-    return lots.join(packed, ["cell", "block"]).mapInArrow(run, schema)
+                bounds, aways, of = (cell[c].to_numpy() for c in ("bounds", "aways", "cells"))
+                if first:
+                    bounds = np.full(len(q), np.inf)
+                d, need = wanted(q, bounds)
+                rank = pc.rank(cell["train_ids"], tiebreaker="dense").to_numpy()
+                qq, tt = (q**2).sum(axis=1), (t**2).sum(axis=1)
+                at, to, seen = [], [], np.zeros(len(q), np.int64)
+                for c in np.unique(of).tolist():
+                    a, b = np.searchsorted(of, [c, c + 1])
+                    asks = np.flatnonzero(need[:, c])
+                    if not len(asks):
+                        continue
+                    limit = bounds[asks]
+                    room = limit + SLACK * (np.where(np.isfinite(limit), limit, 0) + d[asks, c])
+                    low, high = np.searchsorted(aways[a:b], d[asks, c] - room), np.searchsorted(aways[a:b], d[asks, c] + room, side="right")
+                    seen[asks] += np.maximum(high - low, 0)
+                    square = qq[asks, None] + tt[None, a:b] - 2 * (q[asks] @ t[a:b].T)
+                    place = np.arange(b - a)
+                    near = (square <= room[:, None] ** 2 + SLACK * (qq[asks, None] + tt[None, a:b])) & (place >= low[:, None]) & (place < high[:, None])
+                    x, y = np.nonzero(near)
+                    at.append(asks[x])
+                    to.append(y + a)
+                if not at:
+                    continue
+                at, to = np.concatenate(at), np.concatenate(to)
+                exact = np.empty(len(at))
+                for s in range(0, len(at), 1 << 16):
+                    exact[s : s + (1 << 16)] = np.sqrt(((q[at[s : s + (1 << 16)]] - t[to[s : s + (1 << 16)]]) ** 2).sum(axis=1))
+                order = np.lexsort((rank[to], exact, at))
+                at, to, exact = at[order], to[order], exact[order]
+                best = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, to, exact = at[best], to[best], exact[best]
+                take = lambda name, index: cell[name].take(pa.array(index))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([take("query_ids", at), take("labels", at), take("train_ids", to), take("train_labels", to), pa.array(exact), pa.array(seen[at])], names=["query_id", "label", "train_id", "train_label", "d", "compared"])
+
+    pairs = lots.select("lot", "xs", "bounds").mapInArrow(meetings, "lot long, bin long")
+    both = pairs.join(lots, "lot").join(blocks, "bin")
+    one = lambda c: F.get(c, F.lit(0)).alias(c[:-1])
+    schema = both.select(*[one(c) for c in ("query_ids", "labels", "train_ids", "train_labels")], F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared")).schema
+    return both.mapInArrow(compare, schema)
+
+
+def _lots(queries: DataFrame, packing: Packing) -> DataFrame:
+    lists = queries.groupBy(packing.bin("query_id", "x").cast("long").alias("lot")).agg(F.collect_list(F.struct("query_id", "label", "x", "bound")).alias("q"))
+    return lists.select("lot", F.col("q.query_id").alias("query_ids"), F.col("q.label").alias("labels"), F.flatten("q.x").alias("xs"), F.col("q.bound").alias("bounds"))
 
 
 def _nearest(met: DataFrame, k: int) -> DataFrame:
@@ -158,14 +215,18 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Ids are distinct on either side. Rows of either side whose vector is null or has null, NaN or
     infinite components take no part; no training rows give no rows.
     """
-    train, queries = kept(_usable(train).select("train_id", "label", "x")), kept(_usable(queries).select("query_id", "label", "x"))
+    train, queries = kept(_usable(train).select("train_id", "label", "x")), _usable(queries).select("query_id", "label", "x")
     if train.isEmpty():
         return train.sparkSession.createDataFrame([], T.StructType([*queries.select("query_id", "label").schema, train.schema["train_id"], T.StructField("train_label", train.schema["label"].dataType), T.StructField("d", T.DoubleType())]))
     cells = Cells(train)
-    packed, width = cells.packed(), cells.pivots.shape[1]
-    start = _visits(queries.withColumn("bound", F.lit(float("inf"))), cells, k, True)
-    met = _nearest(_met(start, packed, k, width), k).groupBy("query_id").agg(F.max("d").alias("d"), F.count("*").alias("n"))
+    blocks = cells.blocks()
+    asked = _placed(queries, cells.pivots)
+    sizes = np.zeros(len(cells.pivots), np.int64)
+    for r in asked.groupBy("cell").count().collect():
+        sizes[r.cell] = r["count"]
+    packing = Packing(sizes, cells.tour)
+    met = _nearest(_met(_lots(asked.withColumn("bound", F.lit(float("inf"))), packing), cells, blocks, k, True), k).groupBy("query_id").agg(F.max("d").alias("d"), F.count("*").alias("n"))
     # fewer than k rows bound nothing
     bounds = kept(met.select("query_id", F.when(F.col("n") >= k, F.col("d")).otherwise(float("inf")).alias("bound")))
-    bounded = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    return _nearest(_met(_visits(bounded, cells, k, False), packed, k, width), k).drop("r", "compared")
+    bounded = asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    return _nearest(_met(_lots(bounded, packing), cells, blocks, k, False), k).drop("r", "compared")

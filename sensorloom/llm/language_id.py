@@ -5,10 +5,16 @@ at either end of a word; digits and ASCII punctuation act as spaces. Each subwor
 hashed to a row of an embedding table, the rows are averaged, and a linear softmax
 gives the languages. Both are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled rows (per_language rows of each language at most, chosen by
-a hash of doc_id). A fifth of the sample is kept for calibration: a temperature fitted
-there makes the score a probability, and a text is accepted when its score is at least
-the score that all but a thousandth of the calibration texts reach, and never needed to
-exceed one half.
+a hash of doc_id). A fifth of the sample is kept for calibration.
+
+Rejection. A softmax is sure of a language even of texts in none of them, so the score has
+two factors. The probability is calibrated by a temperature fitted on the calibration
+texts with smoothed labels, which keeps it below certainty where languages separate
+perfectly. The evidence is the share of a text's subwords that training texts held, with
+PRIOR subwords more that count as known, so that short texts are not judged by one odd word. A
+text is accepted when its evidence is at least 1 - UNKNOWN, or less where all but a
+thousandth of the calibration texts have less, and its score at least what all but a
+thousandth of the rightly named calibration texts reach, and never more than one half.
 
 Prediction needs only the table of embedding times softmax weights, so it is one pass
 over the text with no state that grows with the corpus.
@@ -31,11 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS, WIDTH = 1 << 16, 16
+KNOWN = 1 << 22  # places of the set of known subwords
+UNKNOWN = 0.2  # share of unknown subwords that a text may have
+PRIOR = 20
+SMOOTHING = 0.02  # of the labels that fit the temperature
+STEPS = 6000  # of gradient descent at least, by more epochs over a small sample
 _FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 
 
 def subwords(text: bytes) -> np.ndarray:
-    """Hashes of the text's byte n-grams that lie within one word and its bounding spaces."""
+    """Hashes below KNOWN of the text's byte n-grams that lie within one word and its bounding spaces; the first 16 bits are the bucket."""
     folded = b" " + b" ".join(text.translate(_FOLD).split()) + b" "
     b = np.frombuffer(folded, dtype=np.uint8).astype(np.uint32)
     if len(b) < 3:
@@ -52,7 +63,7 @@ def subwords(text: bytes) -> np.ndarray:
         else:
             inner = np.zeros(len(h), dtype=bool)
         g = h[~inner]
-        out.append((g ^ (g >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(16))
+        out.append((g ^ (g >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(10))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -62,18 +73,20 @@ def has_letter(text: str) -> bool:
 
 @dataclass
 class Model:
-    """languages in order; weights: a row of logits for each subword bucket."""
+    """languages in order; weights: a row of logits for each subword bucket; known: whether training texts held a subword; least score and evidence of accepted texts."""
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    known: np.ndarray | None = None
     temperature: float = 1.0
     threshold: float = 0.0
+    least_evidence: float = 0.0
 
-    def logits(self, text: bytes) -> np.ndarray:
-        ids = subwords(text)
-        if not len(ids):
+    def logits(self, grams: np.ndarray) -> np.ndarray:
+        if not len(grams):
             return self.bias
+        ids = grams >> 6
         counts = np.bincount(ids, minlength=BUCKETS) if len(ids) > 4 * BUCKETS else None
         total = counts @ self.weights if counts is not None else self.weights[ids].sum(axis=0, dtype=np.float64)
         return total / len(ids) + self.bias
@@ -81,9 +94,15 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.languages or text is None or not has_letter(text):
             return "und", 0.0, False
-        p = softmax(self.logits(text.encode()) / self.temperature)
-        best = int(np.argmax(p))
-        return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
+        grams = subwords(text.encode())
+        p = softmax(self.logits(grams) / self.temperature)
+        best, sure = int(np.argmax(p)), evidence(grams, self.known)
+        score = float(p[best]) * sure
+        return self.languages[best], score, score >= self.threshold and sure >= self.least_evidence
+
+
+def evidence(grams: np.ndarray, known: np.ndarray) -> float:
+    return (int(known[grams].sum()) + PRIOR) / (len(grams) + PRIOR)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -97,17 +116,19 @@ def train(rows: list[tuple[int, str, str]], epochs: int = 4, rate: float = 0.5,
     languages = sorted({r[2] for r in rows})
     index = {v: i for i, v in enumerate(languages)}
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(KNOWN, bool))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH))
     lin, bias = np.zeros((len(languages), WIDTH)), np.zeros(len(languages))
     bags = []
     for doc_id, text, lang in rows:
-        ids, counts = np.unique(subwords(text.encode()), return_counts=True)
+        grams = subwords(text.encode())
+        ids, counts = np.unique(grams >> 6, return_counts=True)
         if len(ids):
             bags.append((ids, counts / counts.sum(), index[lang], zlib.crc32(f"part {doc_id}".encode()) % 5 == 0, text))
     fit = [b for b in bags if not b[3]] or bags
     held = [b for b in bags if b[3]] or bags
+    epochs = max(epochs, -(-STEPS // max(len(fit), 1)))
     steps, done = epochs * len(fit), 0
     for _ in range(epochs):
         for k in rng.permutation(len(fit)):
@@ -121,19 +142,27 @@ def train(rows: list[tuple[int, str, str]], epochs: int = 4, rate: float = 0.5,
             lin -= lr * np.outer(g, hidden)
             bias -= lr * 0.1 * g
             emb[ids] -= lr * 10 * np.outer(share, back)
-    model = Model(languages, (emb @ lin.T).astype(np.float32), bias)
+    known = np.zeros(KNOWN, bool)
+    for *_, text in fit:
+        known[subwords(text.encode())] = True
+    model = Model(languages, (emb @ lin.T).astype(np.float32), bias, known)
     raw = np.array([share @ model.weights[ids] + bias for ids, share, *_ in held])
     truth = np.array([y for _, _, y, *_ in held])
 
     def loss(t: float) -> float:
         z = raw / t
         z = z - z.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
-
-    model.temperature = min(np.geomspace(0.01, 10, 91), key=loss)
-    best = np.array([softmax(z / model.temperature).max() for z in raw])
-    right = best[raw.argmax(axis=1) == truth]
-    model.threshold = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.5
+        z = np.log(np.exp(z).sum(axis=1, keepdims=True)) - z
+        return float(((1 - SMOOTHING) * z[np.arange(len(z)), truth] + SMOOTHING * z.mean(axis=1)).mean())
+
+    model.temperature = min(np.geomspace(0.001, 100, 251), key=loss)
+    sure = np.array([evidence(subwords(text.encode()), known) for *_, text in held])
+    score = np.array([softmax(z / model.temperature).max() for z in raw]) * sure
+    right = raw.argmax(axis=1) == truth
+    model.threshold = float(min(0.5, np.quantile(score[right], 0.001))) if right.any() else 0.5
+    model.least_evidence = float(min(1 - UNKNOWN, np.quantile(sure, 0.001)))
+    for *_, text in held:
+        known[subwords(text.encode())] = True
     return model
 
 

@@ -10,7 +10,8 @@ that may hold a nearer row: with p the cell's pivot, o the query's nearest pivot
 the distances of the cell's rows to p, no row of the cell is nearer than d(q, p) - high,
 low - d(q, p) or (d(q, p) - d(q, o)) / 2, and rows whose own distance to p differs from the query's by
 more than the bound are passed over as well. A block travels to a lot if any of the lot's
-queries needs one of its cells. Distances are estimated by one matrix product; what lies within the
+queries needs one of its cells; a lot meets up to TOGETHER blocks in a row, each with the bounds that those
+before it have left. Distances are estimated by one matrix product; what lies within the
 bound is measured exactly. On data without clusters the bounds exclude little and all
 blocks are met; the result is the same.
 
@@ -35,6 +36,7 @@ from sensorloom.tables import kept
 
 PIVOTS = 512
 BLOCK = 2048
+TOGETHER = 16  # blocks that a lot meets one after the other
 SLACK = 1e-9  # of the distances, for rounding
 
 
@@ -130,72 +132,98 @@ class Cells:
         return out & (self.size > 0)
 
 
+class _Lot:
+    """Queries of a lot with the nearest rows met so far, which tighten their bounds."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, plan: Cells, k: int, first: bool) -> None:
+        cell = {c: batch[c][i].values for c in ("query_ids", "labels", "xs", "bounds")}
+        self.ids, self.labels, self.k, self.held = cell["query_ids"], cell["labels"], k, None
+        self.q = cell["xs"].to_numpy().reshape(-1, plan.pivots.shape[1])
+        self.bounds = np.full(len(self.q), np.inf) if first else cell["bounds"].to_numpy().copy()
+        self.d = distances(self.q, plan.pivots)
+        self.need = plan.close(self.d, k) if first else plan.needed(self.d, self.bounds)
+        self.square, self.seen = (self.q**2).sum(axis=1), np.zeros(len(self.q), np.int64)
+
+    def meet(self, batch: pa.RecordBatch, i: int) -> None:
+        cell = {c: batch[c][i].values for c in ("cells", "aways", "train_ids", "train_labels", "txs")}
+        t, aways, of = cell["txs"].to_numpy().reshape(len(cell["cells"]), -1), cell["aways"].to_numpy(), cell["cells"].to_numpy()
+        square = (t**2).sum(axis=1)
+        at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for c in np.unique(of).tolist():
+            a, b = np.searchsorted(of, [c, c + 1])
+            asks = np.flatnonzero(self.need[:, c])
+            limit = self.bounds[asks]
+            room = limit + SLACK * (np.where(np.isfinite(limit), limit, 0) + self.d[asks, c])
+            low, high = np.searchsorted(aways[a:b], self.d[asks, c] - room), np.searchsorted(aways[a:b], self.d[asks, c] + room, side="right")
+            some = high > low
+            asks, room, low, high = asks[some], room[some], low[some], high[some]
+            if not len(asks):
+                continue
+            self.seen[asks] += high - low
+            sums = self.square[asks, None] + square[None, a:b]
+            place = np.arange(b - a)
+            near = (sums - 2 * (self.q[asks] @ t[a:b].T) <= room[:, None] ** 2 + SLACK * sums) & (place >= low[:, None]) & (place < high[:, None])
+            x, y = np.nonzero(near)
+            at.append(asks[x])
+            to.append(y + a)
+        at, to = np.concatenate(at), np.concatenate(to)
+        exact = np.empty(len(at))
+        for s in range(0, len(at), 1 << 16):
+            exact[s : s + (1 << 16)] = np.sqrt(((self.q[at[s : s + (1 << 16)]] - t[to[s : s + (1 << 16)]]) ** 2).sum(axis=1))
+        new = pa.table({"at": at, "d": exact, "train_id": cell["train_ids"].take(pa.array(to)), "train_label": cell["train_labels"].take(pa.array(to))})
+        both = new if self.held is None else pa.concat_tables([self.held, new])
+        at, d = both["at"].to_numpy(), both["d"].to_numpy()
+        order = np.lexsort((pc.rank(both["train_id"], tiebreaker="dense").to_numpy(), d, at))
+        nth = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        kept_rows = order[nth < self.k]
+        last = order[nth == self.k - 1]  # the k-th of those queries that have k
+        self.bounds[at[last]] = np.minimum(self.bounds[at[last]], d[last])
+        self.held = both.take(pa.array(kept_rows))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None and self.held.num_rows:
+            at = pa.array(self.held["at"].to_numpy())
+            columns = [self.ids.take(at), self.labels.take(at), self.held["train_id"], self.held["train_label"], self.held["d"], pa.array(self.seen[at.to_numpy()])]
+            yield from pa.table(columns, names=["query_id", "label", "train_id", "train_label", "d", "compared"]).to_batches()
+
+
 def _met(lots: DataFrame, cells: Cells, blocks: DataFrame, k: int, first: bool) -> DataFrame:
-    """query_id, label, train_id, train_label, d: of each lot and block that meet the k nearest rows of each query; and the pairs compared for the query there."""
-    pivots, packing, width = cells.pivots, cells.packing, cells.pivots.shape[1]
+    """query_id, label, train_id, train_label, d: of each lot and TOGETHER blocks that it meets the k nearest rows of each query; and the pairs compared for the query there."""
     plan = Cells.__new__(Cells)  # what tasks need of the cells, without the frame
-    plan.size, plan.low, plan.high, plan.packing = cells.size, cells.low, cells.high, packing
-
-    def wanted(q: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = distances(q, pivots)
-        return d, plan.close(d, k) if first else plan.needed(d, bounds)
+    plan.pivots, plan.size, plan.low, plan.high, plan.packing = cells.pivots, cells.size, cells.low, cells.high, cells.packing
 
     def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lot, q = batch["lot"][i].as_py(), batch["xs"][i].values.to_numpy().reshape(-1, width)
-                need = wanted(q, batch["bounds"][i].values.to_numpy())[1].any(axis=0)
+                lot = batch["lot"][i].as_py()
                 bins = set()
-                for c in np.flatnonzero(need).tolist():
-                    start, n = int(packing.first[c]), int(packing.count[c])
+                for c in np.flatnonzero(_Lot(batch, i, plan, k, first).need.any(axis=0)).tolist():
+                    start, n = int(plan.packing.first[c]), int(plan.packing.count[c])
                     bins |= {start + lot % n} if first else set(range(start, start + n))
-                yield pa.RecordBatch.from_arrays([pa.array([lot] * len(bins), pa.int64()), pa.array(sorted(bins), pa.int64())], names=["lot", "bin"])
+                part = np.arange(len(bins)) // TOGETHER
+                yield pa.RecordBatch.from_arrays([pa.array([lot] * len(bins), pa.int64()), pa.array(part), pa.array(sorted(bins), pa.int64())], names=["lot", "part", "bin"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, key = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = {c: batch[c][i].values for c in batch.schema.names if c not in ("lot", "bin")}
-                q, t = (cell[c].to_numpy().reshape(-1, width) for c in ("xs", "txs"))
-                bounds, aways, of = (cell[c].to_numpy() for c in ("bounds", "aways", "cells"))
-                if first:
-                    bounds = np.full(len(q), np.inf)
-                d, need = wanted(q, bounds)
-                rank = pc.rank(cell["train_ids"], tiebreaker="dense").to_numpy()
-                qq, tt = (q**2).sum(axis=1), (t**2).sum(axis=1)
-                at, to, seen = [], [], np.zeros(len(q), np.int64)
-                for c in np.unique(of).tolist():
-                    a, b = np.searchsorted(of, [c, c + 1])
-                    asks = np.flatnonzero(need[:, c])
-                    if not len(asks):
-                        continue
-                    limit = bounds[asks]
-                    room = limit + SLACK * (np.where(np.isfinite(limit), limit, 0) + d[asks, c])
-                    low, high = np.searchsorted(aways[a:b], d[asks, c] - room), np.searchsorted(aways[a:b], d[asks, c] + room, side="right")
-                    seen[asks] += np.maximum(high - low, 0)
-                    square = qq[asks, None] + tt[None, a:b] - 2 * (q[asks] @ t[a:b].T)
-                    place = np.arange(b - a)
-                    near = (square <= room[:, None] ** 2 + SLACK * (qq[asks, None] + tt[None, a:b])) & (place >= low[:, None]) & (place < high[:, None])
-                    x, y = np.nonzero(near)
-                    at.append(asks[x])
-                    to.append(y + a)
-                if not at:
-                    continue
-                at, to = np.concatenate(at), np.concatenate(to)
-                exact = np.empty(len(at))
-                for s in range(0, len(at), 1 << 16):
-                    exact[s : s + (1 << 16)] = np.sqrt(((q[at[s : s + (1 << 16)]] - t[to[s : s + (1 << 16)]]) ** 2).sum(axis=1))
-                order = np.lexsort((rank[to], exact, at))
-                at, to, exact = at[order], to[order], exact[order]
-                best = np.arange(len(at)) - np.searchsorted(at, at) < k
-                at, to, exact = at[best], to[best], exact[best]
-                take = lambda name, index: cell[name].take(pa.array(index))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([take("query_ids", at), take("labels", at), take("train_ids", to), take("train_labels", to), pa.array(exact), pa.array(seen[at])], names=["query_id", "label", "train_id", "train_label", "d", "compared"])
-
-    pairs = lots.select("lot", "xs", "bounds").mapInArrow(meetings, "lot long, bin long")
-    both = pairs.join(lots, "lot").join(blocks, "bin")
+                if batch["bin"][i].as_py() is None:  # the lot itself comes before its blocks
+                    if now is not None:
+                        yield from now.rows()
+                    now, key = _Lot(batch, i, plan, k, first), (batch["lot"][i].as_py(), batch["part"][i].as_py())
+                else:
+                    assert key == (batch["lot"][i].as_py(), batch["part"][i].as_py())
+                    now.meet(batch, i)
+        if now is not None:
+            yield from now.rows()
+
+    pairs = kept(lots.mapInArrow(meetings, "lot long, part long, bin long"))
+    own = pairs.select("lot", "part").distinct().join(lots, "lot")
+    met = pairs.join(blocks, "bin")
+    dealt = own.unionByName(met, allowMissingColumns=True).repartition("lot", "part").sortWithinPartitions("lot", "part", F.asc_nulls_first("bin"))
     one = lambda c: F.get(c, F.lit(0)).alias(c[:-1])
-    schema = both.select(*[one(c) for c in ("query_ids", "labels", "train_ids", "train_labels")], F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared")).schema
-    return both.mapInArrow(compare, schema)
+    schema = dealt.select(*[one(c) for c in ("query_ids", "labels", "train_ids", "train_labels")], F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("compared")).schema
+    return dealt.mapInArrow(compare, schema)
 
 
 def _lots(queries: DataFrame, packing: Packing) -> DataFrame:

@@ -167,25 +167,31 @@ def _encode(x: np.ndarray, shapes: np.ndarray, gain: np.ndarray, at: np.ndarray,
     """Sparse codes of all series at once, by coordinate descent over the shapes in place; the objective.
 
     With the other shapes taken off, a shape goes where it correlates most with what is left
-    of a series, with the soft-thresholded least-squares gain.
+    of a series, with the soft-thresholded least-squares gain. Each series is done when its own
+    objective settles, so codes do not depend on the series beside it.
     """
     length, energy = shapes.shape[1], np.maximum((shapes**2).sum(axis=1), 1e-12)
-    rows = np.arange(len(x))
-    left, before = x - _rebuilt(shapes, gain, at, x.shape[1]), np.inf
+    reach = np.arange(length)
+    left, before, live = x - _rebuilt(shapes, gain, at, x.shape[1]), np.full(len(x), np.inf), np.arange(len(x))
     for _ in range(sweeps):
+        rest, g, o = left[live], gain[live], at[live]
+        rows = np.arange(len(live))
         for k in range(len(shapes)):
-            span = at[:, k, None] + np.arange(length)
-            left[rows[:, None], span] += gain[:, k, None] * shapes[k]
-            match = np.lib.stride_tricks.sliding_window_view(left, length, axis=1) @ shapes[k]
-            at[:, k] = np.abs(match).argmax(axis=1)
-            top = match[rows, at[:, k]]
-            gain[:, k] = np.sign(top) * np.maximum(np.abs(top) - penalty, 0.0) / energy[k]
-            left[rows[:, None], at[:, k, None] + np.arange(length)] -= gain[:, k, None] * shapes[k]
-        now = float(0.5 * (left**2).sum() + penalty * np.abs(gain).sum())
-        if before - now <= epsilon * before:
+            rest[rows[:, None], o[:, k, None] + reach] += g[:, k, None] * shapes[k]
+            match = np.lib.stride_tricks.sliding_window_view(rest, length, axis=1) @ shapes[k]
+            o[:, k] = np.abs(match).argmax(axis=1)
+            top = match[rows, o[:, k]]
+            g[:, k] = np.sign(top) * np.maximum(np.abs(top) - penalty, 0.0) / energy[k]
+            rest[rows[:, None], o[:, k, None] + reach] -= g[:, k, None] * shapes[k]
+        left[live], gain[live], at[live] = rest, g, o
+        now = 0.5 * (rest**2).sum(axis=1) + penalty * np.abs(g).sum(axis=1)
+        going = before[live] - now > epsilon * before[live]
+        going |= np.isinf(before[live])
+        before[live] = now
+        live = live[going]
+        if not len(live):
             break
-        before = now
-    return now
+    return float(before.sum())
 
 
 def _refit(x: np.ndarray, shapes: np.ndarray, gain: np.ndarray, at: np.ndarray, bound: float) -> None:
@@ -221,7 +227,7 @@ def shapelet_error(real: np.ndarray, synthetic: np.ndarray, seed: int = 42, coun
     for _ in range(rounds):
         now = _encode(train, shapes, gain, at, penalty, inner, epsilon)
         _refit(train, shapes, gain, at, c)
-        if before - now <= epsilon * before:
+        if np.isfinite(before) and before - now <= epsilon * before:
             break
         before = now
     gain, at = np.zeros((len(test), count)), np.zeros((len(test), count), np.int64)
@@ -246,15 +252,18 @@ def with_overall(metrics: DataFrame, means: list[str], sums: list[str]) -> DataF
     return clean.unionByName(row.select(*clean.columns))
 
 
-def similarity(real: DataFrame, synthetic: DataFrame, pairs: DataFrame, max_lag: int = 32, bins: int = 50, dtw_window: int | None = None, shr: dict | None = None) -> DataFrame:
-    """All metrics of the sampled pairs by activity, with the overall row; SHR is null unless asked for."""
+def similarity(real: DataFrame, synthetic: DataFrame, pairs: DataFrame, max_lag: int = 32, bins: int = 50, dtw_window: int | None = None, shr: dict | None = None, shr_of=shapelets) -> DataFrame:
+    """All metrics of the sampled pairs by activity, with the overall row; SHR is null unless asked for.
+
+    shr_of learns and scores the shapes: `shapelets` for sampled pairs, `dictionary.shapelets` for any number.
+    """
     once = pairs.persist()
     r = once.select("activity_name", F.col("r_id").alias("window_id"), F.col("r").alias("w"))
     s = once.select("activity_name", F.col("s_id").alias("window_id"), F.col("s").alias("w"))
     out = once.groupBy("activity_name").agg(F.count("*").alias("num_real"), F.count("*").alias("num_synthetic"))
     parts = [mdd(r, s, bins), autocorrelation_difference(r, s, max_lag), skewness_difference(r, s), kurtosis_difference(r, s), ed(once), warp(once, dtw_window)]
     if shr is not None:
-        parts.append(shapelets(once, **shr))
+        parts.append(shr_of(once, **shr))
     for p in parts:
         out = out.join(p, "activity_name", "left")
     if shr is None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sensorloom.operators import classify, features, metrics, split
+from sensorloom.operators import classify, dictionary, features, metrics, split
 from sensorloom.plans.config import PipelineConfig
 
 FOREST_DEPTH = 30  # the deepest that the forest learner allows, for settings without a limit
@@ -20,7 +20,8 @@ def similarity_report(real: DataFrame, synthetic: DataFrame, config: PipelineCon
     if compute_shr or s.compute_shr:
         shr = dict(max_samples=s.shr_max_samples_per_activity, seed=s.shr_seed, count=s.shr_basis_count, penalty=s.shr_lambda, ratio=s.shr_basis_ratio, c=s.shr_c, epsilon=s.shr_epsilon, rounds=s.shr_max_iter, inner=s.shr_max_inner_iter, mode=s.shr_channel_mode)
     pairs = split.pair_windows(real, synthetic, s.max_samples_per_activity, s.random_seed)
-    return metrics.similarity(real, synthetic, pairs, s.max_lag, s.mdd_bins, s.dtw_window, shr)
+    of = metrics.shapelets if s.max_samples_per_activity else dictionary.shapelets  # without a limit no activity fits a task
+    return metrics.similarity(real, synthetic, pairs, s.max_lag, s.mdd_bins, s.dtw_window, shr, of)
 
 
 def utility_report(real_train: DataFrame, real_test: DataFrame, synthetic: DataFrame, config: PipelineConfig) -> DataFrame:

@@ -6,10 +6,12 @@ A shard projects its vectors on random directions and keeps one sorted array for
 A query looks at windows centred on its own projections; virtual rehashing widens all
 windows together, step by step, and each vector inside a window gains a collision.
 Vectors whose collisions reach the threshold are verified with their exact inner
-product in double precision. The search ends when enough were verified and the window
-has outgrown `beyond` times the k-th best distance, or all vectors of the shard were; no
-number of verified vectors ends it. A nearer vector is missed with the small probability
-that too few of its projections fall into windows that wide.
+product in double precision. Windows start narrow. Once k vectors are verified, windows widen
+to `beyond` times the k-th best distance and no further, and the search ends there, or
+when all vectors of the shard were met; no number of verified vectors ends it. A nearer
+vector is missed with the small probability that too few of its projections fall into
+windows that wide. Where few vectors are near, few are verified; where one vector is far
+longer than the others, distances differ little and nearly all are.
 
 Queries are met with shards in blocks, so a task holds one shard and one block of
 queries, both of bounded size, and an index is built for thousands of searches; each sends its k best and a window keeps the k best of
@@ -39,11 +41,12 @@ class ShardIndex:
     """Sorted projections of one shard's vectors.
 
     directions: number of projections; share: part of them that must collide; grow: factor by
-    which windows widen; enough: part of the shard, and floor the number of vectors, that
-    must have been verified before the distance bound may end a search.
+    which windows widen; start: half the first width, in units of the largest norm; beyond: k-th
+    distances that half a window must reach. A vector at the k-th distance collides in 87 of 100
+    directions then, one a sixth farther away in no more than the share; `verified` counts what the last search verified.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 96, share: float = 0.75, grow: float = 1.1, start: float = 1.0, enough: float = 0.1, floor: int = 400, beyond: float = 1.5, seed: int = 11) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 160, share: float = 0.81, grow: float = 1.1, start: float = 0.4, beyond: float = 1.5, seed: int = 11) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
@@ -54,28 +57,33 @@ class ShardIndex:
         shadow = self.vectors @ self.axes + np.outer(extra, rng.normal(size=directions))
         self.rank = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
         self.sorted = np.take_along_axis(shadow.T, self.rank, axis=1)
+        # all arrays as one, each in a range of its own, so that one search finds a place in every array
+        self.apart = (np.arange(directions) * (4 * np.abs(self.sorted).max() + 1))[:, None]
+        self.flat = (self.sorted + self.apart).ravel()
         self.need, self.grow, self.start = max(1, int(np.ceil(share * directions))), grow, start
         self.beyond = beyond
-        self.enough = max(floor, int(enough * len(ids)))
+
+    def places(self, at: np.ndarray, side: str) -> np.ndarray:
+        """The place of at[j] in sorted array j, for every j."""
+        m, n = self.sorted.shape
+        reach = self.apart[1, 0] / 4 if m > 1 else np.inf  # beyond all values of an array
+        return np.searchsorted(self.flat, np.clip(at, -reach, reach) + self.apart[:, 0], side) - np.arange(m) * n
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best found, best first, ties to the smaller id."""
-        n, m = len(self.ids), len(self.sorted)
+        n = len(self.ids)
         scale = np.sqrt(self.top) / np.linalg.norm(query)
         centre = (query * scale) @ self.axes
-        lo = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
+        lo = self.places(centre, "left")
         hi = lo.copy()
         count = np.zeros(n, np.int16)
         done = np.zeros(n, bool)
         picked, scores = np.zeros(0, np.int64), np.zeros(0)
         width = np.sqrt(self.top) * self.start
         while True:
-            fresh = []
-            for j in range(m):
-                a = np.searchsorted(self.sorted[j], centre[j] - width)
-                z = np.searchsorted(self.sorted[j], centre[j] + width, "right")
-                fresh += [self.rank[j, a : lo[j]], self.rank[j, hi[j] : z]]
-                lo[j], hi[j] = a, z
+            low, high = self.places(centre - width, "left"), self.places(centre + width, "right")
+            fresh = [self.rank[j, a:b] for bounds in (zip(low, lo, strict=True), zip(hi, high, strict=True)) for j, (a, b) in enumerate(bounds)]
+            lo, hi = low, high
             count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
             new = np.flatnonzero((count >= self.need) & ~done)
             done[new] = True
@@ -84,11 +92,15 @@ class ShardIndex:
             scores = np.concatenate([scores, self.vectors[new] @ query])
             if (lo == 0).all() and (hi == n).all():
                 break
-            if len(picked) >= max(k, min(self.enough, n)):
+            wider = width * self.grow
+            if len(picked) >= k:
                 kth = np.partition(scores, -k)[-k]
-                if (2 * self.top - 2 * scale * kth) * self.beyond**2 <= width**2:
+                outgrown = self.beyond * np.sqrt(max(2 * self.top - 2 * scale * kth, 0.0))
+                if outgrown <= width:
                     break
-            width *= self.grow
+                wider = min(wider, outgrown)  # no wider than the bound asks
+            width = wider
+        self.verified = len(picked)
         if len(picked) > k:
             best = scores >= np.partition(scores, -k)[-k]
             picked, scores = picked[best], scores[best]

@@ -8,7 +8,8 @@ name-based: a UUID cut from a SHA-256 of the response id and the record type, so
 rebuilt record has the same id.
 
 Responses come from a table of pages or from WARC files (`read_responses`), and records
-can be written as WARC files (`write_records`). Pages are taken apart in one pass, in time
+can be written as WARC files (`write_records`). Files are read as bytes by Content-Length,
+one file by one task, which must hold it. Pages are taken apart in one pass, in time
 linear in their length; character references, named and numeric, become their characters
 in text, title and links. A page is never looked at outside its row.
 
@@ -21,15 +22,25 @@ the records' own give way to them.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import html as references
+import io
 import re
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DATE = "1970-01-01T00:00:00Z"
+VERSION, NEXT = re.compile(rb"WARC/1\.[01]\s*"), re.compile(rb"\r?\n(WARC/1\.[01]\r?\n)")
+CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+BATCH_BYTES = 8 << 20  # of blocks handed on together
+RECORD = pa.schema([("headers", pa.string()), ("block", pa.string()), ("complete", pa.bool_()), ("raw", pa.binary())])
 
 _HIDDEN = re.compile(r"<!--|<(script|style)\b", re.I)
 _CLOSE = {"<!--": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
@@ -157,18 +168,56 @@ def write_records(records: DataFrame, path: str) -> None:
     records.select(F.concat("headers", F.lit("\r\n"), "block").alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
 
-def read_records(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
-    """headers and block of each record of WARC text files, which are read in splits at the records' version lines.
+def records_in(stream: BinaryIO) -> Iterator[tuple[bytes, bytes, bool]]:
+    """(header block, block, complete) of the records of a WARC stream of version 1.0 or 1.1, which is read by Content-Length.
 
-    A block is as long as its Content-Length says; complete is false where the file, or a
-    version line inside the block, cut it short.
+    A record without a usable length, or one that is longer than the file, is not complete and ends before the next
+    version line; what lies between records is passed over.
     """
-    raw = spark.read.option("lineSep", f"{version}\r\n").text(path).where("value <> ''")
-    at = F.locate("\r\n\r\n", F.col("value"))
-    rows = raw.select(F.concat(F.lit(f"{version}\r\n"), F.expr("left(value, locate('\\r\\n\\r\\n', value) + 1)")).alias("headers"), F.encode(F.expr("substring(value, locate('\\r\\n\\r\\n', value) + 4)"), "UTF-8").alias("rest"), at.alias("at")).where("at > 0")
-    size = F.coalesce(F.try_to_number(header("Content-Length"), F.lit("999999999999999")).cast("long"), F.lit(0))
-    rows = rows.withColumn("size", size)
-    return rows.select("headers", F.decode(F.expr("substring(rest, 1, cast(size as int))"), "UTF-8").alias("block"), (F.octet_length("rest") >= F.col("size")).alias("complete"))
+    line = stream.readline()
+    while line:
+        if not VERSION.fullmatch(line):
+            line = stream.readline()
+            continue
+        head = [line]
+        while (line := stream.readline()) and line.strip():
+            head.append(line)
+        found = [h.split(b":", 1)[1].strip() for h in head if h.lower().startswith(b"content-length:")]
+        size = int(found[0]) if found and found[0].isdigit() else None
+        start = stream.tell()
+        block = stream.read() if size is None else stream.read(size)
+        whole = size is not None and len(block) == size
+        if not whole and (cut := NEXT.search(block)):
+            block = block[: cut.start()]
+            stream.seek(start + cut.end() - len(cut[1]))
+        yield b"".join(head), block, whole
+        line = stream.readline()
+
+
+def read_records(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """headers, block (as UTF-8 text), complete and raw (the block's bytes) of each record of WARC files, plain or gzip, of one version or both.
+
+    Files are the unit of work: one is read as bytes and walked record by record, so a block may hold anything, version lines
+    as well. complete is false where the file ends before the block does, or its length is no number.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch["content"]:
+                raw = content.as_py()
+                rows, size = [], 0
+                for head, block, whole in records_in(gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)):
+                    if version is None or head.startswith(version.encode()):
+                        rows.append((head.decode("utf-8", "replace"), block.decode("utf-8", "replace"), whole, block))
+                        size += len(block)
+                    if len(rows) == 256 or size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r, strict=True)) for r in rows], RECORD)
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r, strict=True)) for r in rows], RECORD)
+
+    return files.mapInArrow(run, "headers string, block string, complete boolean, raw binary")
 
 
 def header(name: str) -> Column:
@@ -176,14 +225,33 @@ def header(name: str) -> Column:
     return F.trim(F.regexp_extract("headers", rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", 1))
 
 
-def read_responses(spark: SparkSession, path: str, version: str = "WARC/1.1") -> DataFrame:
-    """Response records of WARC text files, as `derive` takes them: record_id, target_uri, date, http_headers, payload, payload_digest.
+def page_text(http_headers: bytes, payload: bytes) -> str:
+    """The payload in the charset that the HTTP headers or the page's first bytes name, else UTF-8, else Latin-1."""
+    named = CHARSET.search(http_headers) or CHARSET.search(payload[:2048])
+    for charset in (named[1].decode("ascii") if named else "utf-8", "utf-8"):
+        try:
+            return payload.decode(charset)
+        except (LookupError, UnicodeDecodeError):
+            pass
+    return payload.decode("latin-1")
+
+
+def read_responses(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """Response records of WARC files, as `derive` takes them: record_id, target_uri, date, http_headers, payload, payload_digest.
 
-    A response without a payload digest gets the payload's SHA-256; records cut short are left out.
+    The payload is text in the page's own charset. A response without a payload digest gets the SHA-256 of its payload's
+    bytes; records cut short are left out.
     """
     found = read_records(spark, path, version).where((F.lower(header("WARC-Type")) == "response") & F.col("complete"))
-    cut = F.locate("\r\n\r\n", F.col("block"))
     strip = lambda c: F.regexp_replace(c, "^<|>$", "")
-    named = found.select(strip(header("WARC-Record-ID")).alias("record_id"), F.nullif(strip(header("WARC-Target-URI")), F.lit("")).alias("target_uri"), header("WARC-Date").alias("date"), header("WARC-Payload-Digest").alias("named"), "block", cut.alias("cut"))
-    parts = named.select("record_id", "target_uri", "date", "named", F.expr("if(cut > 0, left(block, cut + 1), block)").alias("http_headers"), F.expr("if(cut > 0, substring(block, cut + 4), '')").alias("payload"))
-    return parts.select("record_id", "target_uri", "date", "http_headers", "payload", F.coalesce(F.nullif("named", F.lit("")), digest(F.col("payload"))).alias("payload_digest"))
+    named = found.select(strip(header("WARC-Record-ID")).alias("record_id"), F.nullif(strip(header("WARC-Target-URI")), F.lit("")).alias("target_uri"), header("WARC-Date").alias("date"), F.nullif(header("WARC-Payload-Digest"), F.lit("")).alias("payload_digest"), "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [r.as_py().partition(b"\r\n\r\n") for r in batch["raw"]]
+            heads = [h + (b"\r\n" if sep else b"") for h, sep, _ in parts]
+            digests = [d or "sha256:" + hashlib.sha256(p).hexdigest() for d, (_, _, p) in zip(batch["payload_digest"].to_pylist(), parts, strict=True)]
+            texts = [page_text(h, p) for h, _, p in parts]
+            yield pa.RecordBatch.from_arrays([batch["record_id"], batch["target_uri"], batch["date"], pa.array([h.decode("latin-1") for h in heads], pa.string()), pa.array(texts, pa.string()), pa.array(digests, pa.string())], names=["record_id", "target_uri", "date", "http_headers", "payload", "payload_digest"])
+
+    return named.mapInArrow(run, "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string")

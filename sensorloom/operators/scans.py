@@ -151,7 +151,7 @@ def runs_long(df: DataFrame, order: list[str], gap_factor: float = 3.0, segment_
 
 
 def resample(df: DataFrame, keys: list[str], time: str, channels: list[str], step: float, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """keys, time and channels on a grid from each group's first time on, `step` apart, to its last time: linear between the two rows about a grid point.
+    """keys, point (from 0), time and channels on a grid from each group's first time on, `step` apart, to its last time: linear between the two rows about a grid point.
 
     Each row makes the grid points from its own time up to the next row's, so points meet their two
     neighbours without a join; the next row of a segment's last one comes with its carry. A point at a row's
@@ -183,4 +183,4 @@ def resample(df: DataFrame, keys: list[str], time: str, channels: list[str], ste
     points = points.withColumn("__t", F.col("__from") + F.col("__k") * F.lit(float(step)))
     share = (F.col("__t") - F.col(time)) / (end - F.col(time))
     filled = [F.when(F.col("__t") == F.col(time), F.col(c)).otherwise(F.col(c) + (F.col("__next")[c] - F.col(c)) * share).alias(c) for c in channels]
-    return points.select(*keys, F.col("__t").alias(time), *filled)
+    return points.select(*keys, F.col("__k").alias("point"), F.col("__t").alias(time), *filled)

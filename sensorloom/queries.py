@@ -115,10 +115,10 @@ HOUR = 3600.0
 
 
 @query(f"""WITH {FILLED}, ends AS (SELECT subject_id, min(timestamp) AS a, max(timestamp) AS b FROM filled GROUP BY subject_id),
-points AS (SELECT subject_id, a + unnest(range(0, floor((b - a) / {HOUR})::BIGINT + 1)) * {HOUR} AS t FROM ends),
-low AS (SELECT p.subject_id, p.t, f.timestamp AS t0, f.value AS v0, f.k AS k0 FROM points p ASOF JOIN filled f ON p.subject_id = f.subject_id AND p.t >= f.timestamp),
+points AS (SELECT subject_id, point, a + point * {HOUR} AS t FROM (SELECT *, unnest(range(0, floor((b - a) / {HOUR})::BIGINT + 1)) AS point FROM ends)),
+low AS (SELECT p.subject_id, p.point, p.t, f.timestamp AS t0, f.value AS v0, f.k AS k0 FROM points p ASOF JOIN filled f ON p.subject_id = f.subject_id AND p.t >= f.timestamp),
 met AS (SELECT l.*, f.timestamp AS t1, f.value AS v1, f.k AS k1 FROM low l ASOF LEFT JOIN filled f ON l.subject_id = f.subject_id AND l.t < f.timestamp)
-SELECT subject_id, round(t, 6) AS timestamp, round(CASE WHEN t = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS value, round(CASE WHEN t = t0 THEN k0 ELSE k0 + (k1 - k0) * (t - t0) / (t1 - t0) END, 6) AS k FROM met""")
+SELECT subject_id, point, round(t, 6) AS timestamp, round(CASE WHEN t = t0 THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END, 6) AS value, round(CASE WHEN t = t0 THEN k0 ELSE k0 + (k1 - k0) * (t - t0) / (t1 - t0) END, 6) AS k FROM met""")
 def resample_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scans.resample(_filled(spark, d), ["subject_id"], "timestamp", CH, HOUR))
 

@@ -324,10 +324,12 @@ def _tiles(stars: DataFrame, parts: DataFrame | None, sketches: DataFrame, refus
     if parts is None:
         own = own.withColumn("c", F.col("node"))
     else:
-        own = own.join(parts, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("c"))
         ends = refused.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(refused.select(F.col("b").alias("node"), F.col("a").alias("other")))
         touched = ends.select("node").distinct().join(parts, "node", "left").select(F.coalesce("component", "node").alias("c")).distinct()
-        own = own.join(touched, "c", "left_semi")
+        # rows of touched components: those that links have joined, and refused rows that none has
+        linked = parts.join(touched, F.col("component") == F.col("c"), "left_semi").select("node", F.col("component").alias("c"))
+        alone = ends.select("node").distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("c"))
+        own = own.join(linked.unionByName(alone), "node").select("gid", "node", "c")
     mixed = own.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("k")).where("low < high").select("gid", "k")
     own = own.join(mixed, "gid").join(sketches.withColumnRenamed("row", "node"), "node")
     if refused is None:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+SAMPLE = 64  # vectors of a shard that set its first windows
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -41,12 +42,12 @@ class ShardIndex:
     """Sorted projections of one shard's vectors.
 
     directions: number of projections; share: part of them that must collide; grow: factor by
-    which windows widen; start: half the first width, in units of the largest norm; beyond: k-th
-    distances that half a window must reach. A vector at the k-th distance collides in 87 of 100
+    which windows widen; beyond: k-th distances that half a window must reach; start: first width, as
+    part of what a tenth of SAMPLE vectors of the shard need for their `near` nearest. A vector at the k-th distance collides in 87 of 100
     directions then, one a sixth farther away in no more than the share; `verified` counts what the last search verified.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 160, share: float = 0.81, grow: float = 1.1, start: float = 0.4, beyond: float = 1.5, seed: int = 11) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 160, share: float = 0.81, grow: float = 1.1, start: float = 0.9, beyond: float = 1.5, near: int = 20, seed: int = 11) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
@@ -60,8 +61,14 @@ class ShardIndex:
         # all arrays as one, each in a range of its own, so that one search finds a place in every array
         self.apart = (np.arange(directions) * (4 * np.abs(self.sorted).max() + 1))[:, None]
         self.flat = (self.sorted + self.apart).ravel()
-        self.need, self.grow, self.start = max(1, int(np.ceil(share * directions))), grow, start
-        self.beyond = beyond
+        self.need, self.grow, self.beyond = max(1, int(np.ceil(share * directions))), grow, beyond
+        # where the nearest ones begin, from the distances of a few of the vectors to their own
+        few = self.vectors[rng.choice(len(ids), min(SAMPLE, len(ids)), replace=False)]
+        few = few * np.sqrt(self.top / np.einsum("ij,ij->i", few, few))[:, None]
+        products = few @ self.vectors.T
+        kth = np.partition(products, -min(near + 1, len(ids)), axis=1)[:, -min(near + 1, len(ids))]
+        near_by = np.sqrt(np.maximum(np.quantile(2 * self.top - 2 * kth, 0.1), 1e-6 * self.top))
+        self.width = start * beyond * float(near_by)
 
     def places(self, at: np.ndarray, side: str) -> np.ndarray:
         """The place of at[j] in sorted array j, for every j."""
@@ -79,7 +86,7 @@ class ShardIndex:
         count = np.zeros(n, np.int16)
         done = np.zeros(n, bool)
         picked, scores = np.zeros(0, np.int64), np.zeros(0)
-        width = np.sqrt(self.top) * self.start
+        width = self.width
         while True:
             low, high = self.places(centre - width, "left"), self.places(centre + width, "right")
             fresh = [self.rank[j, a:b] for bounds in (zip(low, lo, strict=True), zip(hi, high, strict=True)) for j, (a, b) in enumerate(bounds)]

@@ -74,6 +74,7 @@ def manifest_states(manifest: DataFrame, metrics: DataFrame, errors: DataFrame,
     return out.withColumn("status", status).drop("failed", "rows")
 
 
+# The metrics of an evaluation.
 METRICS = ("MDD", "ACD", "SD", "KD", "ED", "DTW", "SHR")
 
 

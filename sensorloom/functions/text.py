@@ -23,9 +23,9 @@ def numeric_key(name: str) -> tuple[float, str]:
 
 
 def format_number(c: Column, digits: int, exact: bool = False) -> Column:
-    """Fixed decimals. exact rounds the binary value half to even, in batches; else ties round up."""
+    """Fixed decimals; nan, inf and -inf as such. exact rounds the binary value half to even, in batches; else ties round up."""
     if not exact:
-        return F.format_string(f"%.{digits}f", c)
+        return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(F.format_string(f"%.{digits}f", c))
 
     @F.pandas_udf("string")
     def half_even(x: pd.Series) -> pd.Series:
@@ -34,6 +34,14 @@ def format_number(c: Column, digits: int, exact: bool = False) -> Column:
     return half_even(c)
 
 
+def round_signed(c: Column, digits: int) -> Column:
+    """Half away from zero; what rounds to zero keeps its sign, so that -0.00001 is written -0.0000."""
+    scaled = F.abs(c) * 10.0**digits
+    whole = F.floor(scaled)
+    # from 2^52 on a double has no fraction
+    return F.when(scaled < 2.0**52, F.signum(c) * (whole + (scaled - whole >= 0.5).cast("int")) / 10.0**digits).otherwise(c)
+
+
 def joined(parts: list[Column], by: str) -> Column:
     return F.concat_ws(by, *parts)
 

@@ -501,7 +501,7 @@ BLANK = ", ".join(f"{v} is [blank]" for v in TV)
 def _rows(spark, d) -> DataFrame:
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     name = F.when(F.col("label") == 4, "walking").when(F.col("label") == 5, "running").otherwise(F.concat(F.lit("a"), "label"))
-    return e.select(F.col("vec_id").alias("window_id"), (F.col("vec_id") % 9).cast("int").alias("subject_id"), F.col("label").alias("activity_id"), name.alias("activity_name"), *[F.round(F.col("embedding")[i].cast("double"), 4).alias(f"value_{i}") for i in range(3)])
+    return e.select(F.col("vec_id").alias("window_id"), (F.col("vec_id") % 9).cast("int").alias("subject_id"), F.col("label").alias("activity_id"), name.alias("activity_name"), *[tx.round_signed(F.col("embedding")[i].cast("double"), 4).alias(f"value_{i}") for i in range(3)])
 
 
 @query(f"WITH {ROWS} SELECT window_id, 'Condition: window_id is ' || window_id || ', subject_id is ' || subject_id || ', activity_id is ' || activity_id || ', activity_name is ' || activity_name || ' [sep] Input: {BLANK} [sep] Target: ' || printf('%.4f [answer] %.4f [answer] %.4f [answer]', value_0, value_1, value_2) || '<|endoftext|>' AS text FROM rows")
@@ -537,7 +537,7 @@ NUM = "[-+]?(?:\\d+\\.\\d+|\\d+|\\.\\d+)(?:[eE][-+]?\\d+)?"
 
 
 def _made(spark, d) -> DataFrame:
-    v = [F.format_string("%.4f", f"value_{i}") for i in range(3)]
+    v = [tx.format_number(F.col(f"value_{i}"), 4) for i in range(3)]
     w = F.col("window_id") % 5
     text = (
         F.when(w == 0, F.concat(F.lit("x Target: 9\n[sep] Target: value_1 = "), v[1], F.lit("; value_0 is "), v[0], F.lit("; value_2 = 1e-3 [end]")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorloom.operators.windows import number_rows
+from sensorloom.tables import kept
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -14,10 +15,20 @@ def hash_order(key: str, seed: int) -> Column:
 
 
 def subject_split(df: DataFrame, train: list[int] | None = None, val: list[int] | None = None, test: list[int] | None = None) -> DataFrame:
-    """split by subject: given lists, or all but the last two subjects, the second-last, the last (an empty list counts as none)."""
-    subjects = sorted(r[0] for r in df.select("subject_id").distinct().collect()) if not (train and val and test) else []
-    lists = {"train": train or subjects[:-2], "val": val or subjects[-2:-1], "test": test or subjects[-1:]}
-    split = F.coalesce(*[F.when(F.col("subject_id").isin(ids), name) for name, ids in lists.items() if ids], F.lit(None))
+    """split by subject: given lists, or all but the last two subjects, the second-last, the last (an empty list counts as none).
+
+    Of the subjects only the last two reach the driver. Where they are asked for, the rows are
+    written once, as they are read twice.
+    """
+    subject = F.col("subject_id")
+    if not (train and val and test):
+        df = kept(df)
+        last = [r[0] for r in df.select("subject_id").where(subject.isNotNull()).distinct().orderBy(F.desc("subject_id")).limit(2).collect()]
+        early = subject < last[1] if len(last) == 2 else F.lit(False)
+        rules = {"train": subject.isin(train) if train else early, "val": subject.isin(val or last[1:]), "test": subject.isin(test or last[:1])}
+    else:
+        rules = {"train": subject.isin(train), "val": subject.isin(val), "test": subject.isin(test)}
+    split = F.coalesce(*[F.when(rule, name) for name, rule in rules.items()])
     return df.withColumn("split", split).where("split is not null")
 
 

@@ -37,9 +37,7 @@ def sliding_windows(df: DataFrame, channels: list[str], size: int, stride: int,
     that no task holds a run.
     """
     chunk = max(1, -(-(chunk or 32 * size) // stride)) * stride
-    rows = df.where(F.col("run_id").isNotNull())
-    if segment_rows is not None:
-        rows = kept(rows)  # read several times
+    rows = kept(df.where(F.col("run_id").isNotNull()))  # read several times
     runs = rows.groupBy(*RUN).agg(F.count("*").alias("n")).where(F.col("n") >= size)
     runs = runs.withColumn("k", F.floor((F.col("n") - size) / stride) + 1)
     group = Window.partitionBy(*RUN[:2]).orderBy(RUN[2]).rowsBetween(Window.unboundedPreceding, -1)

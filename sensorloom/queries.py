@@ -260,12 +260,12 @@ tagged AS (SELECT wid.*, CASE r WHEN 1 THEN 'test' WHEN 2 THEN 'val' ELSE 'train
 
 @query(f"WITH {SPLIT} SELECT window_id, subject_id, split FROM tagged")
 def subject_split(spark: SparkSession, d: str) -> DataFrame:
-    return split.subject_split(_prepared(spark, d).windows).select("window_id", "subject_id", "split")
+    return split.subject_split(_prepared(spark, d).windows.select("window_id", "subject_id"))
 
 
 @query(f"WITH {SPLIT} SELECT split, count(*) AS n, list_sort(list(DISTINCT subject_id)) AS subjects, list_sort(list(DISTINCT activity_name)) AS activities FROM tagged GROUP BY split")
 def split_profile(spark: SparkSession, d: str) -> DataFrame:
-    return split.split_profile(split.subject_split(_prepared(spark, d).windows))
+    return split.split_profile(split.subject_split(_prepared(spark, d).windows.select("subject_id", "activity_name")))
 
 
 @query("SELECT vec_id AS window_id, 'a' || label AS activity_name, CASE WHEN (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM embeddings")

@@ -63,6 +63,7 @@ def _send(n: int, word_contexts: bool):
         for bucket, words in enumerate(per):
             if words:
                 yield n + bucket, B.dumps((b" ".join(words), np.array([learnt.get(w, 0) for w in words], np.int64)))
+        del seen, learnt, per
         merged = Merged()
         for start, key, first in _runs(table, word_contexts):
             held = [held_out(d) for d in doc_ids[start : start + len(first)]]
@@ -156,13 +157,19 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(keys):
         return keys, counts
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(counts, at)
+    keys = keys[at]
+    return keys, np.add.reduceat(counts, at)
 
 
 class Merged:
-    """Keys with summed counts, added up whenever as many came in as there are."""
+    """Keys with summed counts, added up whenever half as many came in as there are.
+
+    What is added up is held once: the parts go as they are joined, and the joined rows as they are sorted.
+    """
 
     def __init__(self) -> None:
         self.parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -171,11 +178,16 @@ class Merged:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.fresh += len(keys)
-        if self.fresh >= max(len(self.parts[0][0]), 1 << 20):
+        if self.fresh >= max(len(self.parts[0][0]) // 2, 1 << 20):
             self.all()
 
+    def _joined(self, place: int) -> np.ndarray:
+        out = np.concatenate([p[place] for p in self.parts])
+        self.parts = [(None, p[1]) for p in self.parts] if place == 0 else []
+        return out
+
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        self.parts, self.fresh = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))], 0
+        self.parts, self.fresh = [summed(self._joined(0), self._joined(1))], 0
         return self.parts[0]
 
 

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 from sensorloom.tables import kept
 
 VECTOR = T.ArrayType(T.DoubleType())
+#: Numbers that a transform takes at a time.
+CELLS = 1 << 18
 # Fixed values of the run files' `standardization`.
 STANDARDIZATIONS = ("legacy_timepoint", "per_channel_train", "none", None)
 MODEL = "channel_index int, channel_name string, method string, n_components int, pre_mean double, pre_scale double, scaler_mean array<double>, scaler_scale array<double>, components array<array<double>>, mixing array<array<double>>, latent_mean array<double>, explained_variance_ratio array<double>"
@@ -174,39 +178,61 @@ def _rows(model: DataFrame) -> list[dict]:
     return rows
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows of doubles."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, about CELLS numbers of the column at a time, so that a worker's memory does not grow with the batches."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = max(1, CELLS * batch.num_rows // max(batch.column(column).nbytes // 8, 1))
+            yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def projected(batches: Iterator[pa.RecordBatch], rows: list[dict], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The keys and values of batches with w, under the model's rows."""
+    for batch in _slices(batches, "w"):
+        parts = []
+        for r in rows:
+            x = _matrix(pc.list_element(batch.column("w"), r["channel_index"]))
+            x = ((x - r["pre_mean"]) / r["pre_scale"] - r["scaler_mean"]) / r["scaler_scale"]
+            parts.append((x - r["latent_mean"]) @ r["components"].T)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], _lists(np.hstack(parts))], names=[*keys, "values"])
+
+
+def restored(batches: Iterator[pa.RecordBatch], rows: list[dict], keys: list[str], undo_channel_scaler: bool) -> Iterator[pa.RecordBatch]:
+    """The keys and w of batches with values, under the model's rows."""
+    for batch in _slices(batches, "values"):
+        v = _matrix(batch.column("values"))
+        at, out = 0, []
+        for r in rows:
+            p = v[:, at : at + r["n_components"]]
+            at += r["n_components"]
+            x = p @ (r["components"] if r["mixing"] is None else r["mixing"].T) + r["latent_mean"]
+            x = x * r["scaler_scale"] + r["scaler_mean"]
+            out.append(x * r["pre_scale"] + r["pre_mean"] if undo_channel_scaler else x)
+        ends = np.cumsum([0, *np.tile([x.shape[1] for x in out], len(v))], dtype=np.int32)
+        series = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.hstack(out).ravel()))
+        w = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(out)), series)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], w], names=[*keys, "w"])
+
+
 def transform(windows: DataFrame, model: DataFrame) -> DataFrame:
     """The windows' columns, w replaced by values: all channels' components in order."""
     rows, keys = _rows(model), [c for c in windows.columns if c != "w"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for r in rows:
-                x = np.array([w[r["channel_index"]] for w in pdf["w"]], np.float64).reshape(len(pdf), -1)
-                x = ((x - r["pre_mean"]) / r["pre_scale"] - r["scaler_mean"]) / r["scaler_scale"]
-                parts.append((x - r["latent_mean"]) @ r["components"].T)
-            yield pdf[keys].assign(values=list(np.hstack(parts)))
-
-    return windows.mapInPandas(run, windows.select(*keys).schema.add("values", VECTOR))
+    return windows.mapInArrow(lambda batches: projected(batches, rows, keys), windows.select(*keys).schema.add("values", VECTOR))
 
 
 def inverse(embeddings: DataFrame, model: DataFrame, undo_channel_scaler: bool = True) -> DataFrame:
     """The embeddings' columns, values replaced by w; the channel scaler stays applied when asked."""
     rows, keys = _rows(model), [c for c in embeddings.columns if c != "values"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            v = np.stack(pdf["values"].to_list()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-            at, out = 0, []
-            for r in rows:
-                p = v[:, at : at + r["n_components"]]
-                at += r["n_components"]
-                x = p @ (r["components"] if r["mixing"] is None else r["mixing"].T) + r["latent_mean"]
-                x = x * r["scaler_scale"] + r["scaler_mean"]
-                out.append(x * r["pre_scale"] + r["pre_mean"] if undo_channel_scaler else x)
-            yield pdf[keys].assign(w=[[list(x[i]) for x in out] for i in range(len(pdf))])
-
-    return embeddings.mapInPandas(run, embeddings.select(*keys).schema.add("w", T.ArrayType(VECTOR)))
+    return embeddings.mapInArrow(lambda batches: restored(batches, rows, keys, undo_channel_scaler), embeddings.select(*keys).schema.add("w", T.ArrayType(VECTOR)))
 
 
 def expand_values(df: DataFrame, width: int) -> DataFrame:

@@ -90,10 +90,11 @@ def _placed(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                d = distances(np.stack(pdf["x"].to_list()), pivots)
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at : at + BLOCK]
+                d = distances(np.stack(part["x"].to_list()), pivots)
                 cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
+                yield part.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
 
     return kept(df.mapInPandas(nearest, df.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away")).schema))
 

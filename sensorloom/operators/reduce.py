@@ -102,22 +102,25 @@ def rotations(blocks: DataFrame, sizes: dict[int, tuple[int, int]], max_iter: in
             break
         turn = {c: now[c] for c in moving}
 
-        def step(batches: Iterator[pd.DataFrame], turn: dict[int, np.ndarray] = turn) -> Iterator[pd.DataFrame]:
+        def step(batches: Iterator[pa.RecordBatch], turn: dict[int, np.ndarray] = turn) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for c, raw in zip(pdf["channel_index"], pdf["z"], strict=True):
+            for batch in batches:
+                for c, raw in zip(batch.column("channel_index").to_pylist(), batch.column("z"), strict=True):
                     if c in turn:
                         w = turn[c]
-                        z = np.frombuffer(raw).reshape(-1, len(w))
+                        z = np.frombuffer(raw.as_buffer()).reshape(-1, len(w))
                         g = np.tanh(z @ w.T)
                         sums[c] = sums.get(c, 0) + np.column_stack([g.T @ z, (1 - g**2).sum(axis=0)])
-            for c, m in sums.items():
-                yield pd.DataFrame({"channel_index": c, "at": np.arange(m.size), "v": m.ravel()})
-
-        total = blocks.mapInPandas(step, "channel_index int, at int, v double").groupBy("channel_index", "at").agg(F.sum("v").alias("v")).toPandas()
-        for c, m in total.sort_values("at").groupby("channel_index")["v"]:
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([m.tobytes() for m in sums.values()], pa.binary())], names=["channel_index", "m"])
+
+        # a matrix for each partition and channel, so a pass is one stage without a shuffle
+        total: dict[int, np.ndarray] = {}
+        for r in blocks.mapInArrow(step, "channel_index int, m binary").collect():
+            total[r.channel_index] = total.get(r.channel_index, 0) + np.frombuffer(r.m)
+        for c, m in total.items():
             n, k = sizes[c]
-            w, m = now[c], m.to_numpy().reshape(k, k + 1) / n
+            w, m = now[c], m.reshape(k, k + 1) / n
             fresh = _orthogonal(m[:, :k] - m[:, k:] * w)
             cosine = (fresh * w).sum(axis=1)
             moved = np.abs(np.abs(cosine) - 1).max()

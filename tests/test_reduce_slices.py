@@ -26,3 +26,15 @@ def test_transforms_take_a_batch_in_slices():
     back = pa.Table.from_batches(reduce.restored(iter(parts), rows, ["window_id"], True))
     assert back["window_id"].to_pylist() == list(range(3000)) and np.allclose(np.array(back["w"].to_pylist()), x[:, [2, 0]])
     assert peak < batch.nbytes * 3  # the values of all slices are held here by the test
+
+
+def test_a_pass_of_the_rotation_has_no_shuffle(spark, monkeypatch):
+    """Each step's plan is a scan and a map; sums meet over several partitions."""
+    rng = np.random.default_rng(5)
+    z = rng.laplace(size=(400, 3))
+    frame = spark.createDataFrame([(0, bytearray(z[i : i + 50].tobytes())) for i in range(0, 400, 50)], "channel_index int, z binary").repartition(4).localCheckpoint()
+    plans, collect = [], type(frame).collect
+    monkeypatch.setattr(type(frame), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    monkeypatch.setattr(type(frame), "toPandas", lambda df, to=type(frame).toPandas: plans.append(df._jdf.queryExecution().executedPlan().toString()) or to(df))
+    w = reduce.rotations(frame, {0: (400, 3)}, max_iter=6)[0]
+    assert np.allclose(w @ w.T, np.eye(3)) and plans and not any("Exchange" in p for p in plans)

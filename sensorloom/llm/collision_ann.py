@@ -2,9 +2,11 @@
 
 Inner products are turned into Euclidean distance: each vector gets one more component
 that brings its norm to the largest of its shard, each query is scaled to that norm.
-A shard projects its vectors on random directions and keeps one sorted array for each.
-A query looks at windows centred on its own projections; virtual rehashing widens all
-windows together, step by step, and each vector inside a window gains a collision.
+A shard projects its vectors on random directions and cuts each into buckets at quantiles.
+A query looks at windows of buckets about its own projections; virtual rehashing widens all
+windows together, step by step, and each vector inside a window gains a collision. A window
+is the difference of two stored sets of bits, one for each vector, and the sets of all
+directions are added up by full adders, 64 vectors to a word and many queries at once.
 Vectors whose collisions reach the threshold are verified with their exact inner
 product in double precision. Windows start narrow. Once k vectors are verified, windows widen
 to `beyond` times the k-th best distance and no further, and the search ends there, or
@@ -35,32 +37,43 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SAMPLE = 64  # vectors of a shard that set its first windows
+TOGETHER = 32  # queries whose collisions are counted together
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 class ShardIndex:
-    """Sorted projections of one shard's vectors.
+    """Bucketed projections of one shard's vectors.
 
     directions: number of projections; share: part of them that must collide; grow: factor by
     which windows widen; beyond: k-th distances that half a window must reach; start: first width, as
-    part of what a tenth of SAMPLE vectors of the shard need for their `near` nearest. A vector at the k-th distance collides in 87 of 100
-    directions then, one a sixth farther away in no more than the share; `verified` counts what the last search verified.
+    part of what a tenth of SAMPLE vectors of the shard need for their `near` nearest; buckets: base buckets
+    of a direction, at its quantiles. A vector at the k-th distance collides in 87 of 100
+    directions then, one a sixth farther away in no more than the share; `verified` counts what the last call verified.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 160, share: float = 0.81, grow: float = 1.1, start: float = 0.9, beyond: float = 1.5, near: int = 20, seed: int = 11) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: int = 160, share: float = 0.81, grow: float = 1.1, start: float = 0.9, beyond: float = 1.5, near: int = 20, buckets: int = 128, seed: int = 11) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
+        # a matrix product may round equal rows apart by their place, so copies are projected once
+        distinct, copy = np.unique(self.vectors, axis=0, return_inverse=True)
+        norms = np.einsum("ij,ij->i", distinct, distinct)
         self.top = float(norms.max())
         extra = np.sqrt(np.maximum(self.top - norms, 0))
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(vectors.shape[1], directions))
-        shadow = self.vectors @ self.axes + np.outer(extra, rng.normal(size=directions))
-        self.rank = np.argsort(shadow, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(shadow.T, self.rank, axis=1)
+        shadow = (distinct @ self.axes + np.outer(extra, rng.normal(size=directions))).T[:, copy.ravel()]
+        n, buckets = len(ids), min(buckets, len(ids))
+        # the lowest projection of every bucket
+        self.sorted = np.sort(shadow, axis=1)[:, np.arange(buckets) * n // buckets]
         # all arrays as one, each in a range of its own, so that one search finds a place in every array
-        self.apart = (np.arange(directions) * (4 * np.abs(self.sorted).max() + 1))[:, None]
+        self.apart = (np.arange(directions) * (4 * np.abs(shadow).max() + 1))[:, None]
         self.flat = (self.sorted + self.apart).ravel()
+        # below[j, b]: the vectors in the first b buckets of direction j, one bit for each
+        self.below = np.zeros((directions, buckets + 1, -(-n // 64)), np.uint64)
+        for j in range(directions):
+            inside = np.zeros((buckets, self.below.shape[2] * 64), bool)
+            inside[np.searchsorted(self.sorted[j], shadow[j], "right") - 1, np.arange(n)] = True
+            np.bitwise_or.accumulate(np.packbits(inside, axis=1, bitorder="little").view(np.uint64), axis=0, out=self.below[j, 1:])
         self.need, self.grow, self.beyond = max(1, int(np.ceil(share * directions))), grow, beyond
         # where the nearest ones begin, from the distances of a few of the vectors to their own
         few = self.vectors[rng.choice(len(ids), min(SAMPLE, len(ids)), replace=False)]
@@ -71,43 +84,84 @@ class ShardIndex:
         self.width = start * beyond * float(near_by)
 
     def places(self, at: np.ndarray, side: str) -> np.ndarray:
-        """The place of at[j] in sorted array j, for every j."""
+        """The place of at[..., j] in sorted array j, for every j."""
         m, n = self.sorted.shape
         reach = self.apart[1, 0] / 4 if m > 1 else np.inf  # beyond all values of an array
         return np.searchsorted(self.flat, np.clip(at, -reach, reach) + self.apart[:, 0], side) - np.arange(m) * n
 
+    def reached(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each query, bits of the vectors with `need` collisions in the buckets low <= b < high of the directions.
+
+        Plane i holds bit i of every vector's count; three entries of a plane become one there and a carry.
+        Counts begin at top - need, so that plane `top` is set where need is reached.
+        """
+        m, top = len(self.below), len(self.below).bit_length()
+        none = np.zeros((len(low), self.below.shape[2]), np.uint64)
+        planes = [[~none if ((1 << top) - self.need) >> i & 1 else none.copy()] for i in range(top)] + [[]]
+
+        def add(i: int, bits: np.ndarray) -> None:
+            planes[i].append(bits)
+            if i < top and len(planes[i]) == 3:
+                a, b, c = planes[i]
+                odd = a ^ b
+                planes[i] = [odd ^ c]
+                a &= b  # two of three: both of a and b, or one of them and c
+                odd &= c
+                a |= odd
+                add(i + 1, a)
+
+        for j in range(m):
+            bits = self.below[j, high[:, j]]
+            bits ^= self.below[j, low[:, j]]
+            add(0, bits)
+        for i in range(top):
+            if len(planes[i]) == 2:
+                add(i + 1, planes[i][0] & planes[i][1])
+        return np.bitwise_or.reduce(planes[top], axis=0) if planes[top] else none
+
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best found, best first, ties to the smaller id."""
-        n = len(self.ids)
-        scale = np.sqrt(self.top) / np.linalg.norm(query)
-        centre = (query * scale) @ self.axes
-        lo = self.places(centre, "left")
-        hi = lo.copy()
-        count = np.zeros(n, np.int16)
-        done = np.zeros(n, bool)
-        picked, scores = np.zeros(0, np.int64), np.zeros(0)
-        width = self.width
-        while True:
-            low, high = self.places(centre - width, "left"), self.places(centre + width, "right")
-            fresh = [self.rank[j, a:b] for bounds in (zip(low, lo, strict=True), zip(hi, high, strict=True)) for j, (a, b) in enumerate(bounds)]
-            lo, hi = low, high
-            count += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
-            new = np.flatnonzero((count >= self.need) & ~done)
-            done[new] = True
-            new = new[self.ids[new] != own]
-            picked = np.concatenate([picked, new])
-            scores = np.concatenate([scores, self.vectors[new] @ query])
-            if (lo == 0).all() and (hi == n).all():
-                break
-            wider = width * self.grow
-            if len(picked) >= k:
-                kth = np.partition(scores, -k)[-k]
-                outgrown = self.beyond * np.sqrt(max(2 * self.top - 2 * scale * kth, 0.0))
-                if outgrown <= width:
-                    break
-                wider = min(wider, outgrown)  # no wider than the bound asks
-            width = wider
-        self.verified = len(picked)
+        return self.search_all(query[None], np.array([own]), k)[0]
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What search finds, for each query; TOGETHER of them share a pass over the directions."""
+        self.verified, found = 0, []
+        for at in range(0, len(queries), TOGETHER):
+            found += self._together(queries[at : at + TOGETHER], own[at : at + TOGETHER], k)
+        return found
+
+    def _together(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, buckets = len(self.ids), self.sorted.shape[1]
+        scale = np.sqrt(self.top) / np.linalg.norm(queries, axis=1)
+        centre = (queries * scale[:, None]) @ self.axes
+        width = np.full(len(queries), self.width)
+        done = np.zeros((len(queries), self.below.shape[2]), np.uint64)
+        picked, scores = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries)
+        open_ = np.arange(len(queries))
+        while len(open_):
+            low = self.places(centre[open_] - width[open_, None], "left")
+            high = self.places(centre[open_] + width[open_, None], "right")
+            met = self.reached(low, high)
+            fresh = np.unpackbits((met & ~done[open_]).view(np.uint8), axis=1, bitorder="little").view(bool)
+            done[open_] |= met
+            whole = (low == 0).all(axis=1) & (high == buckets).all(axis=1)
+            for i, q in enumerate(open_):
+                new = np.flatnonzero(fresh[i])
+                new = new[self.ids[new] != own[q]]
+                picked[q] = np.concatenate([picked[q], new])
+                scores[q] = np.concatenate([scores[q], exact_score(self.vectors.take(new, axis=0), queries[q])])
+                wider = width[q] * self.grow
+                if len(picked[q]) >= k:
+                    kth = np.partition(scores[q], -k)[-k]
+                    outgrown = self.beyond * np.sqrt(max(2 * self.top - 2 * scale[q] * kth, 0.0))
+                    whole[i] |= outgrown <= width[q]
+                    wider = min(wider, outgrown)  # no wider than the bound asks
+                width[q] = wider
+            open_ = open_[~whole]
+        self.verified += sum(map(len, picked))
+        return [self._best(*of, k) for of in zip(picked, scores, strict=True)]
+
+    def _best(self, picked: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(picked) > k:
             best = scores >= np.partition(scores, -k)[-k]
             picked, scores = picked[best], scores[best]
@@ -115,8 +169,9 @@ class ShardIndex:
         return self.ids[picked[best]], scores[best]
 
 
-def exact_score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * b).sum(axis=-1)
+def exact_score(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; a matrix product may round those of equal rows apart by their place, which this does not."""
+    return np.einsum("ij,j->i", rows, query)
 
 
 def usable(embedding: Column) -> Column:
@@ -130,9 +185,9 @@ def _search(k: int, options: dict):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(shard) and len(queries):
             index = ShardIndex(shard["vec_id"].to_numpy(np.int64), np.stack(shard["embedding"].to_list()).astype(np.float64), **options)
-            for own, vector in zip(queries["vec_id"].tolist(), queries["embedding"], strict=True):
-                ids, scores = index.search(np.asarray(vector, np.float64), own, k)
-                out.append((np.full(len(ids), own), ids, scores))
+            own = queries["vec_id"].to_numpy(np.int64)
+            found = index.search_all(np.stack(queries["embedding"].to_list()).astype(np.float64), own, k)
+            out = [(np.full(len(ids), q), ids, scores) for q, (ids, scores) in zip(own, found, strict=True)]
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 

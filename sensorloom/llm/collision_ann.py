@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SAMPLE = 64  # vectors of a shard that set its first windows
-TOGETHER = 32  # queries whose collisions are counted together
+TOGETHER = 64  # queries whose collisions are counted together
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -46,7 +46,8 @@ class ShardIndex:
 
     directions: number of projections; share: part of them that must collide; grow: factor by
     which windows widen; beyond: k-th distances that half a window must reach; start: first width, as
-    part of what a tenth of SAMPLE vectors of the shard need for their `near` nearest; buckets: base buckets
+    part of what the nearest of one vector in `near` asks for, but at least of what a tenth of SAMPLE vectors of the shard
+    need for their `near` nearest; buckets: base buckets
     of a direction, at its quantiles. A vector at the k-th distance collides in 87 of 100
     directions then, one a sixth farther away in no more than the share; `verified` counts what the last call verified.
     """
@@ -82,6 +83,8 @@ class ShardIndex:
         kth = np.partition(products, -min(near + 1, len(ids)), axis=1)[:, -min(near + 1, len(ids))]
         near_by = np.sqrt(np.maximum(np.quantile(2 * self.top - 2 * kth, 0.1), 1e-6 * self.top))
         self.width = start * beyond * float(near_by)
+        # of one vector in `near`, the nearest to a query lies about as far as the near-th of all
+        self.few, self.first = rng.choice(len(ids), -(-len(ids) // near), replace=False), start * beyond
 
     def places(self, at: np.ndarray, side: str) -> np.ndarray:
         """The place of at[..., j] in sorted array j, for every j."""
@@ -134,7 +137,8 @@ class ShardIndex:
         n, buckets = len(self.ids), self.sorted.shape[1]
         scale = np.sqrt(self.top) / np.linalg.norm(queries, axis=1)
         centre = (queries * scale[:, None]) @ self.axes
-        width = np.full(len(queries), self.width)
+        nearest = np.where(self.ids[self.few] == own[:, None], -np.inf, queries @ self.vectors[self.few].T).max(axis=1)
+        width = np.maximum(self.width, self.first * np.sqrt(np.maximum(2 * self.top - 2 * scale * nearest, 0)))
         done = np.zeros((len(queries), self.below.shape[2]), np.uint64)
         picked, scores = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries)
         open_ = np.arange(len(queries))

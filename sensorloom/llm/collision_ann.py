@@ -96,7 +96,7 @@ class ShardIndex:
         """For each query, bits of the vectors with `need` collisions in the buckets low <= b < high of the directions.
 
         Plane i holds bit i of every vector's count; three entries of a plane become one there and a carry.
-        Counts begin at top - need, so that plane `top` is set where need is reached.
+        Counts begin at 2 ** top - need, so that plane `top` is set where need is reached.
         """
         m, top = len(self.below), len(self.below).bit_length()
         none = np.zeros((len(low), self.below.shape[2]), np.uint64)

@@ -5,17 +5,13 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sensorloom.operators.forests import RandomForestClassifier
 from sensorloom.operators.neighbours import neighbours
 
-#: Memory of the statistics that one pass of a forest's training gathers in a partition; it changes how many passes there are.
-STATISTICS_MB = 64
-
 
 def standardize(df: DataFrame, train: DataFrame, columns: list[str] | str) -> DataFrame:
     """x, the columns, or the entries of one array column, in units of the training rows' population deviation (zero counts as one)."""
@@ -66,23 +62,20 @@ def forest_utility(real_train: DataFrame, synthetic: DataFrame, real_test: DataF
 
     Without synthetic rows only real_only is there. label is a number.
 
-    The forests are trained at the same time, each on its share of the cores. A pass holds statistics of
-    as many nodes as fit into STATISTICS_MB in each partition, however few rows those nodes have, so
-    more partitions than a share of the cores would only add to what is summed.
+    The forests are prepared at the same time; what they predict is one job of all of them, unless
+    their rows need several (see `forests`).
     """
-    vector = lambda df: df.select(F.col("label").cast("double").alias("label"), array_to_vector(F.array(*[F.col(c).cast("double") for c in columns])).alias("features"))
-    real, made, test = vector(real_train), vector(synthetic), vector(real_test)
+    array = lambda df: df.select(F.col("label").cast("double").alias("label"), F.array(*[F.col(c).cast("double") for c in columns]).alias("features"))
+    real, made, test = array(real_train), array(synthetic), array(real_test)
     settings = {"real_only": real}
     if not synthetic.isEmpty():
         settings |= {"synthetic_only": made, "real_plus_synthetic": real.unionByName(made)}
-    spark = real_train.sparkSession
-    share = max(1, spark.sparkContext.defaultParallelism // len(settings))
 
     def trained(rows: DataFrame):
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=STATISTICS_MB).fit(rows.repartition(share, "features"))
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
     with ThreadPool(len(settings)) as pool:
-        models = pool.map(inheritable_thread_target(spark)(trained), settings.values(), 1)
+        models = pool.map(inheritable_thread_target(real_train.sparkSession)(trained), settings.values(), 1)
     out = None
     for name, model in zip(settings, models, strict=True):
         row = scores(model.transform(test).select("label", "prediction")).withColumn("setting", F.lit(name))

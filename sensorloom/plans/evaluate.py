@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from sensorloom.operators import classify, dictionary, features, metrics, split
 from sensorloom.plans.config import PipelineConfig
 
-FOREST_DEPTH = 30  # the deepest that the forest learner allows, for settings without a limit
+FOREST_DEPTH = 30  # for settings without a limit
 
 
 def similarity_report(real: DataFrame, synthetic: DataFrame, config: PipelineConfig, compute_shr: bool = False) -> DataFrame:
